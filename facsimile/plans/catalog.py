@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import basic_queries  # noqa: F401
+from . import basic_queries, copula_queries  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["QUERIES", "ORACLES", "flagship"]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return QUERIES["a5_group_means"](spark, sf_dir)
+    return QUERIES["c1_group_copula"](spark, sf_dir)
