@@ -31,3 +31,14 @@ def fixed4(c: str) -> Column:
 def sha256_hex(c: str) -> Column:
     """SHA-256 hex of the value's string form."""
     return F.sha2(F.col(c).cast("string"), 256)
+
+
+def sig_round_sql(x: str, digits: int = 9) -> str:
+    """Round to ``digits`` significant digits (same text in Spark and DuckDB)."""
+    scale = f"power(10.0, floor(log10(abs({x}))) - {digits - 1})"
+    return (f"(CASE WHEN {x} IS NULL OR isnan({x}) OR {x} = 0 THEN {x} "
+            f"ELSE round({x} / {scale}, 0) * {scale} END)")
+
+
+def sig_round(c: str, digits: int = 9) -> Column:
+    return F.expr(sig_round_sql(f"`{c}`", digits))

@@ -56,29 +56,57 @@ def complete_rows(df: DataFrame, features: Sequence[str]) -> DataFrame:
     return df.where(cond)
 
 
-def correlation_stats(df: DataFrame, keys: Sequence[str], features: Sequence[str]) -> DataFrame:
-    """A5 + A6: per group ``n``, ``mean_i``, ``var_i`` and Pearson ``r_i_j`` (i <= j).
+CONSTANT_REL_VAR = 1e-12
+
+
+def moment_sums_sql(d: int, features: Sequence[str]) -> list[str]:
+    """Aggregate items: n, s_i = sum x_i, q_i_j = sum x_i x_j (i <= j)."""
+    items = ["count(*) AS n"]
+    items += [f"sum({features[i]}) AS s_{i}" for i in range(d)]
+    items += [f"sum({features[i]} * {features[j]}) AS q_{i}_{j}" for i, j in pair_index(d)]
+    return items
+
+
+def correlation_items_sql(d: int) -> dict[str, str]:
+    """From the sums: mean_i, var_i and Pearson r_i_j (i <= j), as SQL text.
 
     ``np.corrcoef`` semantics: an undefined coefficient (constant column,
     single row) is 0, the diagonal included; values are clipped to [-1, 1].
+    A variance below 1e-12 of the mean square counts as zero (the sums
+    formula leaves rounding residue where a two-pass one gives exactly 0).
+    """
+    out = {}
+    for i in range(d):
+        out[f"mean_{i}"] = f"(s_{i} / n)"
+        out[f"var_{i}"] = (f"(CASE WHEN n > 1 THEN greatest((q_{i}_{i} - s_{i} * s_{i} / n) / (n - 1), 0.0) END)")
+        out[f"ok_{i}"] = (f"(n > 1 AND (q_{i}_{i} - s_{i} * s_{i} / n) / (n - 1) > "
+                          f"{CONSTANT_REL_VAR!r} * (q_{i}_{i} / n))")
+    return out
+
+
+def pearson_sql(i: int, j: int) -> str:
+    if i == j:
+        return f"(CASE WHEN ok_{i} THEN 1.0 ELSE 0.0 END)"
+    cov = f"((q_{i}_{j} - s_{i} * s_{j} / n) / (n - 1))"
+    return (f"(CASE WHEN ok_{i} AND ok_{j} THEN greatest(-1.0, least(1.0, "
+            f"{cov} / sqrt(var_{i} * var_{j}))) ELSE 0.0 END)")
+
+
+def correlation_stats(df: DataFrame, keys: Sequence[str], features: Sequence[str]) -> DataFrame:
+    """A5 + A6: per group ``n``, ``mean_i``, ``var_i`` and Pearson ``r_i_j`` (i <= j).
+
+    One aggregation of plain sums and cross products (cheap to generate code
+    for, combinable on the map side), then the coefficients per group row.
     """
     d = len(features)
-    x = [F.col(f).cast("double") for f in features]
-    aggs = [F.count(F.lit(1)).alias("n")]
-    aggs += [F.avg(x[i]).alias(f"mean_{i}") for i in range(d)]
-    aggs += [F.var_samp(x[i]).alias(f"var_{i}") for i in range(d)]
-    aggs += [F.covar_samp(x[i], x[j]).alias(f"cov_{i}_{j}") for i, j in pair_index(d) if i < j]
-    stats = df.groupBy(*keys).agg(*aggs)
-    cols = {}
-    for i, j in pair_index(d):
-        vi, vj = F.col(f"var_{i}"), F.col(f"var_{j}")
-        if i == j:
-            cols[f"r_{i}_{i}"] = F.when(vi > 0, F.lit(1.0)).otherwise(F.lit(0.0))
-        else:
-            rho = F.col(f"cov_{i}_{j}") / F.sqrt(vi * vj)
-            cols[f"r_{i}_{j}"] = F.when((vi > 0) & (vj > 0),
-                                        F.greatest(F.lit(-1.0), F.least(F.lit(1.0), rho))).otherwise(F.lit(0.0))
-    return stats.withColumns(cols).drop(*[f"cov_{i}_{j}" for i, j in pair_index(d) if i < j])
+    x = df.select(*keys, *[F.col(f).cast("double").alias(f"__x{i}") for i, f in enumerate(features)])
+    names = [f"__x{i}" for i in range(d)]
+    stats = x.groupBy(*keys).agg(*[F.expr(e) for e in moment_sums_sql(d, names)])
+    stats = stats.withColumns({k: F.expr(v) for k, v in correlation_items_sql(d).items()})
+    stats = stats.withColumns({f"r_{i}_{j}": F.expr(pearson_sql(i, j)) for i, j in pair_index(d)})
+    drop = ([f"s_{i}" for i in range(d)] + [f"q_{i}_{j}" for i, j in pair_index(d)]
+            + [f"ok_{i}" for i in range(d)])
+    return stats.drop(*drop)
 
 
 def correlation_long(stats: DataFrame, keys: Sequence[str], features: Sequence[str]) -> DataFrame:
@@ -94,10 +122,24 @@ def correlation_long(stats: DataFrame, keys: Sequence[str], features: Sequence[s
     return stats.select(*keys, F.explode(F.array(*cells)).alias("__c")).select(*keys, "__c.*")
 
 
+R_DECIMALS = 7
+
+
+def regularize_sql(i: int, j: int, eps: float = EPSILON) -> str:
+    """C2 entry: the coefficient on a 1e-7 grid plus ``eps`` on the diagonal.
+
+    The grid makes the factor reproducible across engines and partitionings:
+    summation order changes coefficients in the 14th digit, and the factor of
+    a nearly collinear pair amplifies that by orders of magnitude.  The ridge
+    (1e-6) exceeds the largest eigenvalue shift the grid can cause
+    (d * 5e-8), so the matrix stays positive definite.
+    """
+    return f"(round(r_{i}_{j}, {R_DECIMALS}) + {eps if i == j else 0.0!r})"
+
+
 def regularize(stats: DataFrame, d: int, eps: float = EPSILON) -> DataFrame:
-    """``a_i_j = r_i_j`` plus ``eps`` on the diagonal."""
-    return stats.withColumns({f"a_{i}_{j}": F.col(f"r_{i}_{j}") + (eps if i == j else 0.0)
-                              for i, j in pair_index(d)})
+    """``a_i_j`` = gridded ``r_i_j`` plus ``eps`` on the diagonal."""
+    return stats.withColumns({f"a_{i}_{j}": F.expr(regularize_sql(i, j, eps)) for i, j in pair_index(d)})
 
 
 def cholesky_steps(d: int) -> list[dict[str, str]]:
@@ -138,20 +180,10 @@ def cast_features(df: DataFrame, features: Sequence[str]) -> DataFrame:
 
 
 def rank_table(df: DataFrame, keys: Sequence[str], features: Sequence[str]) -> DataFrame:
-    """J4 support: (keys, feature, rank, x_lo, x_hi) with x_hi the next order statistic.
-
-    Rank -1 carries only x_hi (the minimum) and is dropped.
-    """
+    """J4 support: (keys, feature, rank, x_lo, x_hi), x_hi = next order statistic."""
     cells = cast_features(df, features).unpivot(list(keys), list(features), "feature", "x")
-    ranked = ordinal(cells, list(keys) + ["feature"], ["x"], "rank")
-    lo = ranked.select(*keys, "feature", "rank", F.col("x").alias("x_lo"),
-                       F.lit(None).cast("double").alias("x_hi"))
-    hi = ranked.select(*keys, "feature", (F.col("rank") - 1).alias("rank"),
-                       F.lit(None).cast("double").alias("x_lo"), F.col("x").alias("x_hi"))
-    pairs = (lo.unionByName(hi).groupBy(*keys, "feature", "rank")
-             .agg(F.max("x_lo").alias("x_lo"), F.max("x_hi").alias("x_hi"))
-             .where(F.col("rank") >= 0))
-    return pairs
+    ranked = ordinal(cells, list(keys) + ["feature"], ["x"], "rank", next_of="x")
+    return ranked.select(*keys, "feature", "rank", F.col("x").alias("x_lo"), F.col("__next_x").alias("x_hi"))
 
 
 @dataclass
@@ -166,7 +198,8 @@ def fit_group_copula(df: DataFrame, keys: Sequence[str], features: Sequence[str]
     """C1 fit: parameters and empirical marginals, both written once."""
     keys, features = list(keys), list(features)
     d = len(features)
-    data = complete_rows(df, features).select(*keys, *features)
+    # the source (often a multi-way join) is read once; three passes follow
+    data = materialize(complete_rows(df, features).select(*keys, *features), "copula-input")
     params = cholesky(regularize(correlation_stats(data, keys, features), d), d)
     params = materialize(params, "copula-params")
     ranks = materialize(rank_table(data, keys, features), "copula-ranks")

@@ -38,6 +38,17 @@ def sized_broadcast(df: DataFrame, max_bytes: int = BROADCAST_MAX_BYTES) -> Data
     return df
 
 
+def bounded_broadcast(df: DataFrame, max_rows: int, max_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
+    """Broadcast a side whose row count is bounded by construction.
+
+    E.g. one row per input column name: the bound is known on the driver, so
+    no counting job is needed; above the byte limit it is left to a shuffle.
+    """
+    if max_rows * _row_bytes(df) <= max_bytes:
+        return F.broadcast(df)
+    return df
+
+
 def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str],
                    how: str = "inner") -> DataFrame:
     """Equi-join on ``keys`` where null matches null (``<=>``)."""

@@ -30,11 +30,13 @@ def _as_col(c: str | Column) -> Column:
 
 def running_sums(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column],
                  sums: Mapping[str, str | Column], *, partitions: int | None = None,
-                 tag: str = "scan") -> DataFrame:
+                 tag: str = "scan", next_of: str | None = None) -> DataFrame:
     """Add inclusive running sums (ROWS frame) of ``sums`` within ``keys`` in ``order``.
 
     ``order`` should be a total order within each group for reproducible
-    results when the summed values differ among ties.
+    results when the summed values differ among ties.  ``next_of`` adds
+    ``__next_<col>``: the value of that column on the following row of the
+    group (null on the last), bridging range-partition boundaries.
     """
     keys = list(keys)
     order_cols = [_as_col(o) for o in order]
@@ -46,31 +48,45 @@ def running_sums(df: DataFrame, keys: Sequence[str], order: Sequence[str | Colum
     w_loc = (Window.partitionBy(*keys, "__pid").orderBy(*order_cols)
              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     w_chunk = Window.partitionBy(*keys, "__pid")
+    extra = []
+    if next_of is not None:
+        w_ord = Window.partitionBy(*keys, "__pid").orderBy(*order_cols)
+        w_all = w_ord.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        extra = [F.lead(next_of).over(w_ord).alias("__lead"),
+                 F.first(next_of).over(w_all).alias("__first")]
     local = ranged.select(
         "*",
         *[F.sum(f"__v_{name}").over(w_loc).alias(f"__loc_{name}") for name in sums],
         *[F.sum(f"__v_{name}").over(w_chunk).alias(f"__tot_{name}") for name in sums],
+        *extra,
     )
     local = materialize(local, tag)
-    chunks = local.groupBy(*keys, "__pid").agg(
-        *[F.max(f"__tot_{name}").alias(f"__tot_{name}") for name in sums])
-    w_prev = (Window.partitionBy(*keys).orderBy("__pid")
-              .rowsBetween(Window.unboundedPreceding, -1))
-    offsets = chunks.select(
-        *keys, "__pid",
-        *[F.coalesce(F.sum(f"__tot_{name}").over(w_prev), F.lit(0)).alias(f"__off_{name}")
-          for name in sums])
+    chunk_aggs = [F.max(f"__tot_{name}").alias(f"__tot_{name}") for name in sums]
+    if next_of is not None:
+        chunk_aggs.append(F.first("__first").alias("__first"))
+    chunks = local.groupBy(*keys, "__pid").agg(*chunk_aggs)
+    w_pid = Window.partitionBy(*keys).orderBy("__pid")
+    w_prev = w_pid.rowsBetween(Window.unboundedPreceding, -1)
+    offs = [F.coalesce(F.sum(f"__tot_{name}").over(w_prev), F.lit(0)).alias(f"__off_{name}")
+            for name in sums]
+    if next_of is not None:
+        offs.append(F.lead("__first").over(w_pid).alias("__next_first"))
+    offsets = chunks.select(*keys, "__pid", *offs)
     joined = join_null_safe(local, sized_broadcast(offsets), keys + ["__pid"])
     out = joined.withColumns({name: F.col(f"__loc_{name}") + F.col(f"__off_{name}")
                               for name in sums})
+    if next_of is not None:
+        out = out.withColumn(f"__next_{next_of}", F.coalesce(F.col("__lead"), F.col("__next_first")))
+        out = out.drop("__lead", "__first", "__next_first")
     temps = ([f"__v_{n_}" for n_ in sums] + [f"__loc_{n_}" for n_ in sums]
              + [f"__tot_{n_}" for n_ in sums] + [f"__off_{n_}" for n_ in sums] + ["__pid"])
     return out.drop(*temps)
 
 
 def ordinal(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column],
-            name: str = "ordinal", *, partitions: int | None = None) -> DataFrame:
+            name: str = "ordinal", *, partitions: int | None = None,
+            next_of: str | None = None) -> DataFrame:
     """0-based position of each row within its group (global if no keys)."""
     out = running_sums(df, keys, order, {f"__cnt_{name}": F.lit(1)},
-                       partitions=partitions, tag="ordinal")
+                       partitions=partitions, tag="ordinal", next_of=next_of)
     return out.withColumn(name, F.col(f"__cnt_{name}") - 1).drop(f"__cnt_{name}")

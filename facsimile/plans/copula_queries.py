@@ -36,23 +36,11 @@ def a6_group_correlation(spark, sf):
     return _long(copula.correlation_stats(data, GROUP_KEYS, FEATURES), GROUP_KEYS)
 
 
-_GLOBAL = ("WITH contracts AS ({c}), base AS (SELECT * FROM contracts), stats AS (SELECT "
-           + ", ".join(["count(*) AS n"] + [f"var_samp(CAST({f} AS DOUBLE)) AS var_{i}" for i, f in enumerate(FEATURES)]
-                       + [f"covar_samp(CAST({FEATURES[i]} AS DOUBLE), CAST({FEATURES[j]} AS DOUBLE)) AS cov_{i}_{j}"
-                          for i, j in copula.pair_index(D) if i < j]) + " FROM base{where}), ")
-
-
 def _corr_select(where: str) -> str:
+    """``WITH contracts, corr`` over the (optionally filtered) contracts."""
     from .registry import CONTRACTS_SQL
-    r = []
-    for i, j in copula.pair_index(D):
-        if i == j:
-            r.append(f"CASE WHEN var_{i} > 0 THEN 1.0 ELSE 0.0 END AS r_{i}_{i}")
-        else:
-            r.append(f"CASE WHEN var_{i} > 0 AND var_{j} > 0 THEN greatest(-1.0, least(1.0, "
-                     f"cov_{i}_{j} / sqrt(var_{i} * var_{j}))) ELSE 0.0 END AS r_{i}_{j}")
-    return (_GLOBAL.format(c=CONTRACTS_SQL, where=where)
-            + f"corr AS (SELECT *, {', '.join(r)} FROM stats) ")
+    return ("WITH " + ",\n".join([f"contracts AS ({CONTRACTS_SQL})"]
+                                  + cs.corr_ctes("corr", "contracts", where)) + "\n")
 
 
 @query("a7_global_correlation", _corr_select("") + cs.correlation_long_select("corr", []))
@@ -61,17 +49,15 @@ def a7_global_correlation(spark, sf):
 
 
 def _a8_sql() -> str:
-    perf = _corr_select(" WHERE PD_status = 'performing'").replace("corr AS", "corr_p AS")
-    defl = _corr_select(" WHERE PD_status = 'defaulted'")
-    defl = defl[defl.index("stats AS"):].replace("stats AS", "stats_d AS").replace(
-        "FROM stats)", "FROM stats_d)").replace("corr AS", "corr_d AS")
-    perf = perf.rstrip().rstrip(",")
-    body = (f"SELECT round(sqrt(sum(power(a.rho - b.rho, 2))), 6) AS frobenius FROM "
-            f"({cs.correlation_long_select('corr_p', [])}) a JOIN "
-            f"({cs.correlation_long_select('corr_d', [])}) b USING (row_feature, col_feature)")
-    # correlation_long_select rounds rho; recompute unrounded for the distance
-    body = body.replace("round(r_", "(r_").replace(", 6) AS rho", ") AS rho")
-    return perf + ", " + defl + body
+    from .registry import CONTRACTS_SQL
+    ctes = ([f"contracts AS ({CONTRACTS_SQL})"]
+            + cs.corr_ctes("corr_p", "contracts", "PD_status = 'performing'")
+            + cs.corr_ctes("corr_d", "contracts", "PD_status = 'defaulted'"))
+    long_p = cs.correlation_long_select("corr_p", []).replace("round(r_", "(r_").replace(", 6) AS rho", ") AS rho")
+    long_d = cs.correlation_long_select("corr_d", []).replace("round(r_", "(r_").replace(", 6) AS rho", ") AS rho")
+    return ("WITH " + ",\n".join(ctes) + "\n"
+            f"SELECT round(sqrt(sum(power(a.rho - b.rho, 2))), 6) AS frobenius FROM ({long_p}) a "
+            f"JOIN ({long_d}) b USING (row_feature, col_feature)")
 
 
 @query("a8_frobenius_distance", _a8_sql())
@@ -82,7 +68,7 @@ def a8_frobenius_distance(spark, sf):
     return copula.frobenius_distance(a, b).select(F.round("frobenius", 6).alias("frobenius"))
 
 
-def _params_long(prefix: str, lower: bool) -> str:
+def _params_long(prefix: str, lower: bool, digits: int = 6) -> str:
     parts = []
     for i in range(D):
         for j in range(D):
@@ -90,24 +76,25 @@ def _params_long(prefix: str, lower: bool) -> str:
                 continue
             if not lower and j < i:
                 continue
-            parts.append(f"SELECT {KEYS}, {i} AS i, {j} AS j, round({prefix}_{i}_{j}, 6) AS value FROM params")
+            parts.append(f"SELECT {KEYS}, {i} AS i, {j} AS j, round({prefix}_{i}_{j}, {digits}) AS value FROM params")
     return " UNION ALL ".join(parts)
 
 
-def _spark_params_long(params, prefix: str, lower: bool):
+def _spark_params_long(params, prefix: str, lower: bool, digits: int = 6):
     cells = []
     for i in range(D):
         for j in range(D):
             if (lower and j > i) or (not lower and j < i):
                 continue
             cells.append(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"),
-                                  F.round(F.col(f"{prefix}_{i}_{j}"), 6).alias("value")))
+                                  F.round(F.col(f"{prefix}_{i}_{j}"), digits).alias("value")))
     return params.select(*GROUP_KEYS, F.explode(F.array(*cells)).alias("__c")).select(*GROUP_KEYS, "__c.*")
 
 
-@query("c2_regularized_corr", cs.with_ctes(_params_long("a", lower=False)))
+@query("c2_regularized_corr", cs.with_ctes(_params_long("a", lower=False, digits=7)))
 def c2_regularized_corr(spark, sf):
-    return _spark_params_long(fitted(spark, sf).params, "a", lower=False)
+    # entries already lie on the 1e-7 grid; report them at that precision
+    return _spark_params_long(fitted(spark, sf).params, "a", lower=False, digits=7)
 
 
 @query("c3_cholesky_factor", cs.with_ctes(_params_long("L", lower=True)))

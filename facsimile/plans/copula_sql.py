@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from ..functions.normal import phi_sql
 from ..functions.rng import normals_sql
-from ..operators.copula import EPSILON, MIN_PIVOT, U_GRID, cholesky_steps, factor_columns, pair_index
+from ..operators.copula import (EPSILON, MIN_PIVOT, U_GRID, cholesky_steps, correlation_items_sql,
+                                factor_columns, moment_sums_sql, pair_index, pearson_sql,
+                                regularize_sql)
 from ..sources.contracts import DOUBLE_FEATURES, FEATURES, GROUP_KEYS
 from .registry import CONTRACTS_SQL
 
@@ -24,21 +26,13 @@ def ctes(keys: list[str] = GROUP_KEYS, source: str = "contracts") -> list[str]:
     out = [f"contracts AS ({CONTRACTS_SQL})",
            f"base AS (SELECT {kcomma}" + ", ".join(f"CAST({f} AS DOUBLE) AS {f}" for f in FEATURES)
            + f" FROM {source} WHERE {where})"]
-    aggs = ["count(*) AS n"] + [f"avg({f}) AS mean_{i}" for i, f in enumerate(FEATURES)]
-    aggs += [f"var_samp({f}) AS var_{i}" for i, f in enumerate(FEATURES)]
-    aggs += [f"covar_samp({FEATURES[i]}, {FEATURES[j]}) AS cov_{i}_{j}"
-             for i, j in pair_index(D) if i < j]
     group = f" GROUP BY {kl}" if keys else ""
-    out.append(f"stats AS (SELECT {kcomma}{', '.join(aggs)} FROM base{group})")
-    r = []
-    for i, j in pair_index(D):
-        if i == j:
-            r.append(f"CASE WHEN var_{i} > 0 THEN 1.0 ELSE 0.0 END AS r_{i}_{i}")
-        else:
-            r.append(f"CASE WHEN var_{i} > 0 AND var_{j} > 0 THEN greatest(-1.0, least(1.0, "
-                     f"cov_{i}_{j} / sqrt(var_{i} * var_{j}))) ELSE 0.0 END AS r_{i}_{j}")
-    out.append(f"corr AS (SELECT *, {', '.join(r)} FROM stats)")
-    a = [f"r_{i}_{j} + {EPSILON if i == j else 0.0!r} AS a_{i}_{j}" for i, j in pair_index(D)]
+    out.append(f"stats AS (SELECT {kcomma}{', '.join(moment_sums_sql(D, FEATURES))} FROM base{group})")
+    items = ", ".join(f"{v} AS {k}" for k, v in correlation_items_sql(D).items())
+    out.append(f"stats2 AS (SELECT *, {items} FROM stats)")
+    r = ", ".join(f"{pearson_sql(i, j)} AS r_{i}_{j}" for i, j in pair_index(D))
+    out.append(f"corr AS (SELECT *, {r} FROM stats2)")
+    a = [f"{regularize_sql(i, j)} AS a_{i}_{j}" for i, j in pair_index(D)]
     out.append(f"chol0 AS (SELECT *, {', '.join(a)} FROM corr)")
     for s, step in enumerate(cholesky_steps(D)):
         items = ", ".join(f"{v} AS {k}" for k, v in step.items())
@@ -51,6 +45,20 @@ def ctes(keys: list[str] = GROUP_KEYS, source: str = "contracts") -> list[str]:
     return out
 
 
+def corr_ctes(name: str, source: str, where: str = "", keys: list[str] | None = None) -> list[str]:
+    """CTEs ``<name>_in``, ``<name>_s``, ``<name>_m`` and ``<name>`` (wide r_i_j)."""
+    keys = keys or []
+    kcomma = ", ".join(keys) + ", " if keys else ""
+    group = f" GROUP BY {', '.join(keys)}" if keys else ""
+    cast = ", ".join(f"CAST({f} AS DOUBLE) AS {f}" for f in FEATURES)
+    items = ", ".join(f"{v} AS {k}" for k, v in correlation_items_sql(D).items())
+    r = ", ".join(f"{pearson_sql(i, j)} AS r_{i}_{j}" for i, j in pair_index(D))
+    return [f"{name}_in AS (SELECT {kcomma}{cast} FROM {source}{(' WHERE ' + where) if where else ''})",
+            f"{name}_s AS (SELECT {kcomma}{', '.join(moment_sums_sql(D, FEATURES))} FROM {name}_in{group})",
+            f"{name}_m AS (SELECT *, {items} FROM {name}_s)",
+            f"{name} AS (SELECT *, {r} FROM {name}_m)"]
+
+
 def with_ctes(body: str, extra: list[str] | None = None) -> str:
     return "WITH " + ",\n".join(ctes() + (extra or [])) + "\n" + body
 
@@ -101,6 +109,15 @@ def quantile_ctes(cells_table: str) -> list[str]:
     ]
 
 
+def synth_ctes(seed: int) -> list[str]:
+    """All CTEs up to ``synth`` (the group copula rows)."""
+    cells = " UNION ALL ".join(f"SELECT {KEYS}, k, n, '{f}' AS feature, u_{i} AS u FROM unis"
+                               for i, f in enumerate(FEATURES))
+    pivot = ", ".join(f"max(CASE WHEN feature = '{f}' THEN value END) AS {f}" for f in FEATURES)
+    return (ctes() + draws_ctes(seed) + [f"cells AS ({cells})"] + quantile_ctes("cells")
+            + [f"synth AS (SELECT {KEYS}, k, {pivot} FROM valued GROUP BY {KEYS}, k)"])
+
+
 def copula_rows_sql(seed: int) -> str:
     cells = " UNION ALL ".join(f"SELECT {KEYS}, k, n, '{f}' AS feature, u_{i} AS u FROM unis"
                                for i, f in enumerate(FEATURES))
