@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import basic_queries, copula_queries, eval_queries, marginal_queries  # noqa: F401
+from . import (basic_queries, copula_queries, eval_queries, marginal_queries,  # noqa: F401
+               synth_queries)
 from .registry import ORACLES, QUERIES
 
 __all__ = ["QUERIES", "ORACLES", "flagship"]
