@@ -164,11 +164,44 @@ def cholesky_steps(d: int) -> list[dict[str, str]]:
     return steps
 
 
+def _cholesky_batches(d: int):
+    """mapInPandas body: the factor of every row, vectorised over the batch.
+
+    Same operation order as ``cholesky_steps`` (left-to-right subtraction of
+    products, max with MIN_PIVOT, sqrt, divide), so the doubles equal those of
+    the SQL form evaluated by any IEEE engine.
+    """
+    import numpy as np
+
+    def run(batches):
+        for pdf in batches:
+            L = {}
+            for j in range(d):
+                s = pdf[f"a_{j}_{j}"].to_numpy(dtype="float64").copy()
+                for k in range(j):
+                    s = s - L[(j, k)] * L[(j, k)]
+                L[(j, j)] = np.sqrt(np.maximum(s, MIN_PIVOT))
+                for i in range(j + 1, d):
+                    t = pdf[f"a_{j}_{i}"].to_numpy(dtype="float64").copy()
+                    for k in range(j):
+                        t = t - L[(i, k)] * L[(j, k)]
+                    L[(i, j)] = t / L[(j, j)]
+            for (i, j), v in L.items():
+                pdf[f"L_{i}_{j}"] = v
+            yield pdf
+    return run
+
+
 def cholesky(df: DataFrame, d: int) -> DataFrame:
-    out = df
-    for step in cholesky_steps(d):
-        out = out.withColumns({k: F.expr(v) for k, v in step.items()})
-    return out
+    """Add ``L_i_j`` (i >= j) for every row (one small matrix per group).
+
+    The parameter table has one row per group; numpy on Arrow batches avoids
+    compiling a d^3-term expression chain for a handful of rows.
+    """
+    from pyspark.sql.types import DoubleType, StructField, StructType
+    schema = StructType(df.schema.fields + [StructField(c, DoubleType()) for c in factor_columns(d)
+                                            if c not in df.columns])
+    return df.mapInPandas(_cholesky_batches(d), schema)
 
 
 def factor_columns(d: int) -> list[str]:

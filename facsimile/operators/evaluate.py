@@ -39,7 +39,7 @@ from .scan import running_sums
 # 15%, 10%, 5%, 2.5%, 1% levels (before the small-sample factor).
 AD_LEVELS = [15.0, 10.0, 5.0, 2.5, 1.0]
 AD_CRITICAL = [0.576, 0.656, 0.787, 0.918, 1.092]
-KS_TERMS = 100
+KS_TERMS = 20
 
 
 def cells(df: DataFrame, cols: Sequence[str], side: int | None = None) -> DataFrame:

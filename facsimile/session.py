@@ -16,8 +16,16 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+# Generated code for wide synthetic rows (hash draws, normal CDFs, quantile
+# interpolation for many columns) exceeds HotSpot's 8000-bytecode JIT limit;
+# without this flag those stages run interpreted (measured 5x slower).
+JIT_HUGE_METHODS = "-XX:-DontCompileHugeMethods"
+
+
 def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
                   app: str = "facsimile", driver_memory: str = "16g") -> SparkSession:
+    """Local/test session.  On a cluster set the same keys in the job config
+    (in particular ``spark.executor.extraJavaOptions``)."""
     spark = (
         SparkSession.builder.master(master).appName(app)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
@@ -28,6 +36,8 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", driver_memory)
+        .config("spark.driver.extraJavaOptions", JIT_HUGE_METHODS)
+        .config("spark.executor.extraJavaOptions", JIT_HUGE_METHODS)
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

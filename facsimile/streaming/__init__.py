@@ -1,0 +1,7 @@
+"""Intentionally empty.
+
+The reference has no streaming, watermarking, windowed or stateful
+operators (SURVEY §2.13), so none are built here.  All jobs are batch
+DataFrame plans; the synthetic generators are deterministic per row key and
+can be run over any micro-batch with ``foreachBatch`` if a caller needs to.
+"""
