@@ -10,7 +10,7 @@ from ..operators import copula, evaluate
 from ..session import materialize
 from ..sources.contracts import FEATURES, GROUP_KEYS, contracts
 from . import copula_sql as cs
-from .copula_queries import SEED, fitted
+from .copula_queries import SEED, fitted, synth_table
 from .registry import query
 
 D = len(FEATURES)
@@ -20,15 +20,8 @@ def _real(spark, sf):
     return copula.complete_rows(contracts(spark, sf), FEATURES).select(*GROUP_KEYS, *FEATURES)
 
 
-_SYNTH_CACHE: dict = {}
-
-
 def _synth(spark, sf):
-    """The group-copula sample, written once per (session, sf) and re-read."""
-    key = (id(spark), sf)
-    if key not in _SYNTH_CACHE:
-        _SYNTH_CACHE[key] = materialize(copula.sample_group_copula(fitted(spark, sf), SEED), "synth")
-    return _SYNTH_CACHE[key]
+    return synth_table(spark, sf)
 
 
 def _with_synth(body: str, extra: list[str] | None = None) -> str:
