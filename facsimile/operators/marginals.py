@@ -401,36 +401,58 @@ def _families(params: DataFrame) -> list[str]:
     return sorted(r["family"] for r in params.select("family").distinct().collect())
 
 
-def ks_one_sample(cum: DataFrame, params: DataFrame, n_cols: int) -> DataFrame:
-    """D3 + D4: (column_name, family, ks, pvalue) over the distinct-value scan.
+def _ks_loglik(cum: DataFrame, params: DataFrame, n_cols: int, with_loglik: bool) -> DataFrame:
+    """One pass over the distinct-value scan: KS statistic (and log-likelihood).
 
-    D = max over distinct values of max(F_n(v) - F(v), F(v) - F_n(v-)).
+    D = max over distinct values of max(F_n(v) - F(v), F(v) - F_n(v-));
+    loglik = sum over distinct values of c * ln f(v) (zero density counts as
+    ln(1e-323)).
     """
     n = params.select("column_name", "n").distinct()
     base = cum.join(bounded_broadcast(n, n_cols), "column_name")
+    grids = cdf_grids(params)
+    fams = _families(params)
+    p = params.drop("n").join(grids, ["column_name", "family"], "left")
+    parts = []
+    for fam in fams:
+        j = base.join(bounded_broadcast(p.where(F.col("family") == fam), n_cols), "column_name")
+        cdf = _grid_cdf() if fam in GRID_FAMILIES else F.expr(cdf_sql(fam))
+        j = j.withColumn("__F", cdf)
+        if with_loglik:
+            j = j.withColumn("__f", F.expr(pdf_sql(fam)))
+        parts.append(j)
+    joined = reduce(lambda a, b: a.unionByName(b), parts)
+    gap = F.greatest(F.col("cum") / F.col("n") - F.col("__F"),
+                     F.col("__F") - (F.col("cum") - F.col("c")) / F.col("n"))
+    aggs = [F.max(gap).alias("ks")]
+    if with_loglik:
+        aggs.append(F.sum(F.col("c") * F.when(F.col("__f") > 0, F.log(F.col("__f")))
+                          .otherwise(F.lit(-743.7))).alias("loglik"))
+    d = joined.groupBy("column_name", "family", "n").agg(*aggs)
+    d = (d.withColumn("__lam", F.sqrt(F.col("n").cast("double")) * F.col("ks"))
+         .withColumn("pvalue", F.expr(kolmogorov_sf_sql("__lam"))))
+    return d.select("column_name", "family", "ks", "pvalue", *(["loglik"] if with_loglik else []))
 
-    def cdf(fam):
-        return _grid_cdf() if fam in GRID_FAMILIES else F.expr(cdf_sql(fam))
-    joined = _per_family(base, params, n_cols, _families(params), cdf, cdf_grids(params))
-    gap = F.greatest(F.col("cum") / F.col("n") - F.col("__v"),
-                     F.col("__v") - (F.col("cum") - F.col("c")) / F.col("n"))
-    d = joined.groupBy("column_name", "family", "n").agg(F.max(gap).alias("ks"))
-    return (d.withColumn("__lam", F.sqrt(F.col("n").cast("double")) * F.col("ks"))
-            .withColumn("pvalue", F.expr(kolmogorov_sf_sql("__lam")))
-            .select("column_name", "family", "ks", "pvalue"))
+
+def ks_one_sample(cum: DataFrame, params: DataFrame, n_cols: int) -> DataFrame:
+    """D3 + D4: (column_name, family, ks, pvalue) over the distinct-value scan."""
+    return _ks_loglik(cum, params, n_cols, with_loglik=False)
 
 
-def histogram_sse(df: DataFrame, cols: Sequence[str], params: DataFrame, stats: DataFrame,
+def histogram_sse(cum: DataFrame, cols: Sequence[str], params: DataFrame, stats: DataFrame,
                   bins: int = 100) -> DataFrame:
     """Sum of squared differences between the density histogram and the pdf
-    at the bin mid-points (bins over [min, max], empty bins included)."""
-    c = cells(df, cols)
+    at the bin mid-points (bins over [min, max], empty bins included).
+
+    Bin counts come from the distinct-value scan (sum of counts per bin), so
+    the raw cells are not read again.
+    """
     st = stats.select("column_name", "n", "xmin", "xmax")
     width = f"(CASE WHEN xmax > xmin THEN (xmax - xmin) / {bins} ELSE 1.0 END)"
-    b = c.join(bounded_broadcast(st, len(cols)), "column_name").withColumn(
+    b = cum.join(bounded_broadcast(st, len(cols)), "column_name").withColumn(
         "bin", F.expr(f"CAST(CASE WHEN xmax > xmin THEN greatest(0, least(floor((x - xmin) / (xmax - xmin) * {bins}), "
                       f"{bins - 1})) ELSE 0 END AS INT)"))
-    hist = b.groupBy("column_name", "bin").agg(F.count(F.lit(1)).alias("cnt"))
+    hist = b.groupBy("column_name", "bin").agg(F.sum("c").alias("cnt"))
     grid = st.select("column_name", "n", "xmin", "xmax",
                      F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
     grid = grid.withColumn("x", F.col("xmin") + (F.col("bin") + 0.5) * F.expr(width))
@@ -441,25 +463,15 @@ def histogram_sse(df: DataFrame, cols: Sequence[str], params: DataFrame, stats:
     return j.groupBy("column_name", "family").agg(F.sum(err * err).alias("sse"))
 
 
-def log_likelihood(df: DataFrame, cols: Sequence[str], params: DataFrame) -> DataFrame:
-    """Sum of log densities per (column, family); zero density counts as ln(1e-323)."""
-    c = cells(df, cols)
-    j = _per_family(c, params, len(cols), _families(params), lambda fam: F.expr(pdf_sql(fam)))
-    return j.groupBy("column_name", "family").agg(
-        F.sum(F.when(F.col("__v") > 0, F.log(F.col("__v"))).otherwise(F.lit(-743.7))).alias("loglik"))
-
-
 def fit_summary(df: DataFrame, cols: Sequence[str], families: Sequence[str] = FAMILIES_WIDE) -> DataFrame:
-    """(column_name, family, p1, p2, loc, scale, n, ks, pvalue, sse, loglik, aic, bic)."""
+    """(column_name, family, p1, p2, loc, scale, n, ks, pvalue, loglik, sse, aic, bic)."""
     stats, cum = column_stats(df, cols)
     params = materialize(fit_params(stats, families), "marginal-params")
-    ks = ks_one_sample(cum, params, len(cols))
-    sse = histogram_sse(df, cols, params, stats)
-    ll = log_likelihood(df, cols, params)
+    ks = _ks_loglik(cum, params, len(cols), with_loglik=True)
+    sse = histogram_sse(cum, cols, params, stats)
     k = F.expr("CASE WHEN family IN ('norm','expon','uniform','cauchy','logistic','cosine','arcsine','rayleigh') "
                "THEN 2 WHEN family IN ('beta', 'loguniform') THEN 4 ELSE 3 END")
-    out = (params.join(ks, ["column_name", "family"]).join(sse, ["column_name", "family"])
-           .join(ll, ["column_name", "family"]))
+    out = params.join(ks, ["column_name", "family"]).join(sse, ["column_name", "family"])
     return out.withColumns({"aic": 2 * k - 2 * F.col("loglik"),
                             "bic": k * F.log(F.col("n")) - 2 * F.col("loglik")})
 

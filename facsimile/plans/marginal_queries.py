@@ -130,9 +130,9 @@ def _sse_ctes(bins: int = 100) -> list[str]:
     f"SELECT column_name, family, {_sig('sum(power(density - coalesce(__v, 0.0), 2))')} AS sse "
     "FROM pv GROUP BY column_name, family", _sse_ctes()))
 def d5_histogram_sse(spark, sf):
-    stats, _ = _stats(spark, sf)
+    stats, cum = _stats(spark, sf)
     params = mg.fit_params(stats, mg.FAMILIES_SHORT)
-    sse = mg.histogram_sse(contracts(spark, sf), FEATURES, params, stats)
+    sse = mg.histogram_sse(cum, FEATURES, params, stats)
     return sse.select("column_name", "family", sig_round("sse").alias("sse"))
 
 
