@@ -86,12 +86,14 @@ def mix64(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(data: np.ndarray, starts: np.ndarray, separator: np.ndarray = _IS_SPACE) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hash of every word of ``flat_bytes`` output, and the text each word is in.
 
+    ``separator`` says for each byte value whether it parts words.
+
     Polynomial hash over bytes by prefix sums, so the cost is a few vector
     operations per byte; equal words have equal hashes wherever they stand."""
-    space = _IS_SPACE[data]
+    space = separator[data]
     edge = np.flatnonzero(space[1:] != space[:-1]) + 1
     if len(data) and not space[0]:
         edge = np.concatenate(([0], edge))
