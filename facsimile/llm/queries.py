@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import quality_rules  # noqa: F401
+from . import decontaminate, langid, pii, quality_rules, sentencepiece_scan, sharding, simhash, toxicity, warc  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
