@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,7 +36,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 def text_slices(batch: pa.RecordBatch, column: str = "text",
                 limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """(from, to) row bounds of runs of rows whose texts sum to about ``limit`` bytes."""
-    sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     if not len(sizes):
         return
     ends = np.cumsum(sizes.astype(np.int64))
