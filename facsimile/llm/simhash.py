@@ -35,6 +35,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..operators.joins import sized_broadcast
 from ..session import materialize
@@ -208,16 +209,47 @@ def component_labels(links: DataFrame) -> DataFrame:
 def simhash_components(df: DataFrame, id_column: str = "doc_id", text_column: str = "text",
                        words_per_shingle: int = SHINGLE_WORDS, radius: int = RADIUS,
                        bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """(doc_id, fp, component_id) for every row of ``df``."""
+    """(doc_id, fp, root, component_id) for every row of ``df``; root is a fingerprint that names the component."""
     fps = materialize(fingerprints(df, id_column, text_column, words_per_shingle), "simhash")
-    classes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-classes")
+    classes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("rows")), "simhash-classes")
     labels = component_labels(near_links(classes.select("fp"), radius, bucket_rows))
     member = classes.join(labels.withColumnRenamed("node", "fp"), "fp")
     smallest = member.groupBy("label").agg(F.min("first_id").alias("component_id"))
-    linked = labels.join(smallest, "label").select(F.col("node").alias("fp"), "component_id")
-    by_class = classes.join(linked, "fp", "left").select(
-        "fp", F.coalesce("component_id", "first_id").alias("component_id"))
-    return fps.join(by_class, "fp").select("doc_id", "fp", "component_id")
+    linked = labels.join(smallest, "label").select(F.col("node").alias("fp"), "label", "component_id")
+    # a row whose fingerprint is its own and has no link is its own component: only the others are looked up,
+    # and these are few enough to broadcast unless counting them says otherwise
+    several = materialize(classes.join(linked, "fp", "left").where("rows > 1 or label is not null").select(
+        "fp", F.coalesce("label", "fp").alias("root"),
+        # a component may hold rows without an id only
+        F.when(F.col("label").isNull(), F.col("first_id")).otherwise(F.col("component_id")).alias("component_id")), "simhash-several")
+    found = fps.join(sized_broadcast(several), "fp", "left")
+    return found.select("doc_id", "fp", F.coalesce("root", "fp").alias("root"),
+                        F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def one_per_component(df: DataFrame, id_column: str = "doc_id", text_column: str = "text",
+                      words_per_shingle: int = SHINGLE_WORDS, radius: int = RADIUS) -> DataFrame:
+    """``df`` with one row of each component, that of its smallest id; all columns stay.
+
+    Ids that repeat or are null can't name a row alone: then rows are told apart by
+    fingerprint too, and of rows that agree in both, one stays."""
+    found = materialize(simhash_components(df, id_column, text_column, words_per_shingle, radius), "simhash-found")
+    rows, ids, distinct = found.agg(F.count("*"), F.count("doc_id"), F.countDistinct("doc_id")).first()
+    if rows == ids == distinct:
+        gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias(id_column))
+        return df.join(sized_broadcast(gone), id_column, "left_anti")
+    chosen = (found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")).alias("x"))
+              .select(F.col("x.doc_id").alias("__id"), F.col("x.fp").alias("__kept_fp")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column(b.schema.get_field_index(text_column))
+            fps = np.fromiter((simhash(t.as_py(), words_per_shingle) for t in texts), np.uint64, b.num_rows)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fps.view(np.int64))], [*b.schema.names, "__fp"])
+
+    tagged = df.mapInArrow(run, StructType([*df.schema.fields, StructField("__fp", LongType())]))
+    kept = tagged.join(chosen, tagged[id_column].cast("long").eqNullSafe(chosen["__id"]) & (tagged["__fp"] == chosen["__kept_fp"]), "left_semi")
+    return kept.dropDuplicates([id_column, "__fp"]).drop("__fp")
 
 
 def fingerprint_hex(column: str = "fp") -> Column:
