@@ -12,7 +12,8 @@ words (multiple-instance learning): a toxic text has a witness, the word that sp
 toxicity; no word of a clean text is one.  First witnesses come from log-odds
 of subsequences; then a linear SVM on Nyström features (kernel values to landmark
 words times the inverse root of the landmarks' own kernel) and a new choice of
-witnesses alternate, each round with the clean words that come nearest.  Platt
+witnesses alternate, each round with the clean words that come nearest and with
+witnesses into which a letter was put (virtual examples).  Platt
 scaling turns a text's largest word score into its probability.  The classifier is
 fitted on at most about ``TRAIN_ROWS`` labelled texts of each class, chosen by a hash of the
 text: that is a documented bound, and fits the driver.
@@ -47,7 +48,7 @@ from .registry import query
 
 ORDER = 4
 SPAN = 6
-DECAY = 0.7
+DECAY = 0.8
 TRAIN_ROWS = 3000
 LANDMARKS = 160
 ROUNDS = 3
@@ -213,6 +214,12 @@ def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float = 10.0, s
     return w
 
 
+def _disturbed(word: str) -> list[str]:
+    """The word with one letter put in after a third and after two thirds of it."""
+    cuts = {len(word) // 3, 2 * len(word) // 3} - {0}
+    return [word[:k] + chr(97 + (7 * k + ord(word[k - 1])) % 26) + word[k:] for k in sorted(cuts)]
+
+
 def _fit_nystroem(landmarks: list[str], positives: list[str], negatives: list[str], support: np.ndarray) -> tuple[np.ndarray, float]:
     """Folded weight of every subsequence, and the bias."""
     value, vector = np.linalg.eigh(kernel(landmarks, landmarks).astype(np.float64))
@@ -285,11 +292,14 @@ def train(bags: list[set[str]], labels: list[int], landmarks: int = LANDMARKS, r
         alike = (kernel(names, names) > 0.4) @ times
         held = alike >= 2 if (alike >= 2).any() else alike > 0
         names, times = [w for w, h in zip(names, held, strict=True) if h], times[held]
+        # virtual examples: disturbed witnesses are witnesses too
+        virtual = [(v, t / 4) for w, t in zip(names, times, strict=True) for v in _disturbed(w) if v not in clean]
+        examples = names + [v for v, _ in virtual]
         near = model.word_scores(every_clean) if every_clean else np.empty(0)
         hard = [every_clean[i] for i in np.argsort(-near, kind="stable")[:2000]]
         negatives = sorted(set(some_clean + hard + frequent))
         marks = names[:landmarks // 2] + hard[:landmarks // 4] + frequent[:landmarks // 4]
-        weights, bias = _fit_nystroem(list(dict.fromkeys(marks)), names, negatives, np.sqrt(times))
+        weights, bias = _fit_nystroem(list(dict.fromkeys(marks)), examples, negatives, np.sqrt(np.concatenate((times, [t for _, t in virtual]))))
         model = ToxicityModel(weights, bias, 1.0, 0.0)
     margin = np.array(Scorer(model).margins(bags)[0])
     slope, offset = _platt(margin, y)
