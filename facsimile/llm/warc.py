@@ -89,10 +89,10 @@ def responses(pages: DataFrame, id_column: str = "page_id", url_column: str = "u
                                      (F.coalesce(F.col(id_column).cast("string"), F.lit("")), F.coalesce(F.col(url_column), F.lit("")), F.sha1(payload))]))
     urn = F.concat(F.lit("<urn:uuid:"), F.substring(name, 1, 8), F.lit("-"), F.substring(name, 9, 4), F.lit("-8"), F.substring(name, 14, 3),
                    F.lit("-a"), F.substring(name, 18, 3), F.lit("-"), F.substring(name, 21, 12), F.lit(">"))
-    base32 = F.lit(None).cast("string")  # computed with the derivatives unless the source has one
+    no_digest = F.lit(None).cast("string")  # computed with the derivatives unless the source has one
     return pages.select(F.col(id_column).cast("long").alias("page_id"), urn.alias("record_id"), F.col(url_column).cast("string").alias("target_uri"),
                         (F.lit(NO_DATE) if date is None else date).alias("date"), headers.alias("http_headers"),
-                        payload.alias("payload"), base32.alias("payload_digest"))
+                        payload.alias("payload"), no_digest.alias("payload_digest"))
 
 
 def _derive(page_id, record_id, target, date, headers, payload, source_digest) -> list[tuple]:
@@ -130,7 +130,8 @@ def derivatives(source: DataFrame) -> DataFrame:
 def record_text(records: DataFrame) -> DataFrame:
     """One column ``value``: each record in WARC/1.1 form, without the two line ends after its block."""
     def header(name: str, value: Column) -> Column:
-        return F.when(value.isNotNull(), F.concat(F.lit(name + ": "), value.cast("string"), F.lit("\r\n"))).otherwise("")
+        text = F.regexp_replace(value.cast("string"), r"[\r\n]+", " ")  # a header is one line
+        return F.when(value.isNotNull(), F.concat(F.lit(name + ": "), text, F.lit("\r\n"))).otherwise("")
 
     c = F.col
     return records.select(F.concat(
