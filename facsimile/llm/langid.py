@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.joins import sized_broadcast
 from .common import id_bucket, table
 from .registry import query
 
@@ -73,7 +74,7 @@ def learn_profiles(df: DataFrame, lang_column: str = "lang", text_column: str =
         F.col(lang_column).cast("string").alias("lang"), F.col(text_column).cast("string").alias("text"))
     share = known.groupBy("lang").agg((F.lit(float(train_rows)) / F.count("*")).alias("share"))
     draw = F.xxhash64("text", F.lit(11)).bitwiseAND((1 << 53) - 1) / float(1 << 53)
-    sample = known.join(F.broadcast(share), "lang").where(draw < F.col("share")).select("lang", "text")
+    sample = known.join(sized_broadcast(share), "lang").where(draw < F.col("share")).select("lang", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
