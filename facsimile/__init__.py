@@ -12,7 +12,6 @@ functions  Column-level helpers (hash uniforms, normal CDF/quantile, formats)
 operators  the library proper (profile, generate, marginals, copula, evaluate,
            constraints, drivers, distributed scans)
 plans      end-to-end jobs and the query catalogue used by ``__spark_entry__``
-streaming  intentionally empty: the reference has no streaming operators
 """
 
 __version__ = "0.1.0"

@@ -61,9 +61,16 @@ def phi_sql(x: str) -> str:
 
 
 def log_phi_sql(x: str) -> str:
-    """ln Phi(x) without cancellation for large positive x (ln(1 - tail))."""
-    tail = lower_tail_sql(x)
-    return f"(CASE WHEN {x} > 0 THEN ln(1.0 - {tail}) ELSE ln({tail}) END)"
+    """ln Phi(x) for any x: ln(1 - tail) above 0, and below -7.07 the logarithm of the
+    continued fraction, which neither cancels nor underflows."""
+    a = f"abs({x})"
+    far = f"({a} + 0.65)"
+    for k in (4, 3, 2, 1):
+        far = f"({a} + {k}.0 / {far})"
+    log_far = f"(-0.5 * {a} * {a} - ln({far}) - 0.9189385332046728)"
+    body = f"(exp(-0.5 * {a} * {a}) * {_horner(HART_NUM, a)} / {_horner(HART_DEN, a)})"
+    return (f"(CASE WHEN {x} > 0 THEN ln(1.0 - {lower_tail_sql(x)}) "
+            f"WHEN {a} < 7.07106781186547 THEN ln({body}) ELSE {log_far} END)")
 
 
 def probit_initial_sql(p: str) -> str:
@@ -86,30 +93,6 @@ def probit_refine_sql(x0: str, p: str) -> str:
     return f"({x0} - {u} / (1.0 + {x0} * {u} / 2.0))"
 
 
-def tail_from_abs_sql(a: str) -> str:
-    """Phi(-a) for a column ``a`` already holding |x| (each term referenced once)."""
-    body = f"(exp(-0.5 * {a} * {a}) * {_horner(HART_NUM, a)} / {_horner(HART_DEN, a)})"
-    far = f"({a} + 0.65)"
-    for k in (4, 3, 2, 1):
-        far = f"({a} + {k}.0 / {far})"
-    far = f"(exp(-0.5 * {a} * {a}) / {far} / 2.506628274631)"
-    return f"(CASE WHEN {a} > 37.0 THEN 0.0 WHEN {a} < 7.07106781186547 THEN {body} ELSE {far} END)"
-
-
-def with_phi(df: DataFrame, cols: dict[str, str]) -> DataFrame:
-    """Add ``out = Phi(src)`` for every (out, src) pair, in three small stages.
-
-    Same values as ``phi_sql``; staging keeps every generated method small so
-    whole-stage code generation does not fall back to interpretation.
-    """
-    a = {f"__a_{o}": F.abs(F.col(src)) for o, src in cols.items()}
-    df = df.withColumns(a)
-    df = df.withColumns({f"__t_{o}": F.expr(tail_from_abs_sql(f"__a_{o}")) for o in cols})
-    df = df.withColumns({o: F.when(F.col(src) > 0, 1.0 - F.col(f"__t_{o}")).otherwise(F.col(f"__t_{o}"))
-                         for o, src in cols.items()})
-    return df.drop(*[f"__a_{o}" for o in cols], *[f"__t_{o}" for o in cols])
-
-
 def with_probit(df: DataFrame, p: str, out: str) -> DataFrame:
     """Add ``out = Phi^-1(p)``; p must lie strictly inside (0, 1)."""
     tmp = f"__x0_{out}"

@@ -1,9 +1,11 @@
 """Counter-based uniforms and normal draws.
 
-``u = (int(hex[8k:8k+8]) + 0.5) / 2^32`` where ``hex = md5(seed:stream:key)``.
-One md5 yields four independent uniforms in (0, 1).  The value depends only
-on (seed, stream, key), never on partitioning, task order or retries, and the
-same formula runs in DuckDB, so synthetic data can be checked against SQL.
+``u = (int(hex[16k:16k+13]) + 0.5) / 2^52`` where ``hex = md5(seed:stream:keys)``.
+One md5 yields two independent uniforms in (0, 1) of 52 bits each.  The value
+depends only on (seed, stream, keys), never on partitioning, task order or
+retries, and the same formula runs in DuckDB, so synthetic data can be checked
+against SQL.  Each key is written with its length before it, and a null as ``~``,
+so no two different key tuples give the same text.
 """
 
 from __future__ import annotations
@@ -13,36 +15,32 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-TWO_32 = 4294967296.0
-
-
-def hash_hex_sql(seed: int, stream: str, keys: Sequence[str]) -> str:
-    parts = [f"'{int(seed)}'", f"'{stream}'"] + [f"CAST({k} AS STRING)" for k in keys]
-    return "md5(concat_ws(':', " + ", ".join(parts) + "))"
-
-
-def _hash_hex_duck(seed: int, stream: str, keys: Sequence[str]) -> str:
-    parts = [f"'{int(seed)}'", f"'{stream}'"] + [f"CAST({k} AS VARCHAR)" for k in keys]
-    return "md5(concat_ws(':', " + ", ".join(parts) + "))"
+TWO_52 = 4503599627370496.0
+#: Uniforms that one digest holds.
+WORDS = 2
 
 
 def hex_hash(seed: int, stream: str, keys: Sequence[str], dialect: str = "spark") -> str:
-    """SQL text of the md5 hex digest of ``seed:stream:key1:key2...``."""
-    if dialect == "spark":
-        return hash_hex_sql(seed, stream, keys)
-    return _hash_hex_duck(seed, stream, keys)
+    """SQL text of the md5 hex digest of seed, stream and keys."""
+    kind = "STRING" if dialect == "spark" else "VARCHAR"
+    parts = [f"'{int(seed)}'", f"'{stream}'"]
+    for k in keys:
+        text = f"CAST({k} AS {kind})"
+        parts.append(f"coalesce(concat(CAST(length({text}) AS {kind}), '=', {text}), '~')" if dialect == "spark" else
+                     f"CASE WHEN {k} IS NULL THEN '~' ELSE concat(CAST(length({text}) AS {kind}), '=', {text}) END")
+    return "md5(concat_ws(':', " + ", ".join(parts) + "))"
 
 
 def uniform_from_hex(hex_col: str, k: int, dialect: str = "spark") -> str:
-    """k-th (0..3) uniform in (0,1) taken from a 32-hex-digit digest column."""
-    if not 0 <= k < 4:
-        raise ValueError("an md5 digest holds four 32-bit words")
-    piece = f"substr({hex_col}, {8 * k + 1}, 8)"
+    """k-th (0 or 1) uniform in (0,1) taken from a 32-hex-digit digest column."""
+    if not 0 <= k < WORDS:
+        raise ValueError("an md5 digest holds two 52-bit words")
+    piece = f"substr({hex_col}, {16 * k + 1}, 13)"
     if dialect == "spark":
         word = f"CAST(conv({piece}, 16, 10) AS DOUBLE)"
     else:
         word = f"CAST(CAST('0x' || {piece} AS BIGINT) AS DOUBLE)"
-    return f"(({word} + 0.5) / {TWO_32})"
+    return f"(({word} + 0.5) / {TWO_52})"
 
 
 def uniform_sql(seed: int, stream: str, keys: Sequence[str], k: int = 0,
@@ -58,14 +56,14 @@ def hash_u(seed: int, stream: str, *keys: str) -> Column:
 
 def with_uniforms(df: DataFrame, seed: int, stream: str, keys: Sequence[str],
                   names: Sequence[str]) -> DataFrame:
-    """Add one uniform column per name; four names share one md5 digest."""
+    """Add one uniform column per name; two names share one md5 digest."""
     out = df
-    for block in range(0, len(names), 4):
+    for block in range(0, len(names), WORDS):
         hx = f"__hx_{stream}_{block}"
-        out = out.withColumn(hx, F.expr(hex_hash(seed, f"{stream}:{block // 4}", keys)))
+        out = out.withColumn(hx, F.expr(hex_hash(seed, f"{stream}:{block // WORDS}", keys)))
         out = out.withColumns({
             name: F.expr(uniform_from_hex(hx, i))
-            for i, name in enumerate(names[block:block + 4])
+            for i, name in enumerate(names[block:block + WORDS])
         })
         out = out.drop(hx)
     return out
@@ -77,10 +75,6 @@ def box_muller_sql(u1: str, u2: str, which: int) -> str:
     return f"(sqrt(-2.0 * ln({u1})) * {trig}(6.283185307179586 * {u2}))"
 
 
-def normal_names(prefix: str, d: int) -> list[str]:
-    return [f"{prefix}{i}" for i in range(d)]
-
-
 def with_normals(df: DataFrame, seed: int, stream: str, keys: Sequence[str],
                  names: Sequence[str]) -> DataFrame:
     """Add independent N(0,1) columns (Box-Muller over hash uniforms)."""
@@ -104,9 +98,9 @@ def normals_sql(seed: int, stream: str, keys: Sequence[str], d: int,
     """
     pairs = (d + 1) // 2
     inner = []
-    for block in range(0, 2 * pairs, 4):
-        hx = hex_hash(seed, f"{stream}:{block // 4}", keys, dialect)
-        for i in range(block, min(block + 4, 2 * pairs)):
+    for block in range(0, 2 * pairs, WORDS):
+        hx = hex_hash(seed, f"{stream}:{block // WORDS}", keys, dialect)
+        for i in range(block, min(block + WORDS, 2 * pairs)):
             inner.append(f"{uniform_from_hex(hx, i - block, dialect)} AS __u_{stream}_{i}")
     outer = []
     for i in range(d):

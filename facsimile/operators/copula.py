@@ -2,25 +2,29 @@
 Gaussian copula.
 
 Fit (per group of ``keys``)
-    * one ``groupBy.agg`` of counts, means, variances and the d(d-1)/2
-      covariances (partial aggregation on every mapper, so a hot group never
-      lands whole in a task) -> Pearson correlation with NaN -> 0 on every
-      entry including the diagonal of constant columns (A6), plus 1e-6 on the
-      diagonal (C2), then a Cholesky factor written as column expressions (C3);
+    * group means, then one ``groupBy.agg`` of counts, bounds and the sums and
+      cross products of the values less their group's mean (partial aggregation
+      on every mapper, so a hot group never lands whole in a task; nothing
+      cancels however large the values are) -> Pearson correlation with
+      undefined -> 0 on every entry including the diagonal of constant columns
+      (A6), plus a ridge of 1e-6 on the diagonal (C2), then the Cholesky factor
+      (C3).  A matrix without a factor gets ten times the ridge until it has
+      one; the ridge used is in the parameter table;
     * the empirical marginals as a rank table (group, feature, rank, x_lo,
-      x_hi): values are unpivoted and ranked with the skew-safe scan
-      (``scan.ordinal``) and each rank is paired with its successor.
+      x_hi): equal values are counted first, the distinct ones ranked with the
+      skew-safe scan (``scan.running_sums``), and each rank is paired with the
+      next one's value.
 
 Sample
     * one synthetic row per real row of the group (rank 0..n-1 of the first
       feature gives the row ids), the group's factor joined by a size-checked
       broadcast (J3);
     * d correlated normals ``z = L e`` from hash draws (C4), ``u = Phi(z)``
-      (C5) quantised to a 1e-6 grid so results are bit-identical across
-      engines, and the empirical quantile ``np.quantile`` style with
+      (C5), and the empirical quantile ``np.quantile`` style with
       ``h = (n-1) u`` by an equi-join on (group, feature, floor(h)) (C6, J4);
     * the cells are pivoted back to one row per synthetic record (C7) with all
       d features under their own names and the group key split into columns.
+      Between these steps a group is a number and a feature another.
 """
 
 from __future__ import annotations
@@ -33,14 +37,12 @@ from pyspark.sql import functions as F
 
 from ..functions.normal import phi_sql
 from ..functions.rng import with_normals
-from ..session import materialize
+from ..session import discard, materialize
 from .joins import join_null_safe, sized_broadcast
 from .profile import is_missing
-from .scan import ordinal
+from .scan import running_sums
 
 EPSILON = 1e-6
-U_GRID = 1e6
-MIN_PIVOT = 1e-12
 
 
 def pair_index(d: int) -> list[tuple[int, int]]:
@@ -56,57 +58,41 @@ def complete_rows(df: DataFrame, features: Sequence[str]) -> DataFrame:
     return df.where(cond)
 
 
-CONSTANT_REL_VAR = 1e-12
-
-
-def moment_sums_sql(d: int, features: Sequence[str]) -> list[str]:
-    """Aggregate items: n, s_i = sum x_i, q_i_j = sum x_i x_j (i <= j)."""
-    items = ["count(*) AS n"]
-    items += [f"sum({features[i]}) AS s_{i}" for i in range(d)]
-    items += [f"sum({features[i]} * {features[j]}) AS q_{i}_{j}" for i, j in pair_index(d)]
-    return items
-
-
-def correlation_items_sql(d: int) -> dict[str, str]:
-    """From the sums: mean_i, var_i and Pearson r_i_j (i <= j), as SQL text.
+def correlation_stats(df: DataFrame, keys: Sequence[str], features: Sequence[str]) -> DataFrame:
+    """A5 + A6: per group ``n``, ``mean_i``, ``var_i`` and Pearson ``r_i_j`` (i <= j) of complete rows.
 
-    ``np.corrcoef`` semantics: an undefined coefficient (constant column,
-    single row) is 0, the diagonal included; values are clipped to [-1, 1].
-    A variance below 1e-12 of the mean square counts as zero (the sums
-    formula leaves rounding residue where a two-pass one gives exactly 0).
+    The means come first (one light aggregation); sums and cross products of the
+    values less their group's mean then stay as small as the spread is.
+    ``np.corrcoef`` semantics with undefined -> 0: a column whose values are all
+    equal has coefficient 0, the diagonal included; values are clipped to [-1, 1].
     """
-    out = {}
+    d, keys = len(features), list(keys)
+    x = complete_rows(df, features).select(*keys, *[F.col(f).cast("double").alias(f"__x{i}") for i, f in enumerate(features)])
+    means = [F.avg(f"__x{i}").alias(f"__m{i}") for i in range(d)]
+    if keys:
+        x = join_null_safe(x, sized_broadcast(x.groupBy(*keys).agg(*means)), keys)
+    else:
+        row = x.agg(*means).first()
+        x = x.withColumns({f"__m{i}": F.lit(row[f"__m{i}"]).cast("double") for i in range(d)})
+    dx = [F.col(f"__x{i}") - F.col(f"__m{i}") for i in range(d)]
+    items = [F.count(F.lit(1)).alias("n")]
     for i in range(d):
-        out[f"mean_{i}"] = f"(s_{i} / n)"
-        out[f"var_{i}"] = (f"(CASE WHEN n > 1 THEN greatest((q_{i}_{i} - s_{i} * s_{i} / n) / (n - 1), 0.0) END)")
-        out[f"ok_{i}"] = (f"(n > 1 AND (q_{i}_{i} - s_{i} * s_{i} / n) / (n - 1) > "
-                          f"{CONSTANT_REL_VAR!r} * (q_{i}_{i} / n))")
-    return out
-
-
-def pearson_sql(i: int, j: int) -> str:
-    if i == j:
-        return f"(CASE WHEN ok_{i} THEN 1.0 ELSE 0.0 END)"
-    cov = f"((q_{i}_{j} - s_{i} * s_{j} / n) / (n - 1))"
-    return (f"(CASE WHEN ok_{i} AND ok_{j} THEN greatest(-1.0, least(1.0, "
-            f"{cov} / sqrt(var_{i} * var_{j}))) ELSE 0.0 END)")
+        items += [F.max(f"__m{i}").alias(f"m_{i}"), F.sum(dx[i]).alias(f"s_{i}"), (F.max(f"__x{i}") > F.min(f"__x{i}")).alias(f"ok_{i}")]
+    items += [F.sum(dx[i] * dx[j]).alias(f"q_{i}_{j}") for i, j in pair_index(d)]
+    stats = x.groupBy(*keys).agg(*items)
+    n = F.col("n").cast("double")
 
+    def cov(i, j):
+        return F.when(n > 1, (F.col(f"q_{i}_{j}") - F.col(f"s_{i}") * F.col(f"s_{j}") / n) / (n - 1))
 
-def correlation_stats(df: DataFrame, keys: Sequence[str], features: Sequence[str]) -> DataFrame:
-    """A5 + A6: per group ``n``, ``mean_i``, ``var_i`` and Pearson ``r_i_j`` (i <= j).
-
-    One aggregation of plain sums and cross products (cheap to generate code
-    for, combinable on the map side), then the coefficients per group row.
-    """
-    d = len(features)
-    x = df.select(*keys, *[F.col(f).cast("double").alias(f"__x{i}") for i, f in enumerate(features)])
-    names = [f"__x{i}" for i in range(d)]
-    stats = x.groupBy(*keys).agg(*[F.expr(e) for e in moment_sums_sql(d, names)])
-    stats = stats.withColumns({k: F.expr(v) for k, v in correlation_items_sql(d).items()})
-    stats = stats.withColumns({f"r_{i}_{j}": F.expr(pearson_sql(i, j)) for i, j in pair_index(d)})
-    drop = ([f"s_{i}" for i in range(d)] + [f"q_{i}_{j}" for i, j in pair_index(d)]
-            + [f"ok_{i}" for i in range(d)])
-    return stats.drop(*drop)
+    stats = stats.withColumns({f"mean_{i}": F.when(n > 0, F.col(f"m_{i}") + F.col(f"s_{i}") / n) for i in range(d)}
+                              | {f"var_{i}": F.greatest(cov(i, i), F.lit(0.0)) for i in range(d)})
+    r = {}
+    for i, j in pair_index(d):
+        value = F.lit(1.0) if i == j else F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cov(i, j) / (F.sqrt(f"var_{i}") * F.sqrt(f"var_{j}"))))
+        defined = F.col(f"ok_{i}") & F.col(f"ok_{j}") & (F.col(f"var_{i}") > 0) & (F.col(f"var_{j}") > 0)
+        r[f"r_{i}_{j}"] = F.when(defined, value).otherwise(F.lit(0.0))
+    return stats.withColumns(r).select(*keys, "n", *[f"mean_{i}" for i in range(d)], *[f"var_{i}" for i in range(d)], *r)
 
 
 def correlation_long(stats: DataFrame, keys: Sequence[str], features: Sequence[str]) -> DataFrame:
@@ -122,86 +108,50 @@ def correlation_long(stats: DataFrame, keys: Sequence[str], features: Sequence[s
     return stats.select(*keys, F.explode(F.array(*cells)).alias("__c")).select(*keys, "__c.*")
 
 
-R_DECIMALS = 7
+def regularize(stats: DataFrame, d: int, eps: float = EPSILON) -> DataFrame:
+    """``a_i_j`` = ``r_i_j`` plus ``eps`` on the diagonal."""
+    return stats.withColumns({f"a_{i}_{j}": F.col(f"r_{i}_{j}") + (eps if i == j else 0.0) for i, j in pair_index(d)})
 
 
-def regularize_sql(i: int, j: int, eps: float = EPSILON) -> str:
-    """C2 entry: the coefficient on a 1e-7 grid plus ``eps`` on the diagonal.
+def _factor(a, eps: float):
+    """Cholesky factor of a matrix that holds the ridge ``eps``, and the ridge it took.
 
-    The grid makes the factor reproducible across engines and partitionings:
-    summation order changes coefficients in the 14th digit, and the factor of
-    a nearly collinear pair amplifies that by orders of magnitude.  The ridge
-    (1e-6) exceeds the largest eigenvalue shift the grid can cause
-    (d * 5e-8), so the matrix stays positive definite.
-    """
-    return f"(round(r_{i}_{j}, {R_DECIMALS}) + {eps if i == j else 0.0!r})"
+    An indefinite matrix (e.g. of coefficients rounded elsewhere) gets ten times
+    the ridge until it has a factor."""
+    import numpy as np
 
+    ridge = eps
+    while True:
+        try:
+            return np.linalg.cholesky(a), ridge
+        except np.linalg.LinAlgError:
+            a = a + np.eye(len(a)) * 9 * ridge
+            ridge *= 10
 
-def regularize(stats: DataFrame, d: int, eps: float = EPSILON) -> DataFrame:
-    """``a_i_j`` = gridded ``r_i_j`` plus ``eps`` on the diagonal."""
-    return stats.withColumns({f"a_{i}_{j}": F.expr(regularize_sql(i, j, eps)) for i, j in pair_index(d)})
 
+def cholesky(df: DataFrame, d: int, eps: float = EPSILON) -> DataFrame:
+    """Add ``L_i_j`` (i >= j) and ``ridge`` for every row (one small matrix per group)."""
+    import numpy as np
 
-def cholesky_steps(d: int) -> list[dict[str, str]]:
-    """C3 as SQL text, one dict of new columns per pivot column j.
+    from pyspark.sql.types import DoubleType, StructField, StructType
 
-    ``L_i_j`` (i >= j) from ``a_j_i`` (upper-triangle storage).  Each step
-    only references columns produced by earlier steps, so no expression is
-    ever inlined twice.
-    """
-    steps = []
-    for j in range(d):
-        step = {}
-        s = f"a_{j}_{j}" + "".join(f" - L_{j}_{k} * L_{j}_{k}" for k in range(j))
-        step[f"L_{j}_{j}"] = f"sqrt(greatest({s}, {MIN_PIVOT!r}))"
-        steps.append(step)
-        step2 = {}
-        for i in range(j + 1, d):
-            t = f"a_{j}_{i}" + "".join(f" - L_{i}_{k} * L_{j}_{k}" for k in range(j))
-            step2[f"L_{i}_{j}"] = f"(({t}) / L_{j}_{j})"
-        if step2:
-            steps.append(step2)
-    return steps
-
-
-def _cholesky_batches(d: int):
-    """mapInPandas body: the factor of every row, vectorised over the batch.
-
-    Same operation order as ``cholesky_steps`` (left-to-right subtraction of
-    products, max with MIN_PIVOT, sqrt, divide), so the doubles equal those of
-    the SQL form evaluated by any IEEE engine.
-    """
-    import numpy as np
+    pairs = pair_index(d)
 
     def run(batches):
         for pdf in batches:
-            L = {}
-            for j in range(d):
-                s = pdf[f"a_{j}_{j}"].to_numpy(dtype="float64").copy()
-                for k in range(j):
-                    s = s - L[(j, k)] * L[(j, k)]
-                L[(j, j)] = np.sqrt(np.maximum(s, MIN_PIVOT))
-                for i in range(j + 1, d):
-                    t = pdf[f"a_{j}_{i}"].to_numpy(dtype="float64").copy()
-                    for k in range(j):
-                        t = t - L[(i, k)] * L[(j, k)]
-                    L[(i, j)] = t / L[(j, j)]
-            for (i, j), v in L.items():
-                pdf[f"L_{i}_{j}"] = v
-            yield pdf
-    return run
-
-
-def cholesky(df: DataFrame, d: int) -> DataFrame:
-    """Add ``L_i_j`` (i >= j) for every row (one small matrix per group).
-
-    The parameter table has one row per group; numpy on Arrow batches avoids
-    compiling a d^3-term expression chain for a handful of rows.
-    """
-    from pyspark.sql.types import DoubleType, StructField, StructType
-    schema = StructType(df.schema.fields + [StructField(c, DoubleType()) for c in factor_columns(d)
-                                            if c not in df.columns])
-    return df.mapInPandas(_cholesky_batches(d), schema)
+            a = np.zeros((len(pdf), d, d))
+            for i, j in pairs:
+                a[:, i, j] = a[:, j, i] = pdf[f"a_{i}_{j}"].to_numpy(dtype="float64")
+            found = [_factor(x, eps) for x in a]
+            for i, j in pairs:
+                pdf[f"L_{j}_{i}"] = [f[j, i] for f, _ in found]
+            pdf["ridge"] = [r for _, r in found]
+            yield pdf[names]
+
+    new = [*factor_columns(d), "ridge"]
+    schema = StructType([f for f in df.schema.fields if f.name not in new] + [StructField(c, DoubleType()) for c in new])
+    names = schema.fieldNames()
+    return df.mapInPandas(run, schema)
 
 
 def factor_columns(d: int) -> list[str]:
@@ -212,19 +162,33 @@ def cast_features(df: DataFrame, features: Sequence[str]) -> DataFrame:
     return df.withColumns({f: F.col(f).cast("double") for f in features})
 
 
-def rank_table(df: DataFrame, keys: Sequence[str], features: Sequence[str]) -> DataFrame:
-    """J4 support: (keys, feature, rank, x_lo, x_hi), x_hi = next order statistic."""
-    cells = cast_features(df, features).unpivot(list(keys), list(features), "feature", "x")
-    ranked = ordinal(cells, list(keys) + ["feature"], ["x"], "rank", next_of="x")
-    return ranked.select(*keys, "feature", "rank", F.col("x").alias("x_lo"), F.col("__next_x").alias("x_hi"))
+def rank_table(df: DataFrame, group: str, features: Sequence[str]) -> DataFrame:
+    """J4 support: (group, f, rank, x_lo, x_hi), f = the feature's number, x_hi = next order statistic."""
+    cells = cast_features(df, features).select(group, F.posexplode(F.array(*features)).alias("f", "x")).withColumn("f", F.col("f").cast("tinyint"))
+    counts = cells.groupBy(group, "f", "x").agg(F.count(F.lit(1)).alias("c"))
+    cum = running_sums(counts, [group, "f"], ["x"], {"cum": "c"}, tag="copula-scan", next_of="x")
+    # a value that occurs c times holds c ranks
+    ranked = cum.select(group, "f", "x", "__next_x", "cum", F.explode(F.sequence(F.col("cum") - F.col("c"), F.col("cum") - 1)).alias("rank"))
+    return ranked.select(group, "f", "rank", F.col("x").alias("x_lo"),
+                         F.when(F.col("rank") < F.col("cum") - 1, F.col("x")).otherwise(F.col("__next_x")).alias("x_hi"))
 
 
 @dataclass
 class GroupCopulaModel:
     keys: list[str]
     features: list[str]
-    params: DataFrame      # keys, n, mean_i, var_i, r_i_j, a_i_j, L_i_j
-    ranks: DataFrame       # keys, feature, rank, x_lo, x_hi
+    params: DataFrame      # keys, __g, n, mean_i, var_i, r_i_j, a_i_j, L_i_j, ridge
+    ranks: DataFrame       # __g, f, rank, x_lo, x_hi
+
+    def skeleton(self) -> DataFrame:
+        """(__g, k): one row for each real row of a group."""
+        return self.ranks.where("f = 0").select("__g", F.col("rank").alias("k"))
+
+    def named_ranks(self) -> DataFrame:
+        """The rank table under the group's keys and the feature's name."""
+        names = F.array(*[F.lit(f) for f in self.features])
+        groups = sized_broadcast(self.params.select(*self.keys, "__g"))
+        return self.ranks.join(groups, "__g").select(*self.keys, F.element_at(names, F.col("f") + 1).alias("feature"), "rank", "x_lo", "x_hi")
 
 
 def fit_group_copula(df: DataFrame, keys: Sequence[str], features: Sequence[str]) -> GroupCopulaModel:
@@ -234,56 +198,49 @@ def fit_group_copula(df: DataFrame, keys: Sequence[str], features: Sequence[str]
     # the source (often a multi-way join) is read once; three passes follow
     data = materialize(complete_rows(df, features).select(*keys, *features), "copula-input")
     params = cholesky(regularize(correlation_stats(data, keys, features), d), d)
-    params = materialize(params, "copula-params")
-    ranks = materialize(rank_table(data, keys, features), "copula-ranks")
+    # a number stands for the keys of a group from here on: cells stay narrow in every shuffle
+    params = materialize(params.withColumn("__g", F.monotonically_increasing_id()), "copula-params")
+    coded = join_null_safe(data, sized_broadcast(params.select(*keys, "__g")), keys).select("__g", *features)
+    ranks = materialize(rank_table(coded, "__g", features), "copula-ranks")
+    discard(data)
     return GroupCopulaModel(keys, features, params, ranks)
 
 
-def _draw_stream(seed: int) -> str:
-    return "copula"
+def correlated_normals(skeleton: DataFrame, params: DataFrame, keys: Sequence[str], d: int, seed: int) -> DataFrame:
+    """C4: join the factor (J3) to (__g, k) rows and draw ``z = L e``: (keys, __g, k, n, z_i)."""
+    joined = skeleton.join(sized_broadcast(params.select(*keys, "__g", "n", *factor_columns(d))), "__g")
+    e_names = [f"__e{i}" for i in range(d)]
+    drawn = with_normals(joined, seed, "copula", [*keys, "k"], e_names)
+    z = [sum((F.col(f"L_{i}_{m}") * F.col(e_names[m]) for m in range(i + 1)), F.lit(0.0)).alias(f"z_{i}") for i in range(d)]
+    return drawn.select(*keys, "__g", "k", "n", *z)
 
 
-def correlated_uniforms(skeleton: DataFrame, model_params: DataFrame, keys: Sequence[str],
-                        d: int, seed: int, id_cols: Sequence[str]) -> DataFrame:
-    """C4 + C5: join the factor (J3), draw ``z = L e`` and map to quantised ``u``."""
-    params = model_params.select(*keys, "n", *factor_columns(d))
-    joined = join_null_safe(skeleton, sized_broadcast(params), list(keys))
-    e_names = [f"__e{i}" for i in range(d)]
-    drawn = with_normals(joined, seed, "copula", [*keys, *id_cols], e_names)
-    z = {f"__z{i}": sum((F.col(f"L_{i}_{m}") * F.col(e_names[m]) for m in range(i + 1)), F.lit(0.0))
-         for i in range(d)}
-    drawn = drawn.withColumns(z)
-    u = {f"u_{i}": (F.floor(F.expr(phi_sql(f"__z{i}")) * U_GRID) + 0.5) / U_GRID for i in range(d)}
-    return drawn.withColumns(u).drop(*e_names, *z.keys(), *factor_columns(d))
+def correlated_uniforms(skeleton: DataFrame, params: DataFrame, keys: Sequence[str], d: int, seed: int) -> DataFrame:
+    """C4 + C5: correlated draws mapped to ``u = Phi(z)``: (keys, __g, k, n, u_i)."""
+    drawn = correlated_normals(skeleton, params, keys, d, seed)
+    return drawn.select(*keys, "__g", "k", "n", *[F.expr(phi_sql(f"z_{i}")).alias(f"u_{i}") for i in range(d)])
 
 
-def empirical_quantile(cells: DataFrame, ranks: DataFrame, keys: Sequence[str],
-                       value: str = "value") -> DataFrame:
+def empirical_quantile(cells: DataFrame, ranks: DataFrame, value: str = "value") -> DataFrame:
     """``np.quantile``-style linear interpolation via the rank join.
 
-    ``cells`` has keys, feature, n, u; returns them with ``value``.
+    ``cells`` has __g, f, n, u and is returned with ``value``.
     """
     h = (F.col("n") - 1).cast("double") * F.col("u")
     pos = cells.withColumn("__h", h).withColumn("rank", F.floor("__h").cast("bigint"))
     pos = pos.withColumn("__frac", F.col("__h") - F.col("rank"))
-    joined = join_null_safe(pos, ranks, list(keys) + ["feature", "rank"])
     v = F.col("x_lo") + F.col("__frac") * (F.coalesce(F.col("x_hi"), F.col("x_lo")) - F.col("x_lo"))
-    return joined.withColumn(value, v).drop("__h", "__frac", "x_lo", "x_hi")
+    return pos.join(ranks, ["__g", "f", "rank"]).withColumn(value, v).drop("__h", "__frac", "x_lo", "x_hi")
 
 
 def sample_group_copula(model: GroupCopulaModel, seed: int = 453) -> DataFrame:
     """C1 sample: as many synthetic rows per group as real ones (C7 layout)."""
     keys, feats, d = model.keys, model.features, len(model.features)
-    skeleton = (model.ranks.where(F.col("feature") == feats[0])
-                .select(*keys, F.col("rank").alias("k")))
-    u = correlated_uniforms(skeleton, model.params, keys, d, seed, ["k"])
-    cells = u.select(*keys, "k", "n", F.explode(F.array(*[
-        F.struct(F.lit(f).alias("feature"), F.col(f"u_{i}").alias("u")) for i, f in enumerate(feats)
-    ])).alias("__c")).select(*keys, "k", "n", "__c.*")
-    valued = empirical_quantile(cells, model.ranks, keys)
-    wide = valued.groupBy(*keys, "k").agg(*[
-        F.max(F.when(F.col("feature") == f, F.col("value"))).alias(f) for f in feats])
-    return wide
+    u = correlated_uniforms(model.skeleton(), model.params, keys, d, seed)
+    cells = u.select("__g", "k", "n", F.posexplode(F.array(*[f"u_{i}" for i in range(d)])).alias("f", "u")).withColumn("f", F.col("f").cast("tinyint"))
+    valued = empirical_quantile(cells, model.ranks)
+    wide = valued.groupBy("__g", "k").agg(*[F.max(F.when(F.col("f") == i, F.col("value"))).alias(f) for i, f in enumerate(feats)])
+    return wide.join(sized_broadcast(model.params.select(*keys, "__g")), "__g").select(*keys, "k", *feats)
 
 
 def group_copula(df: DataFrame, keys: Sequence[str], features: Sequence[str],

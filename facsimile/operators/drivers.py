@@ -1,15 +1,21 @@
 """M1-M4: which columns drive default, as one Spark ML pipeline.
 
-* M1 mean imputation (``ml.feature.Imputer``; all-missing columns are kept
-  and reported rather than dropped);
+* M1 mean imputation (``ml.feature.Imputer``); features without any value in the
+  training part can't be imputed: they are left out and reported in ``empty``;
 * M2 random-forest regression on the 0/1 label with the label and the
   identifiers excluded from the features (the reference had both among them),
-  split by a stable hash (W7) and scored on the held-out part (RMSE, AUC);
+  split by a stable hash (W7) and scored on the held-out part (RMSE, AUC); rows
+  without a label can't be learnt from: they are left out and counted in
+  ``n_unlabelled``;
 * M3 impurity importances, ranked (W4);
-* M4 permutation importance on the held-out rows: each feature's values are
-  re-paired by a seeded cyclic shift over a hash order (one ordinal scan, one
-  equi-join per feature - no collect, no cross join) and the RMSE increase is
-  reported.  This replaces the tree-SHAP summary (a per-model algorithm).
+* M4 permutation importance on the held-out rows: each row's donor is the next row
+  in a seeded hash order (one ordinal scan, one equi-join for all features); every
+  (row, feature) hybrid is scored in one pass, and the RMSE increase is reported;
+* M4 Shapley summary: Monte-Carlo Shapley values with the donor as background.  A
+  row's hash order of the features is its permutation; a feature's contribution is
+  the prediction with it and all before it taken from the row, less the one with
+  only those before it.  All contributions are scored in one pass.  This replaces
+  the tree-SHAP summary (a per-model algorithm).
 """
 
 from __future__ import annotations
@@ -21,7 +27,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.feature import Imputer, VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rng import hash_u
@@ -37,6 +43,8 @@ class DriverModel:
     train: DataFrame
     test: DataFrame
     label: str
+    empty: list[str]
+    n_unlabelled: int
 
 
 def fit_drivers(df: DataFrame, features: Sequence[str], label: str = "pd_status_score",
@@ -47,8 +55,15 @@ def fit_drivers(df: DataFrame, features: Sequence[str], label: str = "pd_status_
     data = df.select(*id_cols, label, *[F.col(f).cast("double").alias(f) for f in features])
     data = train_test_split(data, list(id_cols), seed=seed)
     data = materialize(data, "drivers-input")
+    unlabelled = data.where(F.col(label).isNull()).count()
+    data = data.where(F.col(label).isNotNull())
     train = data.where("is_train").drop("is_train")
     test = data.where(~F.col("is_train")).drop("is_train")
+    present = train.agg(*[F.count(F.when(~F.isnan(f), F.col(f))).alias(f) for f in features]).first()
+    empty = [f for f in features if not present[f]]
+    features = [f for f in features if present[f]]
+    if not features:
+        raise ValueError("no feature has any value in the training part")
     imputed = [f"{f}__imp" for f in features]
     pipe = Pipeline(stages=[
         Imputer(strategy="mean", inputCols=list(features), outputCols=imputed),
@@ -57,7 +72,7 @@ def fit_drivers(df: DataFrame, features: Sequence[str], label: str = "pd_status_
                               numTrees=num_trees, maxDepth=max_depth, seed=seed),
     ])
     model = pipe.fit(train)
-    return DriverModel(list(features), model, train, test, label)
+    return DriverModel(list(features), model, train, test, label, empty, unlabelled)
 
 
 def evaluate_drivers(m: DriverModel) -> DataFrame:
@@ -81,18 +96,44 @@ def feature_importances(m: DriverModel) -> DataFrame:
                                  "feature string, importance double, rank int")
 
 
-def permutation_importance(m: DriverModel, seed: int = 7, id_col: str = "contract_number") -> DataFrame:
-    """M4: (feature, rmse_base, rmse_permuted, increase)."""
-    ev = RegressionEvaluator(labelCol=m.label, predictionCol="prediction", metricName="rmse")
-    base = ev.evaluate(m.model.transform(m.test))
+def _with_donor(m: DriverModel, seed: int, id_col: str) -> tuple[DataFrame, int]:
+    """Held-out rows with ``d_<feature>``: the values of the next row in hash order."""
     test = m.test.withColumn("__h", hash_u(seed, "perm", id_col))
     test = materialize(ordinal(test, [], ["__h", id_col], "__pos"), "perm-order")
     n = test.count()
-    rows = []
-    for f in m.features:
-        donor = test.select(((F.col("__pos") + 1) % F.lit(n)).alias("__pos"), F.col(f).alias("__donor"))
-        shuffled = test.join(donor, "__pos").withColumn(f, F.col("__donor")).drop("__donor")
-        rows.append((f, float(base), float(ev.evaluate(m.model.transform(shuffled)))))
-    spark = m.test.sparkSession
-    out = spark.createDataFrame(rows, "feature string, rmse_base double, rmse_permuted double")
+    donor = test.select(((F.col("__pos") + n - 1) % F.lit(n)).alias("__pos"), *[F.col(f).alias(f"d_{f}") for f in m.features])
+    return test.join(donor, "__pos"), n
+
+
+def _predict(m: DriverModel, df: DataFrame, values: dict, out: str) -> DataFrame:
+    """Add the model's prediction for the given feature values; all columns stay."""
+    keep = df.columns
+    scored = m.model.transform(df.withColumns({f"__own_{f}": F.col(f) for f in m.features}).withColumns(values))
+    return scored.select(*[F.col(f"__own_{c}").alias(c) if c in m.features else F.col(c) for c in keep], F.col("prediction").alias(out))
+
+
+def permutation_importance(m: DriverModel, seed: int = 7, id_col: str = "contract_number") -> DataFrame:
+    """M4: (feature, rmse_base, rmse_permuted, increase)."""
+    rows, _ = _with_donor(m, seed, id_col)
+    rows = _predict(m, rows, {}, "__base")
+    cells = rows.withColumn("feature", F.explode(F.array(*[F.lit(f) for f in m.features])))
+    hybrid = {f: F.when(F.col("feature") == f, F.col(f"d_{f}")).otherwise(F.col(f)) for f in m.features}
+    scored = _predict(m, cells, hybrid, "__permuted")
+    err = lambda c: F.sqrt(F.avg(F.pow(F.col(c) - F.col(m.label), 2)))
+    out = scored.groupBy("feature").agg(err("__base").alias("rmse_base"), err("__permuted").alias("rmse_permuted"))
     return out.withColumn("increase", F.col("rmse_permuted") - F.col("rmse_base"))
+
+
+def shapley_summary(m: DriverModel, seed: int = 11, id_col: str = "contract_number") -> DataFrame:
+    """M4: (feature, mean_abs_contribution, rank), one sampled permutation per held-out row."""
+    rows, _ = _with_donor(m, seed, id_col)
+    turn = {f: F.xxhash64(F.lit(seed), F.lit(f), F.col(id_col).cast("string")) for f in m.features}
+    cells = rows.withColumns({f"t_{f}": t for f, t in turn.items()}).withColumn(
+        "x", F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f"t_{f}").alias("turn")) for f in m.features])))
+    cells = cells.withColumns({"feature": F.col("x.feature"), "turn": F.col("x.turn")}).drop("x")
+    upto = {f: F.when(F.col(f"t_{f}") <= F.col("turn"), F.col(f)).otherwise(F.col(f"d_{f}")) for f in m.features}
+    before = {f: F.when(F.col(f"t_{f}") < F.col("turn"), F.col(f)).otherwise(F.col(f"d_{f}")) for f in m.features}
+    scored = _predict(m, _predict(m, cells, upto, "__with"), before, "__without")
+    out = scored.groupBy("feature").agg(F.avg(F.abs(F.col("__with") - F.col("__without"))).alias("mean_abs_contribution"))
+    place = Window.orderBy(F.desc("mean_abs_contribution"), "feature")  # one row for each feature
+    return out.withColumn("rank", F.row_number().over(place))

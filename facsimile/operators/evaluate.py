@@ -14,11 +14,16 @@ Definitions (documented where they are ours):
 * Moments: mean, sample variance, bias-corrected skewness G1 and excess
   kurtosis G2 (the pandas / DuckDB conventions).
 * Quality report: Column Shapes = 1 - KS D (numeric) or 1 - total variation
-  (categorical); Column Pair Trends = 1 - |rho_real - rho_synth| / 2; overall
-  = mean of the two property averages.
-* Diagnostic: boundary adherence (numeric), category adherence (categorical)
-  and table structure (shared column names); overall = mean of the validity
-  and structure properties.
+  (categorical); Column Pair Trends = 1 - |rho_real - rho_synth| / 2 for two
+  numeric columns, else 1 - total variation of the pair's joint shares, a numeric
+  column being cut into ``PAIR_BINS`` bins of the real range; overall = mean of
+  the two property averages.
+* Diagnostic: boundary adherence (numeric), category adherence (categorical),
+  key uniqueness (of the synthetic key, if one is named) and table structure
+  (columns shared by name and type); overall = mean of the validity and
+  structure properties.
+
+A constant column has no Anderson-Darling statistic (null).
 """
 
 from __future__ import annotations
@@ -104,15 +109,18 @@ def anderson_normal(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     c = cells(df, cols)
     stats = c.groupBy("column_name").agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("mu"),
                                          F.stddev_samp("x").alias("sd"))
-    ranked = running_sums(c, ["column_name"], ["x"], {"j": F.lit(1)}, tag="ad")
+    # equal values are counted first: a tie block has a closed sum, and no value can fill a task
+    counts = c.groupBy("column_name", "x").agg(F.count(F.lit(1)).alias("c"))
+    ranked = running_sums(counts, ["column_name"], ["x"], {"j": "c"}, tag="ad")
     w = ranked.join(bounded_broadcast(stats, len(cols)), "column_name").withColumn(
-        "__w", (F.col("x") - F.col("mu")) / F.col("sd")).withColumn("__mw", -F.col("__w"))
+        "__w", (F.col("x") - F.col("mu")) / F.nullif(F.col("sd"), F.lit(0.0))).withColumn("__mw", -F.col("__w"))
     n = F.col("n").cast("double")
-    term = ((2 * F.col("j") - 1) * F.expr(log_phi_sql("__w"))
-            + (2 * n - 2 * F.col("j") + 1) * F.expr(log_phi_sql("__mw")))
+    # over the block j - c + 1 .. j: sum (2i - 1) = c (2j - c) and sum (2n - 2i + 1) = c (2n - 2j + c)
+    low, high = 2.0 * F.col("j") - F.col("c"), 2.0 * n - 2.0 * F.col("j") + F.col("c")
+    term = F.col("c") * (low / n * F.expr(log_phi_sql("__w")) + high / n * F.expr(log_phi_sql("__mw")))
     a2 = w.groupBy("column_name", "n").agg(F.sum(term).alias("__s"))
     out = a2.select("column_name", F.col("n").cast("bigint").alias("n"),
-                    (-n - F.col("__s") / n).alias("statistic"))
+                    (-n - F.col("__s")).alias("statistic"))
     factor = 1.0 + 4.0 / n - 25.0 / (n * n)
     names = ["crit_15", "crit_10", "crit_5", "crit_2_5", "crit_1"]
     return out.withColumns({nm: F.round(F.lit(v) / factor, 3) for nm, v in zip(names, AD_CRITICAL)})
@@ -145,11 +153,12 @@ def column_shapes(real: DataFrame, synth: DataFrame, numeric: Sequence[str],
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
-def column_pair_trends(real: DataFrame, synth: DataFrame, numeric: Sequence[str]) -> DataFrame:
-    """(column_1, column_2, real_correlation, synthetic_correlation, score) for i < j."""
+PAIR_BINS = 10
+
+
+def _numeric_pair_trends(real: DataFrame, synth: DataFrame, numeric: Sequence[str]) -> DataFrame:
     def corr(df):
-        d = df.select(*[F.when(~is_missing(df, c), F.col(c).cast("double")).alias(c) for c in numeric]).dropna()
-        return correlation_long(correlation_stats(d, [], numeric), [], numeric)
+        return correlation_long(correlation_stats(df, [], numeric), [], numeric)
     r = corr(real).withColumnRenamed("rho", "real_correlation")
     s = corr(synth).withColumnRenamed("rho", "synthetic_correlation")
     order = {c: i for i, c in enumerate(numeric)}
@@ -160,16 +169,71 @@ def column_pair_trends(real: DataFrame, synth: DataFrame, numeric: Sequence[str]
                     (1 - F.abs(F.col("real_correlation") - F.col("synthetic_correlation")) / 2).alias("score"))
 
 
+def contingency_similarity(real: DataFrame, synth: DataFrame, numeric: Sequence[str], categorical: Sequence[str],
+                           bins: int = PAIR_BINS) -> DataFrame:
+    """(column_1, column_2, score) for the pairs with a categorical column: 1 - TV of the joint shares.
+
+    Rows spread into one cell per pair and are counted on the map side at once, so a
+    shuffle holds distinct value pairs only.  Missing values are a category."""
+    bounds = {}
+    if numeric:
+        row = real.agg(*[f(F.when(~is_missing(real, c), F.col(c).cast("double"))).alias(f"{n}_{i}")
+                         for i, c in enumerate(numeric) for n, f in (("lo", F.min), ("hi", F.max))]).first()
+        bounds = {c: (row[f"lo_{i}"], row[f"hi_{i}"]) for i, c in enumerate(numeric)}
+
+    def value(df, c):
+        if c not in bounds:
+            return F.col(c).cast("string")
+        lo, hi = bounds[c]
+        if lo is None:
+            return F.lit(None).cast("string")
+        return F.when(~is_missing(df, c), _bin(F.col(c).cast("double"), F.lit(lo), F.lit(hi), bins)).cast("string")
+
+    columns = [*numeric, *categorical]
+    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1:] if b in categorical]
+
+    def counts(df, side):
+        at = df.select(*[value(df, c).alias(c) for c in columns])
+        long = at.select(F.explode(F.array(*[F.struct(F.lit(a).alias("column_1"), F.lit(b).alias("column_2"),
+                                                      F.col(a).alias("v1"), F.col(b).alias("v2")) for a, b in pairs])).alias("x")).select("x.*")
+        return long.groupBy("column_1", "column_2", "v1", "v2").agg(F.count(F.lit(1)).alias("c")).withColumn("side", F.lit(side))
+    both = counts(real, 0).unionByName(counts(synth, 1)).groupBy("column_1", "column_2", "v1", "v2").agg(
+        F.sum(F.when(F.col("side") == 0, F.col("c")).otherwise(0)).alias("c_r"), F.sum(F.when(F.col("side") == 1, F.col("c")).otherwise(0)).alias("c_s"))
+    tot = both.groupBy("column_1", "column_2").agg(F.sum("c_r").alias("n_r"), F.sum("c_s").alias("n_s"))
+    j = both.join(bounded_broadcast(tot, len(pairs)), ["column_1", "column_2"])
+    gap = F.abs(F.try_divide("c_r", "n_r") - F.try_divide("c_s", "n_s"))
+    return j.groupBy("column_1", "column_2").agg((1 - 0.5 * F.sum(gap)).alias("score"))
+
+
+def column_pair_trends(real: DataFrame, synth: DataFrame, numeric: Sequence[str],
+                       categorical: Sequence[str] = ()) -> DataFrame:
+    """(column_1, column_2, real_correlation, synthetic_correlation, score) for every pair.
+
+    Correlations are null for pairs with a categorical column."""
+    parts = []
+    if len(numeric) > 1:
+        parts.append(_numeric_pair_trends(real, synth, numeric))
+    if categorical and len(numeric) + len(categorical) > 1:
+        none = F.lit(None).cast("double")
+        parts.append(contingency_similarity(real, synth, numeric, categorical).select(
+            "column_1", "column_2", none.alias("real_correlation"), none.alias("synthetic_correlation"), "score"))
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
 def quality_report(real: DataFrame, synth: DataFrame, numeric: Sequence[str],
                    categorical: Sequence[str] = ()) -> DataFrame:
     """(property, score) rows for Column Shapes, Column Pair Trends and Overall."""
     shapes = column_shapes(real, synth, numeric, categorical).agg(F.avg("score").alias("score")) \
         .select(F.lit("Column Shapes").alias("property"), "score")
-    pairs = column_pair_trends(real, synth, numeric).agg(F.avg("score").alias("score")) \
+    pairs = column_pair_trends(real, synth, numeric, categorical).agg(F.avg("score").alias("score")) \
         .select(F.lit("Column Pair Trends").alias("property"), "score")
-    both = shapes.unionByName(pairs)
-    overall = both.agg(F.avg("score").alias("score")).select(F.lit("Overall").alias("property"), "score")
-    return both.unionByName(overall)
+    return _with_overall(shapes.unionByName(pairs))
+
+
+def _with_overall(properties: DataFrame) -> DataFrame:
+    """The properties and their mean, with each property computed once."""
+    return properties.groupBy().agg(F.collect_list(F.struct("property", "score")).alias("p"), F.avg("score").alias("overall")).select(
+        F.explode(F.concat("p", F.array(F.struct(F.lit("Overall").alias("property"), F.col("overall").alias("score"))))).alias("x")).select("x.*")
 
 
 def boundary_adherence(real: DataFrame, synth: DataFrame, numeric: Sequence[str]) -> DataFrame:
@@ -192,20 +256,32 @@ def category_adherence(real: DataFrame, synth: DataFrame, categorical: Sequence[
         .select("column_name", F.lit("CategoryAdherence").alias("metric"), "score")
 
 
+def key_uniqueness(synth: DataFrame, key: Sequence[str]) -> DataFrame:
+    """E1 part: share of synthetic rows whose key is no other row's."""
+    per_key = synth.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
+    single = F.sum(F.when(F.col("n") == 1, 1.0).otherwise(0.0))
+    return per_key.agg(F.try_divide(single, F.sum("n")).alias("score")).select(
+        F.lit(",".join(key)).alias("column_name"), F.lit("KeyUniqueness").alias("metric"), "score")
+
+
 def diagnostic_report(real: DataFrame, synth: DataFrame, numeric: Sequence[str],
-                      categorical: Sequence[str] = ()) -> DataFrame:
-    """(property, score): Data Validity, Data Structure, Overall."""
+                      categorical: Sequence[str] = (), key: Sequence[str] = ()) -> DataFrame:
+    """(property, score): Data Validity, Data Structure, Overall.
+
+    ``key`` names the synthetic table's key; key columns that the real table lacks
+    are helpers and no part of the structure."""
     parts = [boundary_adherence(real, synth, numeric)] if numeric else []
     if categorical:
         parts.append(category_adherence(real, synth, categorical))
+    if key:
+        parts.append(key_uniqueness(synth, key))
     validity = reduce(lambda a, b: a.unionByName(b), parts).agg(F.avg("score").alias("score")) \
         .select(F.lit("Data Validity").alias("property"), "score")
-    rc, sc = set(real.columns), set(synth.columns)
+    rc = set(real.dtypes)
+    sc = {(n, t) for n, t in synth.dtypes if n not in key or n in real.columns}
     structure = real.sparkSession.range(1).select(
-        F.lit("Data Structure").alias("property"), F.lit(len(rc & sc) / len(rc | sc)).alias("score"))
-    both = validity.unionByName(structure)
-    overall = both.agg(F.avg("score").alias("score")).select(F.lit("Overall").alias("property"), "score")
-    return both.unionByName(overall)
+        F.lit("Data Structure").alias("property"), F.lit(len(rc & sc) / max(1, len(rc | sc))).alias("score"))
+    return _with_overall(validity.unionByName(structure))
 
 
 def _bin(x: Column, lo: Column, hi: Column, k: int) -> Column:

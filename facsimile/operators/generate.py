@@ -25,7 +25,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.rng import hex_hash, uniform_from_hex
+from ..functions.rng import WORDS, hex_hash, uniform_from_hex
 
 # Word lists for fabricated names (our own, not a locale engine).
 FIRST_NAMES = ["Anna", "Ben", "Clara", "David", "Elena", "Felix", "Greta", "Hugo",
@@ -112,7 +112,7 @@ def _layout(spec: Sequence[Col]) -> list[list[tuple[int, int]]]:
     for col in spec:
         mine = []
         for _ in range(col.n_uniforms):
-            mine.append((i // 4, i % 4))
+            mine.append((i // WORDS, i % WORDS))
             i += 1
         slots.append(mine)
     return slots
@@ -120,7 +120,7 @@ def _layout(spec: Sequence[Col]) -> list[list[tuple[int, int]]]:
 
 def _n_blocks(spec: Sequence[Col]) -> int:
     total = sum(c.n_uniforms for c in spec)
-    return (total + 3) // 4
+    return -(-total // WORDS)
 
 
 def generate(base: DataFrame, spec: Sequence[Col], seed: int, id_col: str = "id",

@@ -7,7 +7,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import NumericType, StringType
+from pyspark.sql.types import ArrayType, NumericType, StringType
 
 # Largest side we are willing to ship to every executor.
 BROADCAST_MAX_BYTES = 64 * 1024 * 1024
@@ -25,6 +25,15 @@ def _row_bytes(df: DataFrame) -> int:
     return width
 
 
+def _array_cells(df: DataFrame) -> int:
+    """Total number of array elements, where the schema has arrays."""
+    arrays = [f.name for f in df.schema.fields if isinstance(f.dataType, ArrayType)]
+    if not arrays:
+        return 0
+    sizes = [F.coalesce(F.sum(F.greatest(F.size(a), F.lit(0))), F.lit(0)) for a in arrays]
+    return int(sum(df.agg(*[s.alias(f"s{i}") for i, s in enumerate(sizes)]).first()))
+
+
 def sized_broadcast(df: DataFrame, max_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
     """Broadcast ``df`` only after measuring it; otherwise leave it to a shuffle join.
 
@@ -33,18 +42,20 @@ def sized_broadcast(df: DataFrame, max_bytes: int = BROADCAST_MAX_BYTES) -> Data
     of assumed.
     """
     rows = df.count()
-    if rows * _row_bytes(df) <= max_bytes:
+    if rows * _row_bytes(df) + 8 * _array_cells(df) <= max_bytes:
         return F.broadcast(df)
     return df
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int, max_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
+def bounded_broadcast(df: DataFrame, max_rows: int, max_bytes: int = BROADCAST_MAX_BYTES, array_length: int = 0) -> DataFrame:
     """Broadcast a side whose row count is bounded by construction.
 
     E.g. one row per input column name: the bound is known on the driver, so
     no counting job is needed; above the byte limit it is left to a shuffle.
+    ``array_length`` bounds the elements of each array column.
     """
-    if max_rows * _row_bytes(df) <= max_bytes:
+    arrays = sum(isinstance(f.dataType, ArrayType) for f in df.schema.fields)
+    if max_rows * (_row_bytes(df) + 8 * arrays * array_length) <= max_bytes:
         return F.broadcast(df)
     return df
 

@@ -38,7 +38,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.normal import log_phi_sql, phi_sql
-from ..functions.special import beta_cdf, gamma_cdf, lgamma_sql, t_cdf
+from ..functions.families import tails
+from ..functions.special import lgamma_sql
 from ..session import materialize
 from .evaluate import cells, kolmogorov_sf_sql
 from .joins import bounded_broadcast
@@ -282,17 +283,16 @@ def column_stats(df: DataFrame, cols: Sequence[str]) -> tuple[DataFrame, DataFra
         hit = (F.col("cum") - F.col("c") <= lo) & (lo < F.col("cum"))
         nxt = F.when(lo + 1 < F.col("cum"), F.col("x")).otherwise(F.coalesce(F.col("__next_x"), F.col("x")))
         qs.append(F.max(F.when(hit, F.col("x") + frac * (nxt - F.col("x")))).alias(name))
-    # L-moment sums over ranks: the tie block occupies 0-based ranks cum-c .. cum-1
-    s1 = F.col("c") * (2 * F.col("cum") - F.col("c") - 1) / 2.0
-    s2 = (F.col("cum") * (F.col("cum") - 1) * (F.col("cum") - 2)
-          - (F.col("cum") - F.col("c")) * (F.col("cum") - F.col("c") - 1) * (F.col("cum") - F.col("c") - 2)) / 3.0
-    lm = [F.sum(F.col("x") * s1).alias("__b1"), F.sum(F.col("x") * s2).alias("__b2")]
+    # L-moment sums over ranks: a tie block holds the 0-based ranks k .. cum-1.  The closed
+    # sums of j and of j (j - 1) over it are taken in doubles and divided by n, n-1, n-2 as
+    # they arise, so no product of counts can overflow and nothing cancels.
+    m, k, cd, nd = F.col("cum").cast("double"), (F.col("cum") - F.col("c")).cast("double"), F.col("c").cast("double"), F.col("n").cast("double")
+    w1 = F.when(nd > 1, cd / nd * ((m + k - 1) / 2.0) / (nd - 1))
+    w2 = F.when(nd > 2, cd / nd * ((m * m + m * k + k * k - 3 * (m + k) + 2) / 3.0) / ((nd - 1) * (nd - 2)))
+    lm = [F.sum(F.col("x") * w1).alias("__b1"), F.sum(F.col("x") * w2).alias("__b2")]
     r = rk.groupBy("column_name").agg(*qs, *lm)
     stats = a.join(bounded_broadcast(r, len(cols)), "column_name")
     stats = stats.withColumns({
-        "__b1": F.col("__b1") / (F.col("n") * (F.col("n") - 1)),
-        "__b2": F.col("__b2") / (F.col("n") * (F.col("n") - 1) * (F.col("n") - 2)),
-    }).withColumns({
         "l2": 2 * F.col("__b1") - F.col("mean"),
         "l3": 6 * F.col("__b2") - 6 * F.col("__b1") + F.col("mean"),
     }).drop("__b1", "__b2")
@@ -319,38 +319,43 @@ def column_stats(df: DataFrame, cols: Sequence[str]) -> tuple[DataFrame, DataFra
     return materialize(stats, "marginal-stats"), cum
 
 
+#: A family is fitted to columns of at least three values that are not all equal.
+FITTABLE = "(n >= 3 AND xmax > xmin AND var > 0)"
+
+
 def fit_params(stats: DataFrame, families: Sequence[str]) -> DataFrame:
-    """(column_name, family, p1, p2, loc, scale, n)."""
+    """(column_name, family, p1, p2, loc, scale, n).
+
+    Where a family can't be fitted (a constant or nearly empty column, a spread of
+    zero such as the quartiles of a column that is mostly one value, a shape of zero) all four
+    parameters are null, and so are the statistics that later build on them."""
+    # spreads that are divided by; zero has no fit
+    st = stats.withColumns({c: F.nullif(F.col(c), F.lit(0.0)) for c in ("vln", "vln_hi", "vln_abs", "mabs_lnr")
+                            if c in stats.columns})
     parts = []
     for fam in fitted_families(families):
-        p1, p2, loc, scale = family_params_sql(fam)
-        parts.append(stats.select(
-            "column_name", F.lit(fam).alias("family"),
-            F.expr(f"CAST({p1} AS DOUBLE)").alias("p1"), F.expr(f"CAST({p2} AS DOUBLE)").alias("p2"),
-            F.expr(f"CAST({loc} AS DOUBLE)").alias("loc"), F.expr(f"CAST({scale} AS DOUBLE)").alias("scale"),
-            "n"))
+        names = ("p1", "p2", "loc", "scale")
+        values = {n: F.expr(f"CASE WHEN {FITTABLE} THEN CAST({v} AS DOUBLE) END") for n, v in zip(names, family_params_sql(fam))}
+        row = st.select("column_name", F.lit(fam).alias("family"), *[v.alias(n) for n, v in values.items()], "n")
+        fits = (F.col("scale") > 0) & (F.col("scale") < float("inf")) & (F.col("p1").isNull() | (F.col("p1") != 0))
+        parts.append(row.select("column_name", "family", *[F.when(fits, F.col(n)).alias(n) for n in names], "n"))
     return reduce(lambda x, y: x.unionByName(y), parts)
 
 
-def _grid_values(family: str, p1, p2) -> tuple[float, float, list[float]] | None:
-    """(lo_y, hi_y, CDF values on an even grid of the standardised variable)."""
+def grid_values(family: str, p1, p2) -> tuple[float, float, list[float]] | None:
+    """(lo_y, hi_y, CDF values) on a grid of the standardised variable.
+
+    The grid is even in the root of y - lo_y, so it is dense where y^a is steep; for beta
+    it is y = sin^2 t with even t, which is dense at both ends."""
     ok = lambda v: v is not None and math.isfinite(v)
     if not ok(p1) or p1 <= 0 or (family == "beta" and (not ok(p2) or p2 <= 0)):
         return None
-    if family == "beta":
-        lo_y, hi_y = 0.0, 1.0
-        vals = beta_cdf(np.linspace(lo_y, hi_y, GRID_POINTS), p1, p2)
-    elif family == "gamma":
-        lo_y, hi_y = 0.0, p1 + 40.0 * math.sqrt(p1) + 40.0
-        vals = gamma_cdf(np.linspace(lo_y, hi_y, GRID_POINTS), p1)
-    elif family == "chi2":
-        a = p1 / 2.0
-        lo_y, hi_y = 0.0, 2.0 * (a + 40.0 * math.sqrt(a) + 40.0)
-        vals = gamma_cdf(np.linspace(lo_y, hi_y, GRID_POINTS) / 2.0, a)
-    else:  # t
-        lo_y, hi_y = -60.0, 60.0
-        vals = t_cdf(np.linspace(lo_y, hi_y, GRID_POINTS), p1)
-    return lo_y, hi_y, [float(v) for v in vals]
+    lo_y, hi_y = {"beta": (0.0, 1.0), "gamma": (0.0, p1 + 40.0 * math.sqrt(p1) + 40.0),
+                  "chi2": (0.0, p1 + 60.0 * math.sqrt(p1) + 80.0), "t": (-60.0, 60.0)}[family]
+    t = np.linspace(0.0, 1.0, GRID_POINTS)
+    y = np.sin(t * math.pi / 2) ** 2 if family == "beta" else lo_y + (hi_y - lo_y) * t ** 2
+    _, _, cdf, _ = tails(family, p1, p2)
+    return lo_y, hi_y, [float(v) for v in cdf(y)]
 
 
 def cdf_grids(params: DataFrame) -> DataFrame:
@@ -362,24 +367,31 @@ def cdf_grids(params: DataFrame) -> DataFrame:
     spark = params.sparkSession
     rows = []
     for r in params.where(F.col("family").isin(sorted(GRID_FAMILIES))).collect():
-        g = _grid_values(r["family"], r["p1"], r["p2"])
+        g = grid_values(r["family"], r["p1"], r["p2"])
         if g is not None:
             rows.append((r["column_name"], r["family"], g[0], g[1], g[2]))
     schema = "column_name string, family string, g_lo double, g_hi double, grid array<double>"
     return spark.createDataFrame(rows, schema)
 
 
-def _grid_cdf() -> F.Column:
-    """Linear interpolation in the ``grid`` column at y = (x - loc) / scale."""
-    y = (F.col("x") - F.col("loc")) / F.col("scale")
-    step = (F.col("g_hi") - F.col("g_lo")) / (GRID_POINTS - 1)
-    pos = (y - F.col("g_lo")) / step
-    i = F.greatest(F.lit(0), F.least(F.floor(pos), F.lit(GRID_POINTS - 2))).cast("int")
-    v0 = F.element_at(F.col("grid"), i + 1)
-    v1 = F.element_at(F.col("grid"), i + 2)
-    inside = v0 + (pos - i) * (v1 - v0)
-    return (F.when(y <= F.col("g_lo"), F.element_at(F.col("grid"), 1))
-            .when(y >= F.col("g_hi"), F.element_at(F.col("grid"), GRID_POINTS)).otherwise(inside))
+def cubic_at(a: F.Column, pos: F.Column, points: int) -> F.Column:
+    """The cubic through the four values of the array around ``pos``."""
+    i = F.greatest(F.lit(1), F.least(F.floor(pos), F.lit(points - 3))).cast("int")
+    t = pos - i
+    y0, y1, y2, y3 = (F.element_at(a, i + k) for k in range(4))
+    return (-y0 * t * (t - 1) * (t - 2) / 6 + y1 * (t + 1) * (t - 1) * (t - 2) / 2
+            - y2 * (t + 1) * t * (t - 2) / 2 + y3 * (t + 1) * t * (t - 1) / 6)
+
+
+def grid_cdf(family: str, grid: F.Column, lo: F.Column, hi: F.Column, y: F.Column) -> F.Column:
+    """CDF at the standardised ``y`` from ``grid_values``."""
+    root = F.sqrt(F.least(F.greatest(y - lo, F.lit(0.0)) / (hi - lo), F.lit(1.0)))
+    t = F.asin(root) * (2 / math.pi) if family == "beta" else root
+    return cubic_at(grid, t * (GRID_POINTS - 1), GRID_POINTS)
+
+
+def _grid_cdf(family: str) -> F.Column:
+    return grid_cdf(family, F.col("grid"), F.col("g_lo"), F.col("g_hi"), (F.col("x") - F.col("loc")) / F.col("scale"))
 
 
 def _per_family(base: DataFrame, params: DataFrame, n_cols: int, fams: Sequence[str],
@@ -392,7 +404,7 @@ def _per_family(base: DataFrame, params: DataFrame, n_cols: int, fams: Sequence[
     p = params.drop("n") if "n" in base.columns else params
     if grids is not None:
         p = p.join(grids, ["column_name", "family"], "left")
-    joined = base.join(bounded_broadcast(p, n_cols * max(1, len(fams))), "column_name")
+    joined = base.join(bounded_broadcast(p, n_cols * max(1, len(fams)), array_length=GRID_POINTS), "column_name")
     parts = [joined.where(F.col("family") == fam).withColumn("__v", expr_for(fam)) for fam in fams]
     return reduce(lambda a, b: a.unionByName(b), parts)
 
@@ -415,19 +427,20 @@ def _ks_loglik(cum: DataFrame, params: DataFrame, n_cols: int, with_loglik: bool
     p = params.drop("n").join(grids, ["column_name", "family"], "left")
     parts = []
     for fam in fams:
-        j = base.join(bounded_broadcast(p.where(F.col("family") == fam), n_cols), "column_name")
-        cdf = _grid_cdf() if fam in GRID_FAMILIES else F.expr(cdf_sql(fam))
+        j = base.join(bounded_broadcast(p.where(F.col("family") == fam), n_cols, array_length=GRID_POINTS if fam in GRID_FAMILIES else 0), "column_name")
+        cdf = _grid_cdf(fam) if fam in GRID_FAMILIES else F.expr(cdf_sql(fam))
         j = j.withColumn("__F", cdf)
         if with_loglik:
-            j = j.withColumn("__f", F.expr(pdf_sql(fam)))
+            j = j.withColumn("__pdf", F.expr(pdf_sql(fam)))
         parts.append(j)
     joined = reduce(lambda a, b: a.unionByName(b), parts)
     gap = F.greatest(F.col("cum") / F.col("n") - F.col("__F"),
                      F.col("__F") - (F.col("cum") - F.col("c")) / F.col("n"))
     aggs = [F.max(gap).alias("ks")]
     if with_loglik:
-        aggs.append(F.sum(F.col("c") * F.when(F.col("__f") > 0, F.log(F.col("__f")))
-                          .otherwise(F.lit(-743.7))).alias("loglik"))
+        # zero density counts as ln(1e-323); an unknown one (no fit) makes the sum null
+        log_f = F.when(F.col("__pdf").isNull() | F.isnan("__pdf"), F.lit(None)).when(F.col("__pdf") > 0, F.log(F.col("__pdf"))).otherwise(F.lit(-743.7))
+        aggs.append(F.when(F.count_if(log_f.isNull()) == 0, F.sum(F.col("c") * log_f)).alias("loglik"))
     d = joined.groupBy("column_name", "family", "n").agg(*aggs)
     d = (d.withColumn("__lam", F.sqrt(F.col("n").cast("double")) * F.col("ks"))
          .withColumn("pvalue", F.expr(kolmogorov_sf_sql("__lam"))))
@@ -459,8 +472,10 @@ def histogram_sse(cum: DataFrame, cols: Sequence[str], params: DataFrame, stats:
     full = grid.join(hist, ["column_name", "bin"], "left").fillna(0, ["cnt"])
     full = full.withColumn("density", F.col("cnt") / (F.col("n") * F.expr(width)))
     j = _per_family(full, params, len(cols), _families(params), lambda fam: F.expr(pdf_sql(fam)))
+    # where the family has no fit there is no error either
     err = F.col("density") - F.coalesce(F.col("__v"), F.lit(0.0))
-    return j.groupBy("column_name", "family").agg(F.sum(err * err).alias("sse"))
+    return j.groupBy("column_name", "family").agg(
+        F.when(F.count("scale") > 0, F.sum(err * err)).alias("sse"))
 
 
 def fit_summary(df: DataFrame, cols: Sequence[str], families: Sequence[str] = FAMILIES_WIDE) -> DataFrame:
@@ -484,7 +499,9 @@ def best_family(summary: DataFrame, compat: bool = False) -> DataFrame:
     picks the worst fit.
     """
     order = ["pvalue", "family"] if compat else ["ks", "family"]
+    fitted = F.col("ks").isNotNull() & ~F.isnan("ks")
+    # min_by skips rows whose order is null; a column that no family fits keeps a row of nulls
     best = summary.groupBy("column_name").agg(F.min_by(F.struct("family", "ks", "pvalue"),
-                                                       F.struct(*order)).alias("__b"))
+                                                       F.when(fitted, F.struct(*order))).alias("__b"))
     return best.select("column_name", "__b.family", "__b.ks", "__b.pvalue",
                        F.format_string("%.4f", F.col("__b.pvalue")).alias("pvalue_text"))

@@ -98,7 +98,6 @@ def detect_metadata(df: DataFrame, id_hints: Sequence[str] = ID_HINTS) -> DataFr
     -> id; other numbers -> numerical; other strings -> categorical.
     """
     kinds = {f.name: type_kind(f.dataType) for f in df.schema.fields}
-    n_rows = F.count(F.lit(1))
     cells = df.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("column_name"),
                  F.col(c).cast("string").alias("value"),
@@ -110,7 +109,6 @@ def detect_metadata(df: DataFrame, id_hints: Sequence[str] = ID_HINTS) -> DataFr
         F.sum("n").alias("n_rows"),
         F.sum(F.when(F.col("m") == 1, F.col("n")).otherwise(0)).alias("n_missing"),
         F.sum(F.when(F.col("m") == 0, 1).otherwise(0)).alias("n_distinct"))
-    del n_rows
     kind_map = F.create_map(*[x for c, k in kinds.items() for x in (F.lit(c), F.lit(k))])
     hint = None
     for h in id_hints:

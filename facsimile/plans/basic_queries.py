@@ -9,11 +9,12 @@ from ..functions.normal import phi_sql, probit_initial_sql, probit_refine_sql, w
 from ..functions.rng import hash_u, hex_hash, uniform_from_hex
 from ..functions.scalars import composite_key, fixed4, sha256_hex, to_double, to_string
 from ..operators import filters, generate, profile, project
+from ..operators.joins import semi_join_values
 from ..operators.scan import ordinal
 from ..sources import load
 from ..sources.contracts import (COUNT_FEATURES, DOUBLE_FEATURES, FEATURES, GROUP_KEYS,
                                  ID_COLUMNS, contract_sources, contracts, read_table,
-                                 with_missing)
+                                 spread, with_missing)
 from .registry import with_contracts, query
 
 CONTRACT_COLS = FEATURES + GROUP_KEYS + ["customer_number", "customer_name", "contract_number"]
@@ -24,7 +25,7 @@ R6 = lambda c: f"round({c}, 6)"
 
 # The drop list of the parametric notebook (with its duplicate
 # entry and names absent from our table) and the analysis projection.
-DROP_LIST = ["as_of_date", "PayNet_id", "region", "member_lender_branch",
+DROP_LIST = ["as_of_date", "region", "member_lender_branch",
              "member_lender_business_unit", "member_lender_business_unit",
              "member_lender_risk_rating", "default_4q_flg", "default_8q_flg",
              "borrower_high_credit", "naics_code", "primary_collateral_type",
@@ -183,6 +184,16 @@ def s8_metadata_save(spark, sf):
 
 # --- filters ----------------------------------------------------------------
 
+@query("p10_validate_metadata", with_contracts(
+    f"SELECT CAST({len(CONTRACT_COLS)} AS BIGINT) AS n_columns, count(DISTINCT column_name) AS n_described, "
+    "CAST(sum(CASE WHEN sdtype = 'id' THEN 1 ELSE 0 END) AS BIGINT) AS n_ids, "
+    f"count(DISTINCT column_name) = {len(CONTRACT_COLS)} AND sum(CASE WHEN sdtype = 'id' THEN 1 ELSE 0 END) <= 1 AS valid "
+    f"FROM ({_meta_sql('contracts', _CONTRACT_KINDS)})"))
+def p10_validate_metadata(spark, sf):
+    df = contracts(spark, sf).select(*CONTRACT_COLS)
+    return project.validate_metadata(project.detect_metadata(df), CONTRACT_COLS)
+
+
 @query("f1_conjunctive_equality", with_contracts(
     f"SELECT {ALL} FROM contracts WHERE industry_segment = 'BUILDING' AND state = 'NATION_3'"))
 def f1_conjunctive_equality(spark, sf):
@@ -204,6 +215,16 @@ def f3_membership_semi(spark, sf):
     return filters.member_of(contracts(spark, sf), "contract_number").select(*CONTRACT_COLS)
 
 
+@query("j2_semi_join", with_contracts(
+    f"SELECT {ALL} FROM contracts WHERE customer_number IN "
+    f"(SELECT customer_number FROM contracts WHERE state = 'NATION_3')"))
+def j2_semi_join(spark, sf):
+    """All contracts of customers of one state (the value set repeats its keys)."""
+    df = contracts(spark, sf)
+    values = df.where(F.col("state") == "NATION_3").select("customer_number")
+    return semi_join_values(df, values, "customer_number").select(*CONTRACT_COLS)
+
+
 @query("f4_missing_predicate", with_contracts(
     "SELECT contract_number, contract_balance IS NULL AS is_null, "
     "coalesce(isnan(contract_balance), false) AS is_nan FROM dirty "
@@ -431,16 +452,19 @@ def _spec_query(spec, source_sql, id_col):
     return generate.spec_sql(spec, SEED, source_sql, id_col=id_col)
 
 
+_X9 = [generate.Col("int_inclusive", "int", lo=1, hi=6), generate.Col("int_exclusive", "int", lo=1, hi=6, inclusive=False),
+       generate.Col("unit", "uniform", lo=0.0, hi=1.0), generate.Col("choice", "choice", values=["a", "b", "c"]),
+       generate.Col("fixed_point", "decimal", left=3, right=2)]
 _CUST_IDS = "SELECT c_custkey AS id FROM customer"
 _ORDER_IDS = "SELECT o_orderkey AS id FROM orders"
 
 
 def _customers(spark, sf):
-    return read_table(spark, sf, "customer").select(F.col("c_custkey").alias("id"))
+    return spread(read_table(spark, sf, "customer").select(F.col("c_custkey").alias("id")))
 
 
 def _orders(spark, sf):
-    return read_table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"))
+    return spread(read_table(spark, sf, "orders").select(F.col("o_orderkey").alias("id")))
 
 
 _G1 = [generate.Col("TNW_in_MEUR", "int", lo=1, hi=500),
@@ -454,6 +478,12 @@ _G4 = [generate.Col("revenue", "decimal", left=8, right=2),
 _G5 = [generate.Col("customer_name", "person"), generate.Col("company_name", "company")]
 
 
+@query("x9_draw_functions", _spec_query(_X9, _CUST_IDS, "id"))
+def x9_draw_functions(spark, sf):
+    """Every draw function over the customer keys."""
+    return generate.generate(_customers(spark, sf), _X9, SEED)
+
+
 @query("g1_uniform_int", _spec_query(_G1, _CUST_IDS, "id"))
 def g1_uniform_int(spark, sf):
     return generate.generate(_customers(spark, sf), _G1, SEED)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.rng import hash_u
 from ..operators import copula
-from ..operators.joins import join_null_safe, sized_broadcast
+from ..operators.joins import sized_broadcast
 from ..sources.contracts import FEATURES, GROUP_KEYS, contracts
 from ..functions.scalars import composite_key
 from . import copula_sql as cs
@@ -15,19 +15,19 @@ from .registry import query
 SEED = 453
 D = len(FEATURES)
 KEYS = ", ".join(GROUP_KEYS)
-_FIT_CACHE: dict = {}
 
 
 def fitted(spark, sf):
-    """One fit per (session, sf) so the stage queries share the written model."""
-    key = (id(spark), sf)
-    if key not in _FIT_CACHE:
-        _FIT_CACHE[key] = copula.fit_group_copula(contracts(spark, sf), GROUP_KEYS, FEATURES)
-    return _FIT_CACHE[key]
+    return copula.fit_group_copula(contracts(spark, sf), GROUP_KEYS, FEATURES)
+
+
+def published(df, columns=FEATURES):
+    """Sampled values at the decimals to which engines agree."""
+    return df.withColumns({c: F.round(c, cs.VALUE_DECIMALS) + 0.0 for c in columns})  # no negative zero
 
 
 def _long(stats, keys):
-    return copula.correlation_long(stats, keys, FEATURES).withColumn("rho", F.round("rho", 6))
+    return copula.correlation_long(stats, keys, FEATURES).withColumn("rho", F.round("rho", 6) + 0.0)  # no negative zero
 
 
 @query("a6_group_correlation", cs.with_ctes(cs.correlation_long_select("corr", GROUP_KEYS)))
@@ -53,8 +53,8 @@ def _a8_sql() -> str:
     ctes = ([f"contracts AS ({CONTRACTS_SQL})"]
             + cs.corr_ctes("corr_p", "contracts", "PD_status = 'performing'")
             + cs.corr_ctes("corr_d", "contracts", "PD_status = 'defaulted'"))
-    long_p = cs.correlation_long_select("corr_p", []).replace("round(r_", "(r_").replace(", 6) AS rho", ") AS rho")
-    long_d = cs.correlation_long_select("corr_d", []).replace("round(r_", "(r_").replace(", 6) AS rho", ") AS rho")
+    long_p = cs.correlation_long_select("corr_p", []).replace("round(r_", "(r_").replace(", 6) + 0.0 AS rho", ") AS rho")
+    long_d = cs.correlation_long_select("corr_d", []).replace("round(r_", "(r_").replace(", 6) + 0.0 AS rho", ") AS rho")
     return ("WITH " + ",\n".join(ctes) + "\n"
             f"SELECT round(sqrt(sum(power(a.rho - b.rho, 2))), 6) AS frobenius FROM ({long_p}) a "
             f"JOIN ({long_d}) b USING (row_feature, col_feature)")
@@ -76,7 +76,7 @@ def _params_long(prefix: str, lower: bool, digits: int = 6) -> str:
                 continue
             if not lower and j < i:
                 continue
-            parts.append(f"SELECT {KEYS}, {i} AS i, {j} AS j, round({prefix}_{i}_{j}, {digits}) AS value FROM params")
+            parts.append(f"SELECT {KEYS}, {i} AS i, {j} AS j, round({prefix}_{i}_{j}, {digits}) + 0.0 AS value FROM params")
     return " UNION ALL ".join(parts)
 
 
@@ -87,23 +87,18 @@ def _spark_params_long(params, prefix: str, lower: bool, digits: int = 6):
             if (lower and j > i) or (not lower and j < i):
                 continue
             cells.append(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"),
-                                  F.round(F.col(f"{prefix}_{i}_{j}"), digits).alias("value")))
+                                  (F.round(F.col(f"{prefix}_{i}_{j}"), digits) + 0.0).alias("value")))
     return params.select(*GROUP_KEYS, F.explode(F.array(*cells)).alias("__c")).select(*GROUP_KEYS, "__c.*")
 
 
 @query("c2_regularized_corr", cs.with_ctes(_params_long("a", lower=False, digits=7)))
 def c2_regularized_corr(spark, sf):
-    # entries already lie on the 1e-7 grid; report them at that precision
     return _spark_params_long(fitted(spark, sf).params, "a", lower=False, digits=7)
 
 
-@query("c3_cholesky_factor", cs.with_ctes(_params_long("L", lower=True)))
+@query("c3_cholesky_factor", cs.with_ctes(_params_long("L", lower=True, digits=5)))
 def c3_cholesky_factor(spark, sf):
-    return _spark_params_long(fitted(spark, sf).params, "L", lower=True)
-
-
-def _skeleton(model):
-    return model.ranks.where(F.col("feature") == FEATURES[0]).select(*GROUP_KEYS, F.col("rank").alias("k"))
+    return _spark_params_long(fitted(spark, sf).params, "L", lower=True, digits=5)
 
 
 @query("j3_group_param_join", cs.with_ctes(
@@ -111,70 +106,56 @@ def _skeleton(model):
     f"(SELECT {KEYS}, rank AS k FROM ranked WHERE feature = '{FEATURES[0]}') s JOIN params p USING ({KEYS})"))
 def j3_group_param_join(spark, sf):
     m = fitted(spark, sf)
-    params = m.params.select(*GROUP_KEYS, "n", F.round("mean_0", 6).alias("mean_0"))
-    return join_null_safe(_skeleton(m), sized_broadcast(params), GROUP_KEYS)
+    params = m.params.select(*GROUP_KEYS, "__g", "n", F.round("mean_0", 6).alias("mean_0"))
+    return m.skeleton().join(sized_broadcast(params), "__g").drop("__g")
 
 
 @query("c4_correlated_draws", cs.with_ctes(
-    f"SELECT {KEYS}, k, " + ", ".join(f"round(__z{i}, 6) AS z_{i}" for i in range(D)) + " FROM zed",
+    f"SELECT {KEYS}, k, " + ", ".join(f"round(__z{i}, 4) + 0.0 AS z_{i}" for i in range(D)) + " FROM zed",
     cs.draws_ctes(SEED)))
 def c4_correlated_draws(spark, sf):
-    from ..functions.rng import with_normals
     m = fitted(spark, sf)
-    params = m.params.select(*GROUP_KEYS, "n", *copula.factor_columns(D))
-    j = join_null_safe(_skeleton(m), sized_broadcast(params), GROUP_KEYS)
-    e = [f"__e{i}" for i in range(D)]
-    drawn = with_normals(j, SEED, "copula", [*GROUP_KEYS, "k"], e)
-    z = {f"z_{i}": F.round(sum((F.col(f"L_{i}_{mm}") * F.col(e[mm]) for mm in range(i + 1)), F.lit(0.0)), 6)
-         for i in range(D)}
-    return drawn.select(*GROUP_KEYS, "k", *[v.alias(k) for k, v in z.items()])
+    z = copula.correlated_normals(m.skeleton(), m.params, GROUP_KEYS, D, SEED)
+    return z.select(*GROUP_KEYS, "k", *[(F.round(f"z_{i}", 4) + 0.0).alias(f"z_{i}") for i in range(D)])
 
 
 @query("c5_normal_to_uniform", cs.with_ctes(
-    f"SELECT {KEYS}, k, " + ", ".join(f"u_{i}" for i in range(D)) + " FROM unis", cs.draws_ctes(SEED)))
+    f"SELECT {KEYS}, k, " + ", ".join(f"round(u_{i}, 4) AS u_{i}" for i in range(D)) + " FROM unis", cs.draws_ctes(SEED)))
 def c5_normal_to_uniform(spark, sf):
     m = fitted(spark, sf)
-    u = copula.correlated_uniforms(_skeleton(m), m.params, GROUP_KEYS, D, SEED, ["k"])
-    return u.select(*GROUP_KEYS, "k", *[f"u_{i}" for i in range(D)])
+    u = copula.correlated_uniforms(m.skeleton(), m.params, GROUP_KEYS, D, SEED)
+    return u.select(*GROUP_KEYS, "k", *[F.round(f"u_{i}", 4).alias(f"u_{i}") for i in range(D)])
 
 
 def _c6_sql() -> str:
     from ..functions.rng import hex_hash, uniform_from_hex
     u = uniform_from_hex(hex_hash(SEED, "c6", GROUP_KEYS + ["k", "feature"], "duckdb"), 0, "duckdb")
     cells = (f"cells AS (SELECT s.{', s.'.join(GROUP_KEYS)}, s.k, p.n, f.feature, "
-             f"(floor({u} * 1000000.0) + 0.5) / 1000000.0 AS u FROM "
+             f"{u} AS u FROM "
              f"(SELECT {KEYS}, rank AS k FROM ranked WHERE feature = '{FEATURES[0]}') s "
              f"JOIN params p USING ({KEYS}) CROSS JOIN (SELECT DISTINCT feature FROM ranked) f)")
-    return cs.with_ctes(f"SELECT {KEYS}, k, feature, value FROM valued",
+    return cs.with_ctes(f"SELECT {KEYS}, k, feature, round(value, {cs.VALUE_DECIMALS}) + 0.0 AS value FROM valued",
                         [cells] + cs.quantile_ctes("cells"))
 
 
 @query("c6_empirical_quantile", _c6_sql())
 def c6_empirical_quantile(spark, sf):
     m = fitted(spark, sf)
-    params = m.params.select(*GROUP_KEYS, "n")
-    base = join_null_safe(_skeleton(m), sized_broadcast(params), GROUP_KEYS)
-    cells = base.select(*GROUP_KEYS, "k", "n", F.explode(F.array(*[F.lit(f) for f in FEATURES])).alias("feature"))
-    cells = cells.withColumn("u", (F.floor(hash_u(SEED, "c6", *GROUP_KEYS, "k", "feature") * 1e6) + 0.5) / 1e6)
-    return copula.empirical_quantile(cells, m.ranks, GROUP_KEYS).select(*GROUP_KEYS, "k", "feature", "value")
-
-
-_SYNTH: dict = {}
+    base = m.skeleton().join(sized_broadcast(m.params.select(*GROUP_KEYS, "__g", "n")), "__g")
+    cells = base.select("*", F.posexplode(F.array(*[F.lit(f) for f in FEATURES])).alias("f", "feature")).withColumn("f", F.col("f").cast("tinyint"))
+    cells = cells.withColumn("u", hash_u(SEED, "c6", *GROUP_KEYS, "k", "feature"))
+    return published(copula.empirical_quantile(cells, m.ranks).select(*GROUP_KEYS, "k", "feature", "value"), ["value"])
 
 
 def synth_table(spark, sf):
-    """The group-copula sample, written once per (session, sf) and re-read by
-    every query that compares against it."""
+    """The group-copula sample, written once for the queries that read it several times."""
     from ..session import materialize
-    key = (id(spark), sf)
-    if key not in _SYNTH:
-        _SYNTH[key] = materialize(copula.sample_group_copula(fitted(spark, sf), SEED), "synth")
-    return _SYNTH[key]
+    return materialize(copula.sample_group_copula(fitted(spark, sf), SEED), "synth")
 
 
 @query("c1_group_copula", cs.copula_rows_sql(SEED))
 def c1_group_copula(spark, sf):
-    return synth_table(spark, sf)
+    return published(copula.sample_group_copula(fitted(spark, sf), SEED))
 
 
 def _c7_sql() -> str:
@@ -186,11 +167,11 @@ def _c7_sql() -> str:
 
 @query("c7_row_assembly", _c7_sql())
 def c7_row_assembly(spark, sf):
-    rows = copula.sample_group_copula(fitted(spark, sf), SEED)
+    rows = published(copula.sample_group_copula(fitted(spark, sf), SEED))
     return rows.select(composite_key(GROUP_KEYS).alias("group_key"), "k", *FEATURES)
 
 
 @query("j4_rank_lookup", cs.with_ctes(
     f"SELECT {KEYS}, feature, rank, x AS x_lo FROM ranked"))
 def j4_rank_lookup(spark, sf):
-    return fitted(spark, sf).ranks.select(*GROUP_KEYS, "feature", "rank", "x_lo")
+    return fitted(spark, sf).named_ranks().drop("x_hi")

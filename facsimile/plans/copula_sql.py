@@ -1,12 +1,13 @@
-"""DuckDB oracle SQL for the group copula stages (mirrors ``operators.copula``)."""
+"""DuckDB oracle SQL for the group copula stages.
+
+Correlations come from DuckDB's own ``corr`` and moments from its aggregates; only
+the hash draws, the normal CDF and the order of Cholesky's steps are shared text."""
 
 from __future__ import annotations
 
 from ..functions.normal import phi_sql
 from ..functions.rng import normals_sql
-from ..operators.copula import (EPSILON, MIN_PIVOT, U_GRID, cholesky_steps, correlation_items_sql,
-                                factor_columns, moment_sums_sql, pair_index, pearson_sql,
-                                regularize_sql)
+from ..operators.copula import EPSILON, factor_columns, pair_index
 from ..sources.contracts import DOUBLE_FEATURES, FEATURES, GROUP_KEYS
 from .registry import CONTRACTS_SQL
 
@@ -18,6 +19,30 @@ def _not_missing(c: str) -> str:
     return f"NOT ({c} IS NULL OR isnan({c}))" if c in DOUBLE_FEATURES else f"{c} IS NOT NULL"
 
 
+def corr_items() -> str:
+    """n, means, variances and coefficients of a group; undefined coefficients are 0."""
+    items = ["count(*) AS n"]
+    items += [f"avg({f}) AS mean_{i}" for i, f in enumerate(FEATURES)]
+    items += [f"var_samp({f}) AS var_{i}" for i, f in enumerate(FEATURES)]
+    for i, j in pair_index(D):
+        a, b = FEATURES[i], FEATURES[j]
+        value = "1.0" if i == j else f"greatest(-1.0, least(1.0, corr({a}, {b})))"
+        items.append(f"CASE WHEN max({a}) > min({a}) AND max({b}) > min({b}) THEN {value} ELSE 0.0 END AS r_{i}_{j}")
+    return ", ".join(items)
+
+
+def cholesky_steps(d: int) -> list[dict[str, str]]:
+    """New columns L_i_j (i >= j) by pivot column; each step uses earlier ones only."""
+    steps = []
+    for j in range(d):
+        pivot = f"a_{j}_{j}" + "".join(f" - L_{j}_{k} * L_{j}_{k}" for k in range(j))
+        steps.append({f"L_{j}_{j}": f"sqrt({pivot})"})
+        below = {f"L_{i}_{j}": f"((a_{j}_{i}" + "".join(f" - L_{i}_{k} * L_{j}_{k}" for k in range(j)) + f") / L_{j}_{j})" for i in range(j + 1, d)}
+        if below:
+            steps.append(below)
+    return steps
+
+
 def ctes(keys: list[str] = GROUP_KEYS, source: str = "contracts") -> list[str]:
     """CTE list: base, stats, params (corr + ridge + Cholesky), ranked."""
     kl = ", ".join(keys)
@@ -27,12 +52,8 @@ def ctes(keys: list[str] = GROUP_KEYS, source: str = "contracts") -> list[str]:
            f"base AS (SELECT {kcomma}" + ", ".join(f"CAST({f} AS DOUBLE) AS {f}" for f in FEATURES)
            + f" FROM {source} WHERE {where})"]
     group = f" GROUP BY {kl}" if keys else ""
-    out.append(f"stats AS (SELECT {kcomma}{', '.join(moment_sums_sql(D, FEATURES))} FROM base{group})")
-    items = ", ".join(f"{v} AS {k}" for k, v in correlation_items_sql(D).items())
-    out.append(f"stats2 AS (SELECT *, {items} FROM stats)")
-    r = ", ".join(f"{pearson_sql(i, j)} AS r_{i}_{j}" for i, j in pair_index(D))
-    out.append(f"corr AS (SELECT *, {r} FROM stats2)")
-    a = [f"{regularize_sql(i, j)} AS a_{i}_{j}" for i, j in pair_index(D)]
+    out.append(f"corr AS (SELECT {kcomma}{corr_items()} FROM base{group})")
+    a = [f"(r_{i}_{j} + {EPSILON if i == j else 0.0!r}) AS a_{i}_{j}" for i, j in pair_index(D)]
     out.append(f"chol0 AS (SELECT *, {', '.join(a)} FROM corr)")
     for s, step in enumerate(cholesky_steps(D)):
         items = ", ".join(f"{v} AS {k}" for k, v in step.items())
@@ -46,17 +67,13 @@ def ctes(keys: list[str] = GROUP_KEYS, source: str = "contracts") -> list[str]:
 
 
 def corr_ctes(name: str, source: str, where: str = "", keys: list[str] | None = None) -> list[str]:
-    """CTEs ``<name>_in``, ``<name>_s``, ``<name>_m`` and ``<name>`` (wide r_i_j)."""
+    """CTEs ``<name>_in`` and ``<name>`` (wide r_i_j)."""
     keys = keys or []
     kcomma = ", ".join(keys) + ", " if keys else ""
     group = f" GROUP BY {', '.join(keys)}" if keys else ""
     cast = ", ".join(f"CAST({f} AS DOUBLE) AS {f}" for f in FEATURES)
-    items = ", ".join(f"{v} AS {k}" for k, v in correlation_items_sql(D).items())
-    r = ", ".join(f"{pearson_sql(i, j)} AS r_{i}_{j}" for i, j in pair_index(D))
     return [f"{name}_in AS (SELECT {kcomma}{cast} FROM {source}{(' WHERE ' + where) if where else ''})",
-            f"{name}_s AS (SELECT {kcomma}{', '.join(moment_sums_sql(D, FEATURES))} FROM {name}_in{group})",
-            f"{name}_m AS (SELECT *, {items} FROM {name}_s)",
-            f"{name} AS (SELECT *, {r} FROM {name}_m)"]
+            f"{name} AS (SELECT {kcomma}{corr_items()} FROM {name}_in{group})"]
 
 
 def with_ctes(body: str, extra: list[str] | None = None) -> str:
@@ -70,12 +87,12 @@ def correlation_long_select(table: str, keys: list[str]) -> str:
         for j in range(D):
             a, b = min(i, j), max(i, j)
             parts.append(f"SELECT {kcomma}'{FEATURES[i]}' AS row_feature, '{FEATURES[j]}' AS col_feature, "
-                         f"round(r_{a}_{b}, 6) AS rho FROM {table}")
+                         f"round(r_{a}_{b}, 6) + 0.0 AS rho FROM {table}")
     return " UNION ALL ".join(parts)
 
 
 def draws_ctes(seed: int) -> list[str]:
-    """skeleton -> uniforms -> normals -> z -> u (quantised)."""
+    """skeleton -> uniforms -> normals -> z -> u."""
     inner, outer = normals_sql(seed, "copula", GROUP_KEYS + ["k"], D, "duckdb")
     fac = ", ".join(f"p.{c}" for c in factor_columns(D))
     out = [f"skeleton AS (SELECT {KEYS}, rank AS k FROM ranked WHERE feature = '{FEATURES[0]}')",
@@ -90,7 +107,7 @@ def draws_ctes(seed: int) -> list[str]:
             expr = f"({expr} + L_{i}_{m} * __e{m})"
         zs.append(f"{expr} AS __z{i}")
     out.append(f"zed AS (SELECT *, {', '.join(zs)} FROM normals)")
-    us = [f"((floor({phi_sql(f'__z{i}')} * {U_GRID!r}) + 0.5) / {U_GRID!r}) AS u_{i}" for i in range(D)]
+    us = [f"{phi_sql(f'__z{i}')} AS u_{i}" for i in range(D)]
     out.append(f"unis AS (SELECT *, {', '.join(us)} FROM zed)")
     return out
 
@@ -109,6 +126,10 @@ def quantile_ctes(cells_table: str) -> list[str]:
     ]
 
 
+#: Decimals at which sampled values are published: engines agree to about 1e-10.
+VALUE_DECIMALS = 2
+
+
 def synth_ctes(seed: int) -> list[str]:
     """All CTEs up to ``synth`` (the group copula rows)."""
     cells = " UNION ALL ".join(f"SELECT {KEYS}, k, n, '{f}' AS feature, u_{i} AS u FROM unis"
@@ -122,9 +143,9 @@ def copula_rows_sql(seed: int) -> str:
     cells = " UNION ALL ".join(f"SELECT {KEYS}, k, n, '{f}' AS feature, u_{i} AS u FROM unis"
                                for i, f in enumerate(FEATURES))
     extra = draws_ctes(seed) + [f"cells AS ({cells})"] + quantile_ctes("cells")
-    pivot = ", ".join(f"max(CASE WHEN feature = '{f}' THEN value END) AS {f}" for f in FEATURES)
+    pivot = ", ".join(f"round(max(CASE WHEN feature = '{f}' THEN value END), {VALUE_DECIMALS}) + 0.0 AS {f}" for f in FEATURES)
     return with_ctes(f"SELECT {KEYS}, k, {pivot} FROM valued GROUP BY {KEYS}, k", extra)
 
 
 __all__ = ["with_ctes", "correlation_long_select", "draws_ctes", "quantile_ctes",
-           "copula_rows_sql", "MIN_PIVOT"]
+           "copula_rows_sql", "VALUE_DECIMALS"]

@@ -7,17 +7,17 @@ from pyspark.sql import functions as F
 from ..functions.normal import log_phi_sql
 from ..functions.scalars import sig_round, sig_round_sql
 from ..operators import copula, evaluate
-from ..session import materialize
 from ..sources.contracts import FEATURES, GROUP_KEYS, contracts
 from . import copula_sql as cs
-from .copula_queries import SEED, fitted, synth_table
+from .copula_queries import SEED, synth_table
 from .registry import query
 
 D = len(FEATURES)
 
 
 def _real(spark, sf):
-    return copula.complete_rows(contracts(spark, sf), FEATURES).select(*GROUP_KEYS, *FEATURES)
+    """The real table with the sample's types (features are doubles)."""
+    return copula.cast_features(copula.complete_rows(contracts(spark, sf), FEATURES).select(*GROUP_KEYS, *FEATURES), FEATURES)
 
 
 def _synth(spark, sf):
@@ -66,7 +66,7 @@ def _ad_sql(table: str) -> str:
             "st AS (SELECT column_name, count(*) AS n, avg(x) AS mu, stddev_samp(x) AS sd FROM c GROUP BY column_name), "
             "r AS (SELECT c.column_name, c.x, row_number() OVER (PARTITION BY c.column_name ORDER BY c.x) AS j, "
             "st.n, st.mu, st.sd FROM c JOIN st USING (column_name)), "
-            "w AS (SELECT *, (x - mu) / sd AS __w, -((x - mu) / sd) AS __mw FROM r), "
+            "w AS (SELECT *, (x - mu) / nullif(sd, 0) AS __w, -((x - mu) / nullif(sd, 0)) AS __mw FROM r), "
             f"a2 AS (SELECT column_name, n, -CAST(n AS DOUBLE) - sum({term}) / CAST(n AS DOUBLE) AS statistic "
             "FROM w GROUP BY column_name, n) "
             f"SELECT column_name, CAST(n AS BIGINT) AS n, round(statistic, 6) AS statistic, {crit} FROM a2")
@@ -111,14 +111,25 @@ def e8_moment_comparison(spark, sf):
                     sig_round("synthetic").alias("synthetic"))
 
 
+def _joint_sql(a: str, b: str, va: str, vb: str, extra: str = "") -> str:
+    """1 - total variation of the joint shares of two columns."""
+    def side(table):
+        return (f"SELECT {va} AS v1, {vb} AS v2, count(*)::DOUBLE / sum(count(*)) OVER () AS p "
+                f"FROM {table}{extra} GROUP BY 1, 2")
+    return (f"SELECT '{a}' AS column_1, '{b}' AS column_2, 1 - 0.5 * sum(abs(coalesce(r.p, 0) - coalesce(s.p, 0))) AS score "
+            f"FROM ({side('base')}) r FULL JOIN ({side('synth')}) s ON r.v1 IS NOT DISTINCT FROM s.v1 AND r.v2 IS NOT DISTINCT FROM s.v2")
+
+
 def _shapes_sql() -> str:
-    return "SELECT column_name, 'KSComplement' AS metric, 1 - statistic AS score FROM st"
+    cats = " UNION ALL ".join(
+        f"SELECT column_1 AS column_name, 'TVComplement' AS metric, score FROM ({_joint_sql(k, k, k, '1')})" for k in GROUP_KEYS)
+    return f"SELECT column_name, 'KSComplement' AS metric, 1 - statistic AS score FROM st UNION ALL {cats}"
 
 
 @query("e3_column_shapes", _with_synth(
     f"SELECT column_name, metric, round(score, 6) AS score FROM ({_shapes_sql()})", _ks_ctes()))
 def e3_column_shapes(spark, sf):
-    s = evaluate.column_shapes(_real(spark, sf), _synth(spark, sf), FEATURES)
+    s = evaluate.column_shapes(_real(spark, sf), _synth(spark, sf), FEATURES, GROUP_KEYS)
     return s.withColumn("score", F.round("score", 6))
 
 
@@ -132,8 +143,19 @@ def _corr_ctes(table: str, name: str) -> list[str]:
     return cs.corr_ctes(f"{name}_w", table, cond) + [f"{name} AS ({' UNION ALL '.join(parts)})"]
 
 
+def _mixed_pairs_sql(bins: int = evaluate.PAIR_BINS) -> str:
+    """Pairs with a group key: features are cut into bins of the real range."""
+    parts = [_joint_sql(a, b, a, b) for i, a in enumerate(GROUP_KEYS) for b in GROUP_KEYS[i + 1:]]
+    for f in FEATURES:
+        at = (f"CASE WHEN b_hi > b_lo THEN greatest(0, least(floor(({f} - b_lo) / (b_hi - b_lo) * {bins}), {bins - 1})) ELSE 0 END")
+        bounds = f", (SELECT min({f}) AS b_lo, max({f}) AS b_hi FROM base)"
+        parts += [_joint_sql(f, k, at, k, bounds) for k in GROUP_KEYS]
+    return " UNION ALL ".join(f"SELECT column_1, column_2, NULL::DOUBLE AS real_correlation, NULL::DOUBLE AS synthetic_correlation, score FROM ({x})" for x in parts)
+
+
 _PAIRS = ("SELECT r.column_1, r.column_2, r.rho AS real_correlation, s.rho AS synthetic_correlation, "
-          "1 - abs(r.rho - s.rho) / 2 AS score FROM rc r JOIN sc s USING (column_1, column_2)")
+          "1 - abs(r.rho - s.rho) / 2 AS score FROM rc r JOIN sc s USING (column_1, column_2) UNION ALL "
+          + _mixed_pairs_sql())
 
 
 @query("e4_column_pair_trends", _with_synth(
@@ -141,7 +163,7 @@ _PAIRS = ("SELECT r.column_1, r.column_2, r.rho AS real_correlation, s.rho AS sy
     "round(synthetic_correlation, 6) AS synthetic_correlation, round(score, 6) AS score FROM (" + _PAIRS + ")",
     _corr_ctes("base", "rc") + _corr_ctes("synth", "sc")))
 def e4_column_pair_trends(spark, sf):
-    t = evaluate.column_pair_trends(_real(spark, sf), _synth(spark, sf), FEATURES)
+    t = evaluate.column_pair_trends(_real(spark, sf), _synth(spark, sf), FEATURES, GROUP_KEYS)
     return t.select("column_1", "column_2", *[F.round(c, 6).alias(c) for c in
                                               ["real_correlation", "synthetic_correlation", "score"]])
 
@@ -152,7 +174,7 @@ def e4_column_pair_trends(spark, sf):
     f"UNION ALL SELECT 'Overall', ((SELECT avg(score) FROM ({_shapes_sql()})) + (SELECT avg(score) FROM ({_PAIRS}))) / 2)",
     _ks_ctes() + _corr_ctes("base", "rc") + _corr_ctes("synth", "sc")))
 def e2_quality_report(spark, sf):
-    q = evaluate.quality_report(_real(spark, sf), _synth(spark, sf), FEATURES)
+    q = evaluate.quality_report(_real(spark, sf), _synth(spark, sf), FEATURES, GROUP_KEYS)
     return q.withColumn("score", F.round("score", 6))
 
 
@@ -163,16 +185,22 @@ def _diag_sql() -> str:
     cats = " UNION ALL ".join(
         f"SELECT '{k}' AS column_name, avg(CASE WHEN s.{k} IN (SELECT {k} FROM base) THEN 1.0 ELSE 0.0 END) AS score "
         f"FROM synth s" for k in GROUP_KEYS)
-    structure = 12.0 / 13.0
+    key = ", ".join([*GROUP_KEYS, "k"])
+    keys = (f"SELECT 'key' AS column_name, sum(CASE WHEN n = 1 THEN 1.0 ELSE 0.0 END) / sum(n) AS score FROM "
+            f"(SELECT count(*) AS n FROM synth GROUP BY {key})")
+    # names shared by both tables over all names, the key's helper column aside
+    structure = ("(SELECT count(*) FILTER (WHERE sides = 2)::DOUBLE / count(*) FROM (SELECT name, count(*) AS sides FROM ("
+                 "SELECT column_name AS name FROM (DESCRIBE SELECT * FROM base) UNION ALL "
+                 "SELECT column_name FROM (DESCRIBE SELECT * EXCLUDE (k) FROM synth)) GROUP BY name))")
     return (f"SELECT property, round(score, 6) AS score FROM ("
-            f"SELECT 'Data Validity' AS property, avg(score) AS score FROM ({bounds} UNION ALL {cats}) "
-            f"UNION ALL SELECT 'Data Structure', {structure!r} "
-            f"UNION ALL SELECT 'Overall', ((SELECT avg(score) FROM ({bounds} UNION ALL {cats})) + {structure!r}) / 2)")
+            f"SELECT 'Data Validity' AS property, avg(score) AS score FROM ({bounds} UNION ALL {cats} UNION ALL {keys}) "
+            f"UNION ALL SELECT 'Data Structure', {structure} "
+            f"UNION ALL SELECT 'Overall', ((SELECT avg(score) FROM ({bounds} UNION ALL {cats} UNION ALL {keys})) + {structure}) / 2)")
 
 
 @query("e1_diagnostic_report", _with_synth(_diag_sql()))
 def e1_diagnostic_report(spark, sf):
-    d = evaluate.diagnostic_report(_real(spark, sf), _synth(spark, sf), FEATURES, GROUP_KEYS)
+    d = evaluate.diagnostic_report(_real(spark, sf), _synth(spark, sf), FEATURES, GROUP_KEYS, [*GROUP_KEYS, "k"])
     return d.withColumn("score", F.round("score", 6))
 
 

@@ -11,15 +11,11 @@ from ..sources.contracts import DOUBLE_FEATURES, FEATURES, contracts
 from .registry import CONTRACTS_SQL, query
 
 SHORT = mg.fitted_families(mg.FAMILIES_SHORT)
-SHORT_CLOSED = [f for f in SHORT if f not in mg.GRID_FAMILIES]
-_CACHE: dict = {}
+WIDE = mg.fitted_families(mg.FAMILIES_WIDE)
 
 
 def _stats(spark, sf):
-    key = (id(spark), sf)
-    if key not in _CACHE:
-        _CACHE[key] = mg.column_stats(contracts(spark, sf), FEATURES)
-    return _CACHE[key]
+    return mg.column_stats(contracts(spark, sf), FEATURES)
 
 
 def _params(spark, sf, families):
@@ -76,15 +72,37 @@ def d2_fit_wide(spark, sf):
     return _params(spark, sf, mg.FAMILIES_WIDE).drop("n")
 
 
+def _gamma_p(a: str, x: str, terms: int = 240) -> str:
+    """P(a, x) = sum_n x^(a+n) e^-x / Gamma(a+n+1), by DuckDB's lgamma."""
+    return (f"CASE WHEN {x} <= 0 THEN 0.0 WHEN {x} > {a} + 40 * sqrt({a}) + 60 THEN 1.0 ELSE least(1.0, list_sum(list_transform(range({terms}), "
+            f"lambda k: exp(({a} + k) * ln({x}) - {x} - lgamma({a} + k + 1))))) END")
+
+
+def _beta_part(a: str, b: str, x: str, terms: int = 240) -> str:
+    """I_x(a, b) below its mean: x^a (1-x)^b / (a B(a, b)) sum_n x^n (a+b)_n / (a+1)_n."""
+    return (f"list_sum(list_transform(range({terms}), lambda k: exp(({a} + k) * ln({x}) + {b} * ln(1 - {x}) "
+            f"+ lgamma({a} + {b} + k) - lgamma({b}) - lgamma({a} + 1 + k))))")
+
+
+def _exact_cdf(family: str) -> str:
+    """CDF of a family without closed form, independent of the operator's tables."""
+    y = "((x - loc) / scale)"
+    if family == "gamma":
+        return _gamma_p("p1", y)
+    if family == "chi2":
+        return _gamma_p("(p1 / 2)", f"({y} / 2)")
+    return (f"CASE WHEN {y} <= 0 THEN 0.0 WHEN {y} >= 1 THEN 1.0 WHEN {y} <= (p1 + 1) / (p1 + p2 + 2) THEN {_beta_part('p1', 'p2', y)} "
+            f"ELSE 1 - {_beta_part('p2', 'p1', f'(1 - {y})')} END")
+
+
 def _ks_ctes() -> list[str]:
-    case = "CASE family " + " ".join(f"WHEN '{f}' THEN {mg.cdf_sql(f)}" for f in SHORT_CLOSED) + " END"
-    fams = ", ".join(f"'{f}'" for f in SHORT_CLOSED)
+    case = "CASE family " + " ".join(
+        f"WHEN '{f}' THEN {_exact_cdf(f) if f in mg.GRID_FAMILIES else mg.cdf_sql(f)}" for f in SHORT) + " END"
     return [
         "cnt AS (SELECT column_name, x, count(*) AS c FROM c GROUP BY column_name, x)",
         "cum AS (SELECT *, sum(c) OVER (PARTITION BY column_name ORDER BY x ROWS BETWEEN UNBOUNDED "
         "PRECEDING AND CURRENT ROW) AS cum FROM cnt)",
-        f"j AS (SELECT cum.*, p.family, p.p1, p.p2, p.loc, p.scale, p.n FROM cum JOIN params p "
-        f"USING (column_name) WHERE p.family IN ({fams}))",
+        "j AS (SELECT cum.*, p.family, p.p1, p.p2, p.loc, p.scale, p.n FROM cum JOIN params p USING (column_name))",
         f"v AS (SELECT *, {case} AS __v FROM j)",
         "ks AS (SELECT column_name, family, n, max(greatest(cum / n - __v, __v - (cum - c) / n)) AS ks "
         "FROM v GROUP BY column_name, family, n)",
@@ -94,19 +112,18 @@ def _ks_ctes() -> list[str]:
 
 def _ks_spark(spark, sf):
     stats, cum = _stats(spark, sf)
-    params = mg.fit_params(stats, SHORT_CLOSED)
-    return mg.ks_one_sample(cum, params, len(FEATURES))
+    return mg.ks_one_sample(cum, mg.fit_params(stats, SHORT), len(FEATURES))
 
 
-@query("d3_ks_one_sample", _sql("SELECT column_name, family, round(ks, 6) AS ks FROM ksp", _ks_ctes()))
+@query("d3_ks_one_sample", _sql("SELECT column_name, family, round(ks, 4) AS ks FROM ksp", _ks_ctes()))
 def d3_ks_one_sample(spark, sf):
-    return _ks_spark(spark, sf).select("column_name", "family", F.round("ks", 6).alias("ks"))
+    return _ks_spark(spark, sf).select("column_name", "family", F.round("ks", 4).alias("ks"))
 
 
 @query("d4_ks_pvalue", _sql(
-    f"SELECT column_name, family, {_sig(mg.kolmogorov_sf_sql('__lam'))} AS pvalue FROM ksp", _ks_ctes()))
+    f"SELECT column_name, family, round({mg.kolmogorov_sf_sql('__lam')}, 5) AS pvalue FROM ksp", _ks_ctes()))
 def d4_ks_pvalue(spark, sf):
-    return _ks_spark(spark, sf).select("column_name", "family", sig_round("pvalue").alias("pvalue"))
+    return _ks_spark(spark, sf).select("column_name", "family", F.round("pvalue", 5).alias("pvalue"))
 
 
 def _sse_ctes(bins: int = 100) -> list[str]:
@@ -136,15 +153,8 @@ def d5_histogram_sse(spark, sf):
     return sse.select("column_name", "family", sig_round("sse").alias("sse"))
 
 
-_SUMMARY: dict = {}
-
-
 def _summary(spark, sf):
-    from ..session import materialize
-    key = (id(spark), sf)
-    if key not in _SUMMARY:
-        _SUMMARY[key] = materialize(mg.fit_summary(contracts(spark, sf), FEATURES, mg.FAMILIES_WIDE), "summary")
-    return _SUMMARY[key]
+    return mg.fit_summary(contracts(spark, sf), FEATURES, mg.FAMILIES_WIDE)
 
 
 @query("d6_fit_summary")

@@ -10,29 +10,18 @@ from ..session import materialize
 from ..sources.contracts import FEATURES, GROUP_KEYS, ID_COLUMNS, contracts, with_missing
 from . import copula_sql as cs
 from .basic_queries import LOOKUP_CONTRACT, _impute_sql
-from .copula_queries import SEED, fitted
+from .copula_queries import SEED, fitted, published
 from .marginal_queries import _sig, _sql
 from .registry import query, with_contracts
 
-_MODEL: dict = {}
-_SAMPLE: dict = {}
-
 
 def param_model(spark, sf):
-    key = (id(spark), sf)
-    if key not in _MODEL:
-        _MODEL[key] = parametric.fit_parametric_copula(contracts(spark, sf), FEATURES,
-                                                       parametric.CONTRACT_FAMILIES)
-    return _MODEL[key]
+    return parametric.fit_parametric_copula(contracts(spark, sf), FEATURES, parametric.CONTRACT_FAMILIES)
 
 
-def param_sample(spark, sf):
-    """Ten synthetic rows per real row (written once per session)."""
-    key = (id(spark), sf)
-    if key not in _SAMPLE:
-        m = param_model(spark, sf)
-        _SAMPLE[key] = materialize(parametric.sample_parametric_copula(m, 10 * m.n_rows, SEED), "param-sample")
-    return _SAMPLE[key]
+def param_sample(m):
+    """Ten synthetic rows per real row."""
+    return parametric.sample_parametric_copula(m, 10 * m.n_rows, SEED)
 
 
 _CHOSEN = " OR ".join(f"(column_name = '{c}' AND family = '{f}')" for c, f in parametric.CONTRACT_FAMILIES.items())
@@ -51,14 +40,14 @@ def c8_parametric_fit(spark, sf):
 
 @query("c9_parametric_sample")
 def c9_parametric_sample(spark, sf):
-    return param_sample(spark, sf)
+    return param_sample(param_model(spark, sf))
 
 
 @query("c10_minmax_enforced")
 def c10_minmax_enforced(spark, sf):
     """Per column: real bounds and the synthetic range (must lie inside)."""
     m = param_model(spark, sf)
-    s = param_sample(spark, sf)
+    s = param_sample(m)
     rng = s.unpivot(["id"], FEATURES, "column_name", "x").groupBy("column_name").agg(
         F.min(F.col("x").cast("double")).alias("synth_min"), F.max(F.col("x").cast("double")).alias("synth_max"))
     return m.bounds.join(rng, "column_name").withColumn(
@@ -69,9 +58,9 @@ def c10_minmax_enforced(spark, sf):
 def c11_rounding_enforced(spark, sf):
     """Per column: decimals learnt from the real data and found in the sample."""
     m = param_model(spark, sf)
-    s = param_sample(spark, sf)
+    s = param_sample(m)
     dec = s.unpivot(["id"], FEATURES, "column_name", "x").groupBy("column_name").agg(
-        F.max(parametric._decimals(F.col("x").cast("double"))).alias("synth_decimals"))
+        F.max(parametric.decimals_of(F.col("x").cast("double"))).alias("synth_decimals"))
     return m.bounds.select("column_name", "decimals").join(dec, "column_name")
 
 
@@ -85,8 +74,8 @@ def c12_uniqueness_check(spark, sf):
 
 @query("c12_unique_keys")
 def c12_unique_keys(spark, sf):
-    s = param_sample(spark, sf)
-    keyed = constraints.unique_keys(s, ["id"])
+    s = param_sample(param_model(spark, sf))
+    keyed = constraints.dense_keys(s, "id")
     return constraints.uniqueness_check(keyed, ["contract_number"])
 
 
@@ -96,7 +85,7 @@ def c13_fixed_combinations(spark, sf):
     tuples; the check (anti join) must come back empty -> reported as counts."""
     cols = ["customer_number", "contract_number", "customer_name"]
     real = contracts(spark, sf)
-    s = constraints.sample_combinations(param_sample(spark, sf), real, cols, "id", SEED)
+    s = constraints.sample_combinations(param_sample(param_model(spark, sf)), real, cols, "id", SEED)
     s = materialize(s, "c13")
     bad = constraints.fixed_combinations_check(s, real, cols).count()
     return s.groupBy().agg(F.count(F.lit(1)).alias("n_rows")).withColumn("n_violations", F.lit(bad))
@@ -105,8 +94,8 @@ def c13_fixed_combinations(spark, sf):
 @query("c14_reattach_ids")
 def c14_reattach_ids(spark, sf):
     ids = contracts(spark, sf).select(*ID_COLUMNS)
-    return constraints.reattach_ids(param_sample(spark, sf), ids, ["id"],
-                                    ["customer_number", "contract_number"], ID_COLUMNS)
+    return constraints.reattach_ids(param_sample(param_model(spark, sf)), ids, ["id"],
+                                    ["customer_number", "contract_number"], ID_COLUMNS, position="id")
 
 
 @query("c15_key_map", with_contracts(
@@ -117,7 +106,7 @@ def c15_key_map(spark, sf):
 
 
 def _j1_sql() -> str:
-    body = (f"SELECT s.ordinal, s.{', s.'.join(GROUP_KEYS)}, s.k, {', '.join('s.' + f for f in FEATURES)}, "
+    body = (f"SELECT s.ordinal, s.{', s.'.join(GROUP_KEYS)}, s.k, {', '.join(f'round(s.{f}, {cs.VALUE_DECIMALS}) + 0.0 AS {f}' for f in FEATURES)}, "
             "r.old_customer_number, r.old_contract_number FROM "
             f"(SELECT *, row_number() OVER (ORDER BY {', '.join(GROUP_KEYS)}, k) - 1 AS ordinal FROM synth) s "
             "FULL OUTER JOIN (SELECT customer_number AS old_customer_number, contract_number AS old_contract_number, "
@@ -128,7 +117,7 @@ def _j1_sql() -> str:
 
 @query("j1_ordinal_join", _j1_sql())
 def j1_ordinal_join(spark, sf):
-    synth = copula.sample_group_copula(fitted(spark, sf), SEED)
+    synth = published(copula.sample_group_copula(fitted(spark, sf), SEED))
     ids = contracts(spark, sf).select(F.col("customer_number").alias("old_customer_number"),
                                       F.col("contract_number").alias("old_contract_number"))
     out = constraints.ordinal_join(synth, ids, [*GROUP_KEYS, "k"],
@@ -149,16 +138,9 @@ def e11_entity_side_by_side(spark, sf):
     return both.select("source", "contract_number", *FEATURES)
 
 
-_DRIVERS: dict = {}
-
-
 def driver_model(spark, sf):
-    key = (id(spark), sf)
-    if key not in _DRIVERS:
-        df = project.label_score(contracts(spark, sf))
-        _DRIVERS[key] = drivers.fit_drivers(df, FEATURES + ["customer_number"], "pd_status_score",
-                                            ["contract_number"], seed=0)
-    return _DRIVERS[key]
+    df = project.label_score(contracts(spark, sf))
+    return drivers.fit_drivers(df, FEATURES, "pd_status_score", ["contract_number", "customer_number"], seed=0)
 
 
 @query("m1_impute_mean", with_contracts(_impute_sql(), dirty=True))
@@ -188,6 +170,11 @@ def m4_permutation_importance(spark, sf):
     return drivers.permutation_importance(driver_model(spark, sf))
 
 
+@query("m4_shapley_summary")
+def m4_shapley_summary(spark, sf):
+    return drivers.shapley_summary(driver_model(spark, sf))
+
+
 @query("c16_synthesizer_comparison")
 def c16_synthesizer_comparison(spark, sf):
     """Quality reports of three candidate synthetic tables, side by side."""
@@ -195,7 +182,7 @@ def c16_synthesizer_comparison(spark, sf):
     m = param_model(spark, sf)
     cands = {
         "group_copula": materialize(copula.sample_group_copula(fitted(spark, sf), SEED).select(*FEATURES), "c16a"),
-        "parametric_copula": param_sample(spark, sf).select(*FEATURES),
+        "parametric_copula": materialize(param_sample(m).select(*FEATURES), "c16c"),
         "independent_marginals": materialize(parametric.independent_marginals(m, m.n_rows).select(*FEATURES), "c16b"),
     }
     parts = [evaluate.quality_report(real, s, FEATURES).withColumn("method", F.lit(name))

@@ -58,7 +58,8 @@ def checkpoint_root(spark: SparkSession) -> str:
         except Exception:  # noqa: BLE001 - unset key
             configured = None
     if not configured:
-        # Only reached when the cluster names no shared folder (local runs).
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="facsimile-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir()
@@ -72,5 +73,16 @@ def materialize(df: DataFrame, tag: str = "stage") -> DataFrame:
     return spark.read.parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete a table that ``materialize`` wrote and that nothing reads any more."""
+    spark = df.sparkSession
+    fs = spark.sparkContext._jvm.org.apache.hadoop.fs
+    root = fs.Path(f"{checkpoint_root(spark)}/facsimile").toUri().getPath()
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        where = fs.Path(path)
+        if where.getParent().toUri().getPath() == root:
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

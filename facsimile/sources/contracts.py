@@ -103,7 +103,7 @@ def contract_sources(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     lines = _joined_lines(spark, sf_dir)
     base = lines.select(*_contract_columns(include_status=False), "l_returnflag")
     return {
-        "Performing": base.where(F.col("l_returnflag") != "R").drop("l_returnflag"),
+        "Performing": base.where(~F.col("l_returnflag").eqNullSafe("R")).drop("l_returnflag"),
         "PreviouslyDefaulted": base.where(F.col("l_returnflag") == "R").drop("l_returnflag"),
     }
 

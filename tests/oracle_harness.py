@@ -8,6 +8,7 @@ values are bit-identical).
 from __future__ import annotations
 
 import math
+import os
 import sys
 import time
 
@@ -85,7 +86,7 @@ def compare(spark_pdf: pd.DataFrame, oracle_pdf: pd.DataFrame) -> tuple[bool, st
 
 
 def check(spark, name: str, sf_dir: str) -> tuple[bool, str]:
-    sys.path.insert(0, "/root/repo")
+    sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     import __spark_entry__ as entry
     q = entry.queries()[name]
     sql = entry.oracle_sql().get(name)
@@ -100,7 +101,7 @@ def check(spark, name: str, sf_dir: str) -> tuple[bool, str]:
 
 
 if __name__ == "__main__":
-    sys.path.insert(0, "/root/repo")
+    sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     from facsimile.session import build_session
     import __spark_entry__ as entry
     sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"

@@ -123,12 +123,12 @@ def test_group_copula_properties(spark):
 
 def test_empirical_quantile_matches_numpy(spark):
     vals = [3.0, 1.0, 4.0, 1.0, 5.0, 9.0, 2.0, 6.0]
-    df = spark.createDataFrame([("g", v) for v in vals], "g string, x double")
-    ranks = copula.rank_table(df, ["g"], ["x"])
+    df = spark.createDataFrame([("g", v) for v in vals], "__g string, x double")
+    ranks = copula.rank_table(df, "__g", ["x"])
     us = [0.0, 0.1, 0.5, 0.77, 1.0]
-    cells = spark.createDataFrame([("g", i, len(vals), "x", u) for i, u in enumerate(us)],
-                                  "g string, k long, n long, feature string, u double")
-    got = copula.empirical_quantile(cells, ranks, ["g"]).orderBy("k").toPandas().value
+    cells = spark.createDataFrame([("g", i, len(vals), 0, u) for i, u in enumerate(us)],
+                                  "__g string, k long, n long, f tinyint, u double")
+    got = copula.empirical_quantile(cells, ranks).orderBy("k").toPandas().value
     assert np.allclose(got, np.quantile(vals, us))
 
 
