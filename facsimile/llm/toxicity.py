@@ -15,8 +15,8 @@ words times the inverse root of the landmarks' own kernel) and a new choice of
 witnesses alternate, each round with the clean words that come nearest and with
 witnesses into which a letter was put (virtual examples).  Platt
 scaling turns a text's largest word score into its probability.  The classifier is
-fitted on at most about ``TRAIN_ROWS`` labelled texts of each class, chosen by a hash of the
-text: that is a documented bound, and fits the driver.
+fitted on at most about ``TRAIN_ROWS`` labelled texts of each class, drawn by a hash of the
+id before any text is read: that is a documented bound, and fits the driver.
 
 *Scoring.*  The SVM's weights over landmarks fold into one weight for each
 subsequence, exactly, as kernel values are inner products.  A word then costs a few
@@ -40,6 +40,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,6 +57,8 @@ ROUNDS = 3
 PART = 24
 #: Remembered words of a worker; the memory is emptied when full.
 CACHE = 500_000
+#: Words whose features are computed at once.
+BLOCK_WORDS = 2048
 _LETTER_BITS = 5
 
 #: Signs written for letters.
@@ -101,46 +104,46 @@ def plain_parts(word: str) -> list[str]:
     return [letters[i:i + PART] for i in range(0, len(letters) - PART // 2, PART // 2)]
 
 
-def features(words: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def features(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Blocks (rows, codes, weights) of normalised kernel features of plain words.
 
     A row's codes are distinct (a repeated one has weight zero after the first), its
-    weights have length one, so an inner product of two rows is the kernel."""
+    weights have length one, so an inner product of two rows is the kernel.  A block
+    holds words of one length and at most ``BLOCK_WORDS`` of them."""
     by_length: dict[int, list[int]] = {}
     for i, w in enumerate(words):
         by_length.setdefault(len(w), []).append(i)
-    out = []
-    for n, rows in by_length.items():
-        signs = np.frombuffer("".join(words[i] for i in rows).encode(), np.uint8).reshape(len(rows), n) - 96
-        s = np.zeros((len(rows), n + 2), np.int32)  # word edges are signs too
-        s[:, 1:-1] = signs
-        codes, weights = [], []
-        for gaps in _GAPS:
-            m = n + 2 - gaps[-1]
-            if m > 0:
-                code = np.zeros((len(rows), m), np.int32)
-                for g in gaps:
-                    code = (code << _LETTER_BITS) | s[:, g:g + m]
-                codes.append(code)
-                weights.append(np.full(m, DECAY ** (gaps[-1] + 1), np.float32))
-        code, weight = np.concatenate(codes, axis=1), np.concatenate(weights)
-        order = np.argsort(code, axis=1, kind="stable")
-        code = np.take_along_axis(code, order, axis=1)
-        value = weight[order]
-        same = code[:, 1:] == code[:, :-1]
-        if same.any():  # move the weights of equal codes to the first of them
-            first = np.concatenate((np.ones((len(rows), 1), bool), ~same), axis=1)
-            group = np.cumsum(first.ravel()) - 1
-            total = np.bincount(group, value.ravel())
-            value = np.where(first, total[group].reshape(first.shape), 0).astype(np.float32)
-        value = value / np.sqrt((value * value).sum(axis=1, keepdims=True))
-        out.append((np.array(rows), code, value))
-    return out
+    for n, all_rows in by_length.items():
+        for at in range(0, len(all_rows), BLOCK_WORDS):
+            rows = all_rows[at:at + BLOCK_WORDS]
+            signs = np.frombuffer("".join(words[i] for i in rows).encode(), np.uint8).reshape(len(rows), n) - 96
+            s = np.zeros((len(rows), n + 2), np.int32)  # word edges are signs too
+            s[:, 1:-1] = signs
+            codes, weights = [], []
+            for gaps in _GAPS:
+                m = n + 2 - gaps[-1]
+                if m > 0:
+                    code = np.zeros((len(rows), m), np.int32)
+                    for g in gaps:
+                        code = (code << _LETTER_BITS) | s[:, g:g + m]
+                    codes.append(code)
+                    weights.append(np.full(m, DECAY ** (gaps[-1] + 1), np.float32))
+            code, weight = np.concatenate(codes, axis=1), np.concatenate(weights)
+            order = np.argsort(code, axis=1, kind="stable")
+            code = np.take_along_axis(code, order, axis=1)
+            value = weight[order]
+            same = code[:, 1:] == code[:, :-1]
+            if same.any():  # move the weights of equal codes to the first of them
+                first = np.concatenate((np.ones((len(rows), 1), bool), ~same), axis=1)
+                group = np.cumsum(first.ravel()) - 1
+                total = np.bincount(group, value.ravel())
+                value = np.where(first, total[group].reshape(first.shape), 0).astype(np.float32)
+            yield np.array(rows), code, value / np.sqrt((value * value).sum(axis=1, keepdims=True))
 
 
 def kernel(words: list[str], landmarks: list[str]) -> np.ndarray:
     """Kernel values of words (rows) and landmarks."""
-    blocks = features(landmarks)
+    blocks = list(features(landmarks))
     used = np.unique(np.concatenate([c.ravel() for _, c, _ in blocks]))
     basis = np.zeros((len(used) + 1, len(landmarks)), np.float32)
     for rows, code, value in blocks:
@@ -252,38 +255,39 @@ def _platt(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 def train(bags: list[set[str]], labels: list[int], landmarks: int = LANDMARKS, rounds: int = ROUNDS) -> ToxicityModel:
     """Model from bags of written words and their labels (0 or 1)."""
-    y = np.array(labels)
+    plain = [{p for w in b for p in plain_parts(w)} for b in bags]
+    vocabulary = sorted(set().union(*plain))
+    number = {w: i for i, w in enumerate(vocabulary)}
+    return train_numbered(vocabulary, [np.array(sorted(number[w] for w in b), np.int32) for b in plain], np.array(labels), landmarks, rounds)
+
+
+def train_numbered(vocabulary: list[str], bags: list[np.ndarray], y: np.ndarray, landmarks: int = LANDMARKS, rounds: int = ROUNDS) -> ToxicityModel:
+    """Model from bags of numbers into a sorted vocabulary of plain words."""
     if not len(y) or y.min() == y.max():
         return constant_model(float(y.mean()) if len(y) else 0.0)
-    plain = [sorted({p for w in sorted(b) for p in plain_parts(w)}) for b in bags]
-    clean = Counter(w for p, l in zip(plain, labels, strict=True) if not l for w in p)
-    toxic = Counter(w for p, l in zip(plain, labels, strict=True) if l for w in p)
+    count = [np.bincount(np.concatenate([b for b, l in zip(bags, y, strict=True) if l == k]), minlength=len(vocabulary)) for k in (0, 1)]
     # log-odds of subsequences without gaps, damped where seldom seen
     size = 1 << (_LETTER_BITS * ORDER)
     seen = np.zeros((2, size))
-    for k, counts in enumerate((clean, toxic)):
-        words = list(counts)
-        times = np.array([counts[w] for w in words], float)
-        for rows, code, value in features(words):
-            np.add.at(seen[k], code, (value > 0) * times[rows][:, None])
+    for rows, code, value in features(vocabulary):
+        for k in (0, 1):
+            own = count[k][rows] > 0
+            np.add.at(seen[k], code[own], (value[own] > 0) * count[k][rows][own][:, None])
     total = seen.sum(axis=1)
     odds = np.log((seen[1] + 0.5) / (total[1] + 1)) - np.log((seen[0] + 0.5) / (total[0] + 1))
     odds *= seen[1] / (seen[1] + 3)
     model = ToxicityModel(odds.astype(np.float32), 0.0, 1.0, 0.0)
-    only_toxic = set(toxic).difference(clean)
-    frequent = [w for w, _ in clean.most_common(landmarks // 2)]
-    every_clean = sorted(clean)
-    rng = np.random.default_rng(7)
-    some_clean = [every_clean[i] for i in rng.permutation(len(every_clean))[:3000]]
+    only_toxic = (count[1] > 0) & (count[0] == 0)
+    clean = np.flatnonzero(count[0])
+    frequent = [vocabulary[i] for i in clean[np.argsort(-count[0][clean], kind="stable")[:landmarks // 2]]]
+    some_clean = [vocabulary[i] for i in np.random.default_rng(7).permutation(clean)[:3000]]
     for _ in range(rounds):
+        score = model.word_scores(vocabulary)
         # the witness of each toxic text
-        words = sorted(toxic)
-        score = dict(zip(words, model.word_scores(words).tolist(), strict=True)) if words else {}
-        witness = Counter()
-        for p, l in zip(plain, labels, strict=True):
-            own = [w for w in p if w in only_toxic] or p if l else []
-            if own:
-                witness[max(own, key=lambda w: (score[w], w))] += 1
+        witness: Counter = Counter()
+        for bag in (b for b, l in zip(bags, y, strict=True) if l and len(b)):
+            own = bag[only_toxic[bag]] if only_toxic[bag].any() else bag
+            witness[vocabulary[own[score[own] == score[own].max()][-1]]] += 1
         if not witness:
             return constant_model(float(y.mean()))
         # witnesses that others resemble; those that stand alone are noise of the labels
@@ -293,34 +297,55 @@ def train(bags: list[set[str]], labels: list[int], landmarks: int = LANDMARKS, r
         held = alike >= 2 if (alike >= 2).any() else alike > 0
         names, times = [w for w, h in zip(names, held, strict=True) if h], times[held]
         # virtual examples: disturbed witnesses are witnesses too
-        virtual = [(v, t / 4) for w, t in zip(names, times, strict=True) for v in _disturbed(w) if v not in clean]
-        examples = names + [v for v, _ in virtual]
-        near = model.word_scores(every_clean) if every_clean else np.empty(0)
-        hard = [every_clean[i] for i in np.argsort(-near, kind="stable")[:2000]]
+        known = {vocabulary[i] for i in clean}
+        virtual = [(v, t / 4) for w, t in zip(names, times, strict=True) for v in _disturbed(w) if v not in known]
+        hard = [vocabulary[i] for i in clean[np.argsort(-score[clean], kind="stable")[:2000]]]
         negatives = sorted(set(some_clean + hard + frequent))
         marks = names[:landmarks // 2] + hard[:landmarks // 4] + frequent[:landmarks // 4]
-        weights, bias = _fit_nystroem(list(dict.fromkeys(marks)), examples, negatives, np.sqrt(np.concatenate((times, [t for _, t in virtual]))))
+        weights, bias = _fit_nystroem(list(dict.fromkeys(marks)), names + [v for v, _ in virtual], negatives,
+                                      np.sqrt(np.concatenate((times, [t for _, t in virtual]))))
         model = ToxicityModel(weights, bias, 1.0, 0.0)
-    margin = np.array(Scorer(model).margins(bags)[0])
+    score = model.word_scores(vocabulary)
+    margin = np.array([max(-1.0, float(score[b].max())) if len(b) else -1.0 for b in bags])
     slope, offset = _platt(margin, y)
     return model._replace(slope=slope, offset=offset)
 
 
-def training_bags(df: DataFrame, label_column: str, text_column: str = "text", train_rows: int = TRAIN_ROWS) -> tuple[list[set[str]], list[int]]:
-    """Bags and labels of at most about ``train_rows`` texts of each class."""
-    known = df.where(F.col(label_column).isin(0, 1)).select(F.col(label_column).cast("int").alias("label"), F.col(text_column).cast("string").alias("text"))
-    counts = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
-    share = F.when(F.col("label") == 1, F.lit(train_rows / max(counts.get(1, 0), 1))).otherwise(F.lit(train_rows / max(counts.get(0, 0), 1)))
-    draw = F.xxhash64("text", F.lit(5)).bitwiseAND((1 << 53) - 1) / float(1 << 53)
+def sample_labels(labels: DataFrame, label_column: str, id_column: str, train_rows: int = TRAIN_ROWS) -> DataFrame:
+    """(__id, __label): one row for each of about ``train_rows`` ids of each class, drawn by a hash."""
+    known = (labels.where(F.col(label_column).isin(0, 1) & F.col(id_column).isNotNull())
+             .groupBy(F.col(id_column).alias("__id")).agg(F.max(label_column).cast("int").alias("__label")))
+    counts = {r["__label"]: r["count"] for r in known.groupBy("__label").count().collect()}
+    share = F.when(F.col("__label") == 1, F.lit(train_rows / max(counts.get(1, 0), 1))).otherwise(F.lit(train_rows / max(counts.get(0, 0), 1)))
+    draw = F.xxhash64("__id", F.lit(5)).bitwiseAND((1 << 53) - 1) / float(1 << 53)
+    return known.where(draw < share)
+
+
+def training_bags(df: DataFrame, label_column: str, text_column: str = "text") -> tuple[list[str], list[np.ndarray], np.ndarray]:
+    """Vocabulary, bags and labels of the rows; the driver gets the distinct plain words of these texts only."""
+    known = df.select(F.col(label_column).cast("int").alias("label"), F.col(text_column).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([sorted(words_of(t.as_py())) for t in b.column(1)], pa.list_(pa.string()))], ["label", "words"])
-
-    rows = known.where(F.coalesce(draw < share, F.lit(False))).mapInArrow(run, "label int, words array<string>").toArrow()
+            words = [sorted({p for w in words_of(t.as_py()) for p in plain_parts(w)}) for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(words, pa.list_(pa.string()))], ["label", "words"])
+
+    rows = known.mapInArrow(run, "label int, words array<string>").toArrow().combine_chunks()
+    if not rows.num_rows:
+        return [], [], np.empty(0, np.int64)
+    lists = rows.column("words").combine_chunks()
+    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+    coded = lists.flatten().dictionary_encode()
+    words = coded.dictionary.to_pylist()
+    order = sorted(range(len(words)), key=words.__getitem__)
+    place = np.empty(len(words), np.int32)
+    place[order] = np.arange(len(words), dtype=np.int32)
+    flat, ends = place[coded.indices.to_numpy()], np.cumsum(pc.list_value_length(lists).to_numpy())
+    bags = [np.sort(b) for b in np.split(flat, ends[:-1])]
     # in a fixed order, so that the model does not depend on how rows are dealt
-    pairs = sorted(zip(rows.column("label").to_pylist(), rows.column("words").to_pylist(), strict=True))
-    return [set(w) for _, w in pairs], [l for l, _ in pairs]
+    labels = rows.column("label").to_numpy()
+    line = sorted(range(len(bags)), key=lambda i: (labels[i], bags[i].tobytes()))
+    return [words[i] for i in order], [bags[i] for i in line], labels[line]
 
 
 def _scored(model: ToxicityModel, spark: SparkSession):
@@ -369,10 +394,13 @@ def without_toxic(df: DataFrame, model: ToxicityModel, text_column: str = "text"
 
 
 def fit(docs: DataFrame, labels: DataFrame, label_column: str = "toxic", id_column: str = "doc_id") -> ToxicityModel:
-    """Model from documents and the labels that name them by id."""
-    named = labels.where(F.col(label_column).isNotNull()).groupBy(id_column).agg(F.max(label_column).alias("__label"))
-    joined = docs.select(id_column, "text").join(named, id_column)
-    return train(*training_bags(joined, "__label"))
+    """Model from documents and the labels that name them by id.
+
+    The labels are sampled before they meet the texts: the sample is bounded by
+    ``TRAIN_ROWS`` of each class, so it is broadcast and no text is shuffled."""
+    sample = F.broadcast(sample_labels(labels, label_column, id_column))
+    joined = docs.select(F.col(id_column).alias("__id"), "text").join(sample, "__id")
+    return train_numbered(*training_bags(joined, "__label"))
 
 
 @query("op3_toxicity")
