@@ -43,6 +43,9 @@ KINDS = ("email", "ip", "card", "phone")
 NONE = len(KINDS)
 LABELS = NONE + 1
 TRAIN_ROWS = 3000
+#: Texts with more tokens in question are not learnt from, nor more tokens than this in all.
+TRAIN_TOKENS_OF_TEXT = 1000
+TRAIN_TOKENS = 100_000
 MESSAGE_ROUNDS = 12
 #: Prior mean of the rewards for equal labels of repeated and of similar tokens: what
 #: few documents show is pulled towards these.
@@ -285,10 +288,9 @@ def redact(text: str, spans: list[Span]) -> str:
 def fit(df: DataFrame, text_column: str = "text", train_rows: int = TRAIN_ROWS) -> Weights:
     """Weights from at most about ``train_rows`` texts that hold a digit or an @."""
     texts = df.select(F.col(text_column).cast("string").alias("text")).where(F.col("text").rlike("[0-9@]"))
+    share = train_rows / max(texts.count(), 1)
     draw = F.xxhash64("text", F.lit(3)).bitwiseAND((1 << 53) - 1) / float(1 << 53)
-    some = texts.select("text", draw.alias("draw"))
-    # without counting first: the least draws are a sample of the wanted size
-    rows = some.orderBy("draw", "text").limit(train_rows)
+    rows = texts.where(draw < share)
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The tokens that matter and two on either side stand for the text, which bounds what the driver gets."""
@@ -296,11 +298,18 @@ def fit(df: DataFrame, text_column: str = "text", train_rows: int = TRAIN_ROWS)
             out = []
             for t in b.column(0).to_pylist():
                 tokens = t.split()
+                if sum(_CANDIDATE.search(x) is not None for x in tokens) > TRAIN_TOKENS_OF_TEXT:
+                    continue
                 keep = {j for i, x in enumerate(tokens) if _CANDIDATE.search(x) for j in range(max(0, i - 2), i + 3)}
                 out.append(" ".join(tokens[j] for j in sorted(keep) if j < len(tokens)))
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["text"])
 
-    return train(sorted(rows.select("text").mapInArrow(near, "text string").toArrow().column(0).to_pylist()))
+    found, held, tokens = sorted(rows.mapInArrow(near, "text string").toArrow().column(0).to_pylist()), [], 0
+    for t in found:
+        if tokens < TRAIN_TOKENS:
+            held.append(t)
+            tokens += sum(_CANDIDATE.search(x) is not None for x in t.split())
+    return train(held)
 
 
 def _spread(batch: pa.RecordBatch, texts: pa.Array, w: Weights) -> Iterator[tuple[int, int, list]]:
