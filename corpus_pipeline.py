@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from facsimile.llm import decontaminate, pii, sentencepiece_scan, simhash, toxicity
-from facsimile.llm.common import id_bucket, table
+from facsimile.llm.common import bounded_batches, id_bucket, table
 from facsimile.session import materialize
 
 
@@ -33,6 +33,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     return simhash.one_per_component(docs, words_per_shingle=simhash.SHINGLE_WORDS, radius=simhash.RADIUS)
 
 
@@ -41,17 +42,18 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     return pii.redacted(docs, pii.fit(docs))
 
 
 def to_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     pieces = sentencepiece_scan.Pieces.load()
     text = F.coalesce(F.col("text"), F.lit(""))
     carry = {c: F.col(c) for c in ("doc_id", "lang", "source", "n_chars")} | {"text_crc32": F.crc32(text)}
-    coded = sentencepiece_scan.encode(docs, carry, model=pieces)
-    back = sentencepiece_scan.decode(coded, list(carry), model=pieces)
-    return back.select("doc_id", "lang", "source", "n_chars", F.size("ids").cast("long").alias("n_pieces"),
-                       F.col("ids").alias("pieces"), "text_crc32", F.crc32("text").alias("decoded_crc32"))
+    coded = sentencepiece_scan.encode(docs, carry, model=pieces, checksum="decoded_crc32")
+    return coded.select("doc_id", "lang", "source", "n_chars", F.size("ids").cast("long").alias("n_pieces"),
+                        F.col("ids").alias("pieces"), "text_crc32", "decoded_crc32")
 
 
 STAGES = [

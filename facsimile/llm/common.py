@@ -13,10 +13,19 @@ from pyspark.sql import functions as F
 #: ASCII white space, the only word separator of the contracts.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 #: Bytes of text that a Python helper works on at once (one longer text is taken alone).
-SLICE_BYTES = 2 * 1024 * 1024
+SLICE_BYTES = 1024 * 1024
+#: Rows of one Arrow batch: whole texts are long, and Spark's default of 10,000 rows makes batches of tens of MB.
+BATCH_ROWS = 1000
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Let this session hand texts to Python in batches of at most ``BATCH_ROWS`` rows."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the folder; the queries that read it hand it on in bounded batches."""
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

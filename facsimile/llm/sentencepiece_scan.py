@@ -29,12 +29,14 @@ one by one; extra columns are not read.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 from functools import cached_property
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,7 +50,7 @@ CHUNK = 32_768
 SHORT = 64
 BLANK = "▁"
 #: Remembered words of a worker; the memory is emptied when full.
-CACHE = 400_000
+CACHE = 300_000
 _EMPTY = (None, 0)  # the state at a cut between two words
 
 State = tuple[str | None, int]
@@ -127,35 +129,76 @@ class Pieces:
     def _score(self) -> np.ndarray:
         return np.array([*self.scores, -np.inf])  # at -1: no merge
 
-    def merge_words(self, words: list[str]) -> list[list[str]]:
-        """The pieces of each word: best-scoring merges first, leftmost among equals."""
-        out: list[list[str] | None] = [None] * len(words)
-        unknown: dict[str, int] = {}
-        signs = [[self.ids.get(c) if c in self.ids else -2 - unknown.setdefault(c, len(unknown)) for c in w] for w in words]
-        other = list(unknown)
-        by_length: dict[int, list[int]] = {}
-        for i, s in enumerate(signs):
-            by_length.setdefault(len(s), []).append(i)
-        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {n: [(np.array(rows), np.array([signs[i] for i in rows], np.int64).reshape(len(rows), n))] for n, rows in by_length.items()}
-        for n in range(max(held, default=0), -1, -1):  # a merge shortens a word by one
-            if n not in held:
+    @cached_property
+    def _sign(self) -> np.ndarray:
+        """Symbol of each code point: its piece's id, or -2 - code point if the model lacks it."""
+        out = -2 - np.arange(0x110000, dtype=np.int64)
+        for p, i in self.ids.items():
+            if len(p) == 1:
+                out[ord(p)] = i
+        return out
+
+    def merge(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Symbols of all words, one after the other, and how many each word has.
+
+        Best-scoring merges first, leftmost among equals.  All words of one length
+        take their next merge at once; each merge shortens a word by one."""
+        lens = np.fromiter(map(len, words), np.int64, len(words))
+        sign = self._sign[np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)]
+        starts = np.cumsum(lens) - lens
+        left: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        by_length = np.argsort(lens, kind="stable")
+        for rows in np.split(by_length, np.flatnonzero(np.diff(lens[by_length])) + 1) if len(words) else ():
+            n = int(lens[rows[0]])
+            left[n] = [(rows, sign[starts[rows][:, None] + np.arange(n)])]
+        done_rows, done_syms = [], []
+        for n in range(max(left, default=0), 0, -1):
+            if n not in left:
                 continue
-            rows, sym = (np.concatenate([h[i] for h in held[n]]) for i in (0, 1))
+            blocks = left.pop(n)
+            rows, sym = (np.concatenate([x[i] for x in blocks]) for i in (0, 1))
             done = np.ones(len(rows), bool)
             if n > 1:
                 to = self.merged(sym[:, :-1].ravel(), sym[:, 1:].ravel()).reshape(len(rows), n - 1)
                 best = np.argmax(self._score[to], axis=1)
-                at = np.arange(len(rows))
-                done = to[at, best] < 0
-                left = np.flatnonzero(~done)
-                if len(left):
-                    sym[left, best[left]] = to[left, best[left]]
-                    keep = np.ones((len(left), n), bool)
-                    keep[np.arange(len(left)), best[left] + 1] = False
-                    held.setdefault(n - 1, []).append((rows[left], sym[left][keep].reshape(len(left), n - 1)))
-            for r, s in zip(rows[done].tolist(), sym[done].tolist(), strict=True):
-                out[r] = [self.names[x] if x >= 0 else other[-2 - x] for x in s]
-        return out
+                done = to[np.arange(len(rows)), best] < 0
+                go = np.flatnonzero(~done)
+                if len(go):
+                    at = best[go]
+                    sym[go, at] = to[go, at]
+                    keep = np.ones((len(go), n), bool)
+                    keep[np.arange(len(go)), at + 1] = False
+                    left.setdefault(n - 1, []).append((rows[go], sym[go][keep].reshape(len(go), n - 1)))
+            done_rows.append((rows[done], n))
+            done_syms.append(sym[done].ravel())
+        count = np.zeros(len(words), np.int64)
+        for rows, n in done_rows:
+            count[rows] = n
+        out = np.empty(int(count.sum()), np.int64)
+        begin = np.cumsum(count) - count
+        for (rows, n), sym in zip(done_rows, done_syms, strict=True):
+            out[(begin[rows][:, None] + np.arange(n)).ravel()] = sym
+        return out, count
+
+    def merge_words(self, words: list[str]) -> list[list[str]]:
+        """The pieces of each word, as text."""
+        sym, count = self.merge(words)
+        text = [self.names[x] if x >= 0 else chr(-2 - x) for x in sym.tolist()]
+        ends = np.cumsum(count).tolist()
+        return [text[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+    def ids_of_symbols(self, sym: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Piece ids and their number by word: symbols that the model lacks become byte pieces."""
+        lacking = np.flatnonzero(sym < 0)
+        if not len(lacking):
+            return sym.astype(np.int32), count
+        coded = [[self.byte_ids[b] for b in chr(-2 - x).encode("utf-8", "surrogatepass")] for x in sym[lacking].tolist()]
+        times = np.ones(len(sym), np.int64)
+        times[lacking] = [len(c) for c in coded]
+        out = np.repeat(sym, times)
+        out[np.repeat(sym < 0, times)] = list(chain.from_iterable(coded))
+        word = np.repeat(np.arange(len(count)), count)
+        return out.astype(np.int32), np.bincount(word, times, len(count)).astype(np.int64)
 
     def compatible(self, left: str, right: str) -> bool:
         """Whether the model keeps the two pieces when they stand next to each other."""
@@ -214,30 +257,66 @@ class Pieces:
 
 
 class Encoder:
-    """Encodes whole words with a memory of those it has seen."""
+    """Encodes words with a memory of those it has seen: word -> place in flat arrays of ids."""
 
     def __init__(self, model: Pieces):
         self.model = model
-        self.memory: dict[str, list[int]] = {}
-
-    def words(self, parts: list[list[str]]) -> list[list[int]]:
-        """Ids of texts that are given as lists of words."""
-        memory = self.memory
-        new = set().union(*parts).difference(memory)
-        if len(new) + len(memory) > CACHE:
-            memory.clear()
-            new = set().union(*parts)
-        short = [w for w in new if len(w) <= SHORT]
-        for w, pieces in zip(short, self.model.merge_words(short), strict=True):
-            memory[w] = self.model.to_ids(pieces)
-        for w in new.difference(short):
-            memory[w] = self.model.to_ids(self.model.long_word(w))
-        look = memory.__getitem__
-        return [list(chain.from_iterable(map(look, p))) for p in parts]
+        self.place: dict[str, int] = {}
+        self.flat, self.begin, self.count, self.used = (np.empty(0, t) for t in (np.int32, np.int64, np.int64, np.int64))
+
+    def _forget(self) -> None:
+        """Keep the words that were used at least twice lately, if these are few enough."""
+        kept = np.flatnonzero(self.used >= 2)
+        if len(kept) > CACHE // 2:
+            kept = kept[:0]
+        new = {int(i): k for k, i in enumerate(kept.tolist())}
+        self.place = {w: new[i] for w, i in self.place.items() if i in new}
+        self.flat = gather(self.flat, self.begin[kept], self.count[kept])
+        self.count, self.used = self.count[kept], self.used[kept] // 2
+        self.begin = np.cumsum(self.count) - self.count
+
+    def _learn(self, words: set[str]) -> None:
+        new = [w for w in words if len(w) <= SHORT]
+        flat, count = self.model.ids_of_symbols(*self.model.merge(new))
+        for w in words.difference(new):
+            ids = self.model.to_ids(self.model.long_word(w))
+            new.append(w)
+            flat, count = np.concatenate((flat, np.array(ids, np.int32))), np.append(count, len(ids))
+        self.place.update(zip(new, range(len(self.place), len(self.place) + len(new)), strict=True))
+        self.begin = np.concatenate((self.begin, len(self.flat) + np.cumsum(count) - count))
+        self.flat, self.count = np.concatenate((self.flat, flat)), np.concatenate((self.count, count))
+        self.used = np.concatenate((self.used, np.zeros(len(new), np.int64)))
+
+    def encode_words(self, parts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts that are given as lists of words: all ids, and their number by text."""
+        new = set().union(*parts).difference(self.place)
+        if new and len(new) + len(self.place) > CACHE:
+            self._forget()
+            new = set().union(*parts).difference(self.place)
+        if new:
+            self._learn(new)
+        words = [len(p) for p in parts]
+        at = np.fromiter(map(self.place.__getitem__, chain.from_iterable(parts)), np.int64, sum(words))
+        self.used += np.bincount(at, minlength=len(self.used))
+        count = self.count[at]
+        per_text = np.bincount(np.repeat(np.arange(len(parts)), words), count, len(parts)).astype(np.int64)
+        return gather(self.flat, self.begin[at], count), per_text
+
+    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        find = self.model.words.findall
+        return self.encode_words([find(BLANK + t.replace(" ", BLANK)) if t else [] for t in texts])
 
     def texts(self, texts: list[str | None]) -> list[list[int]]:
-        find = self.model.words.findall
-        return self.words([find(BLANK + t.replace(" ", BLANK)) if t else [] for t in texts])
+        """Ids of each text."""
+        flat, count = self.encode(texts)
+        return [x.tolist() for x in np.split(flat, np.cumsum(count)[:-1])] if texts else []
+
+
+def gather(flat: np.ndarray, begin: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The runs flat[begin : begin + count], one after the other."""
+    ends = np.cumsum(count)
+    total = int(ends[-1]) if len(ends) else 0
+    return flat[np.repeat(begin - (ends - count), count) + np.arange(total)]
 
 
 def states(model: Pieces, text: str, cut: int) -> list[State]:
@@ -299,8 +378,8 @@ class Chunk:
             return to_ids(self._to(start, self.end, goal))
         head = [] if start == _EMPTY else to_ids(self._to(start, self.first, None))
         tail = [] if goal == _EMPTY else to_ids(self._tail(goal))
-        middle = self.encoder.words([self.model.words.findall(self.text[self.first:self.last])])[0]
-        return head + middle + tail
+        middle, _ = self.encoder.encode_words([self.model.words.findall(self.text[self.first:self.last])])
+        return head + middle.tolist() + tail
 
 
 def max_plus(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -364,10 +443,14 @@ def _giant_ids(giant: DataFrame, shared, chunk: int, margin: int) -> DataFrame:
 
 
 def encode(df: DataFrame, carry: dict[str, Column], text_column: str = "text", model: str | Pieces = MODEL,
-           chunk: int = CHUNK) -> DataFrame:
-    """The carried columns with ``ids``, the piece ids of each text."""
+           chunk: int = CHUNK, checksum: str | None = None) -> DataFrame:
+    """The carried columns with ``ids``, the piece ids of each text.
+
+    ``checksum`` names a column for the crc32 of what the ids decode to: decoding in
+    the same pass spares moving the ids to a second set of workers."""
     pieces = Pieces.load(model) if isinstance(model, str) else model
     shared = df.sparkSession.sparkContext.broadcast(pieces)
+    decoder = df.sparkSession.sparkContext.broadcast(PieceBytes(pieces)) if checksum else None
     rows = df.select(*[c.alias(n) for n, c in carry.items()], F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text"))
     small = rows.where(F.length("text") < chunk)
     kinds = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes[:-1])
@@ -377,33 +460,67 @@ def encode(df: DataFrame, carry: dict[str, Column], text_column: str = "text", m
         for b in batches:
             for at, to in text_slices(b):
                 part = b.slice(at, to - at)
-                ids = encoder.texts(part.column("text").to_pylist())
-                ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
-                flat = np.fromiter(chain.from_iterable(ids), np.int32, int(ends[-1]))
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
-                                                 [*part.schema.names[:-1], "ids"])
+                flat, count = encoder.encode(part.column("text").to_pylist())
+                ends = np.concatenate(([0], np.cumsum(count))).astype(np.int32)
+                more = [pa.array(decoder.value.checksums(flat, count))] if checksum else []
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), *more],
+                                                 [*part.schema.names[:-1], "ids", *([checksum] if checksum else [])])
 
-    direct = small.mapInArrow(run, f"{kinds}, ids array<int>")
+    direct = small.mapInArrow(run, f"{kinds}, ids array<int>" + (f", `{checksum}` long" if checksum else ""))
     giant = materialize(rows.where(F.length("text") >= chunk).withColumn("row", F.monotonically_increasing_id()), "piece-giants")
     scanned = giant.drop("text").join(_giant_ids(giant, shared, chunk, pieces.longest), "row").drop("row")
+    if checksum:
+        scanned = decode(scanned, list(carry), model=pieces).withColumn(checksum, F.crc32("text")).drop("text")
     return direct.unionByName(scanned)
 
 
+class PieceBytes:
+    """UTF-8 bytes of every piece."""
+
+    def __init__(self, pieces: Pieces):
+        byte_of = {i: bytes([b]) for b, i in enumerate(pieces.byte_ids)}
+        raw = [byte_of.get(i, p.replace(BLANK, " ").encode() if i >= pieces.first else b"") for i, p in enumerate(pieces.names)]
+        self.count = np.array([len(r) for r in raw], np.int64)
+        self.begin = np.cumsum(self.count) - self.count
+        self.flat = np.frombuffer(b"".join(raw), np.uint8)
+
+    def raw(self, ids: np.ndarray, per_list: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes of all texts and where each ends, without the blank that encoding puts first."""
+        data = gather(self.flat, self.begin[ids], self.count[ids])
+        size = np.bincount(np.repeat(np.arange(len(per_list)), per_list), self.count[ids], len(per_list)).astype(np.int64)
+        begin = np.cumsum(size) - size
+        blank = np.flatnonzero(size)
+        blank = blank[data[begin[blank]] == 32]
+        data = np.delete(data, begin[blank])
+        size[blank] -= 1
+        return data, np.cumsum(size)
+
+    def decode(self, lists: pa.ListArray) -> pa.Array:
+        """Text of each list of ids."""
+        data, ends = self.raw(lists.flatten().to_numpy(), pc.fill_null(pc.list_value_length(lists), 0).to_numpy())
+        out = pa.Array.from_buffers(pa.large_binary(), len(lists), [None, pa.py_buffer(np.concatenate(([0], ends)).astype(np.int64)), pa.py_buffer(data)])
+        try:
+            return out.cast(pa.large_string()).cast(pa.string())
+        except pa.ArrowInvalid:  # byte pieces that make no valid text
+            return pa.array([x.decode("utf-8", "replace") for x in out.to_pylist()], pa.string())
+
+    def checksums(self, ids: np.ndarray, per_list: np.ndarray) -> np.ndarray:
+        """crc32 of each decoded text."""
+        data, ends = self.raw(ids, per_list)
+        view, begin = memoryview(np.ascontiguousarray(data)), np.concatenate(([0], ends[:-1])) if len(ends) else ends
+        return np.array([zlib.crc32(view[a:b]) for a, b in zip(begin.tolist(), ends.tolist(), strict=True)], np.int64)
+
+
 def decode(df: DataFrame, carry: list[str], ids_column: str = "ids", model: str | Pieces = MODEL) -> DataFrame:
     """The carried columns and the ids with ``text``, decoded from them (a null list gives an empty text)."""
     pieces = Pieces.load(model) if isinstance(model, str) else model
-    byte_of = {i: bytes([b]) for b, i in enumerate(pieces.byte_ids)}
-    raw = [byte_of.get(i, p.replace(BLANK, " ").encode() if i >= pieces.first else b"") for i, p in enumerate(pieces.names)]
-    shared = df.sparkSession.sparkContext.broadcast(raw)
+    shared = df.sparkSession.sparkContext.broadcast(PieceBytes(pieces))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        look = shared.value.__getitem__
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
-                texts = [b"".join(map(look, x or ())).decode("utf-8", "replace") for x in part.column(part.num_columns - 1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([t[1:] if t[:1] == " " else t for t in texts], pa.string())],
-                                                 [*part.schema.names, "text"])
+                yield pa.RecordBatch.from_arrays([*part.columns, shared.value.decode(part.column(part.num_columns - 1))], [*part.schema.names, "text"])
 
     rows = df.select(*[c for c in carry if c != ids_column], ids_column)
     kinds = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes)
@@ -415,7 +532,5 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     pieces = Pieces.load()
     text = F.coalesce(F.col("text"), F.lit(""))
-    coded = encode(docs, {"doc_id": F.col("doc_id"), "text_crc32": F.crc32(text)}, model=pieces)
-    back = decode(coded, ["doc_id", "text_crc32"], model=pieces)
-    return back.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), F.col("ids").alias("pieces"), "text_crc32",
-                       F.crc32("text").alias("decoded_crc32"))
+    coded = encode(docs, {"doc_id": F.col("doc_id"), "text_crc32": F.crc32(text)}, model=pieces, checksum="decoded_crc32")
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), F.col("ids").alias("pieces"), "text_crc32", "decoded_crc32")

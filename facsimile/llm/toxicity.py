@@ -56,7 +56,7 @@ ROUNDS = 3
 #: Longer words are scored in overlapping parts of this many letters.
 PART = 24
 #: Remembered words of a worker; the memory is emptied when full.
-CACHE = 500_000
+CACHE = 250_000
 #: Words whose features are computed at once.
 BLOCK_WORDS = 2048
 _LETTER_BITS = 5
