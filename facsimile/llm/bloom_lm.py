@@ -12,10 +12,12 @@ and its end, each after the word before it (the first after a start sign).
 
 *Scale.*  Counting combines inside each task and then shuffles (hash, count).  The
 shuffle is dealt by segments of the filter, so that each task finishes whole
-segments; these, ``BITS_PER_BYTE`` bits for each byte of training text, are put together
-and broadcast.  The filter never exceeds ``MAX_BITS`` (128 MB): beyond
-about 0.9 GB of training text its size stays and the share of false hits grows, which
-``model.fill`` tells.  Exact counts of single words, which the base score needs, are
+segments.  These are ``BITS_PER_BYTE`` bits for each byte of training text at every size,
+so the share of false hits does not grow with the corpus (``model.fill`` tells it).  They are
+broadcast in blocks of at most ``BLOCK_BITS`` (128 MB).  A worker holds one block at a
+time: it tokenises about ``GROUP_BYTES`` of text, goes through the blocks, probes in each
+the n-grams that hash into it, and only then scores.  Texts are read once; what grows with
+the corpus is the number of blocks that each group of texts goes through.  Exact counts of single words, which the base score needs, are
 broadcast for the most frequent ones only (at most ``HOT_WORDS``); the other words
 of each text are joined to the count table by shuffle, so nothing is left out.
 
@@ -32,6 +34,8 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,8 +44,11 @@ from .common import flat_bytes, id_bucket, mix64, table, text_slices, word_hashe
 from .registry import query
 
 BITS_PER_BYTE = 1.25
-MAX_BITS = 1 << 30
 SEGMENT_BITS = 1 << 20
+#: Bits of the filter that a worker holds at a time.
+BLOCK_BITS = 1 << 30
+#: Bytes of text for which a worker goes through the blocks once, if there are several.
+GROUP_BYTES = 24_000_000
 PROBES = 3
 HOT_WORDS = 1 << 21
 MU = 100.0
@@ -81,7 +88,7 @@ def pair_hashes(before: np.ndarray, token: np.ndarray) -> np.ndarray:
 
 
 def segment_of(h: np.ndarray, segments: int) -> np.ndarray:
-    return ((h >> np.uint64(44)) * np.uint64(segments)) >> np.uint64(20)
+    return ((h >> np.uint64(32)) * np.uint64(segments)) >> np.uint64(32)
 
 
 def probe_bits(h: np.ndarray, level: np.ndarray | int) -> list[np.ndarray]:
@@ -97,14 +104,16 @@ def levels_of(n: np.ndarray) -> np.ndarray:
 
 
 class LogFrequencyFilter(NamedTuple):
+    """Neighbouring segments of the filter."""
     bits: np.ndarray     # packed, low bit first
-    segments: int
+    segments: int        # of the whole filter
+    first: int = 0       # the first segment held
 
     def level(self, h: np.ndarray) -> np.ndarray:
         """Probe 1, 2, ... for each n-gram until one misses; the last hit."""
         out = np.zeros(len(h), np.int64)
         alive = np.arange(len(h))
-        base = segment_of(h, self.segments) * np.uint64(SEGMENT_BITS)
+        base = (segment_of(h, self.segments) - np.uint64(self.first)) * np.uint64(SEGMENT_BITS)
         q = 0
         while len(alive) and q < MAX_LEVEL:
             q += 1
@@ -122,8 +131,51 @@ def count_estimate(level: np.ndarray) -> np.ndarray:
     return np.where(level > 0, (np.exp2(level - 1.0) + np.exp2(level) - 1) / 2, 0.0)
 
 
+class Blocks:
+    """The whole filter in blocks of ``per_block`` segments; one is in memory."""
+
+    def __init__(self, blocks: list[Broadcast], segments: int, per_block: int):
+        self.blocks, self.segments, self.per_block = blocks, segments, per_block
+        self.now: tuple[int, LogFrequencyFilter] | None = None
+
+    def level(self, h: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(h), np.int64)
+        block = (segment_of(h, self.segments) // np.uint64(self.per_block)).astype(np.int64)
+        order = np.argsort(block, kind="stable")
+        ends = np.searchsorted(block[order], np.arange(len(self.blocks) + 1))
+        wanted = np.flatnonzero(np.diff(ends)).tolist()
+        # the block at hand first
+        for k in sorted(wanted, key=lambda k: self.now is None or k != self.now[0]):
+            if self.now is None or self.now[0] != k:
+                if self.now is not None and getattr(self.blocks[self.now[0]], "_path", None):
+                    vars(self.blocks[self.now[0]]).pop("_value", None)  # it can be read from its file again
+                self.now = None
+                self.now = k, self.blocks[k].value
+            own = order[ends[k]:ends[k + 1]]
+            out[own] = self.now[1].level(h[own])
+        return out
+
+
+class Prepared(NamedTuple):
+    """A slice of texts, tokenised; ``grams`` are its distinct words, the start and its pairs."""
+    grams: np.ndarray
+    words: int
+    inverse: np.ndarray   # by token: its word
+    text_of: np.ndarray   # by token: its text
+    first: np.ndarray     # by text: its first token
+
+
+def prepare(texts: pa.Array) -> Prepared:
+    token, before, text_of, first = tokens(texts)
+    word, inverse = np.unique(token, return_inverse=True)
+    return Prepared(np.concatenate((word, [START_KEY], pair_hashes(before, token))), len(word), inverse, text_of, first)
+
+
 class BloomModel(NamedTuple):
-    filter: LogFrequencyFilter
+    blocks: list[Broadcast]  # each holds a LogFrequencyFilter
+    segments: int
+    per_block: int
+    set_bits: int
     n: int                # training tokens
     v: int                # distinct ones
     hot: np.ndarray       # hashes of frequent words, sorted
@@ -133,28 +185,26 @@ class BloomModel(NamedTuple):
     @property
     def fill(self) -> float:
         """Share of bits set; a false hit has this to the power ``PROBES``."""
-        return float(np.bitwise_count(self.filter.bits).sum(dtype=np.int64)) / max(1, 8 * len(self.filter.bits))
+        return self.set_bits / (self.segments * SEGMENT_BITS)
 
-    def score(self, texts: pa.Array) -> tuple[np.ndarray, ...]:
+    def score(self, part: Prepared, level: np.ndarray) -> tuple[np.ndarray, ...]:
         """By text: tokens, tokens known from the hot words, their base part, the model's score, and
-        (text, hash, times) of words that are not hot."""
-        token, before, text_of, first = tokens(texts)
-        word, inverse = np.unique(token, return_inverse=True)
+        (text, hash, times) of words that are not hot.  ``level`` is that of the part's n-grams."""
+        word, inverse, text_of, first = part.grams[:part.words], part.inverse, part.text_of, part.first
         at = np.searchsorted(self.hot, word)
         known = at < len(self.hot)
         known[known] = self.hot[at[known]] == word[known]
         exact = np.zeros(len(word), np.int64)
         exact[known] = self.hot_n[at[known]]
-        rows = len(texts)
+        rows = len(first) - 1
         n_known = np.bincount(text_of, known[inverse], rows).astype(np.int64)
         base = np.bincount(text_of, np.log10(exact + 1.0)[inverse], rows)
-        estimate = count_estimate(self.filter.level(word))
-        alone = np.minimum(1.0, (estimate + 1) / (self.n + self.v + 1))[inverse]
-        context = np.append(estimate, count_estimate(self.filter.level(np.array([START_KEY]))))
+        context = count_estimate(level[:len(word) + 1])
+        alone = np.minimum(1.0, (context[:-1] + 1) / (self.n + self.v + 1))[inverse]
         left = np.concatenate(([len(word)], inverse[:-1]))
         left[first[:-1]] = len(word)
         left_n = context[left]
-        pair = np.minimum(count_estimate(self.filter.level(pair_hashes(before, token))), left_n)
+        pair = np.minimum(count_estimate(level[len(word) + 1:]), left_n)
         score = np.bincount(text_of, np.log10((pair + MU * alone) / (left_n + MU)), rows)
         rare = np.flatnonzero(~known[inverse])
         key, times = np.unique(np.stack((text_of[rare], inverse[rare])), axis=1, return_counts=True) if len(rare) and not self.complete else (np.empty((2, 0), np.int64), np.empty(0, np.int64))
@@ -204,21 +254,60 @@ def _segments(counted: DataFrame, segments: int) -> DataFrame:
     return counted.select("h", "n").mapInArrow(run, "seg int, h long, n long, bits binary")
 
 
-def fit(texts: DataFrame, text_column: str = "text", hot_words: int = HOT_WORDS, max_bits: int = MAX_BITS) -> tuple[BloomModel, DataFrame]:
+def _broadcast_blocks(rows: DataFrame, segments: int, block_bits: int) -> tuple[list[Broadcast], int, int]:
+    """The filter's blocks, the segments of each, and the number of bits set; the driver holds one block."""
+    spark = rows.sparkSession
+    per_block = min(segments, max(1, block_bits // SEGMENT_BITS))
+    step = SEGMENT_BITS // 8
+    blocks, set_bits, bits = [], 0, None
+
+    def close() -> None:
+        nonlocal set_bits
+        set_bits += int(np.bitwise_count(bits).sum(dtype=np.int64))
+        blocks.append(spark.sparkContext.broadcast(LogFrequencyFilter(bits, segments, len(blocks) * per_block)))
+
+    def opened() -> np.ndarray:
+        return np.zeros(min(per_block, segments - len(blocks) * per_block) * step, np.uint8)
+
+    bits = opened()
+    for row in (rows if per_block == segments else rows.orderBy("seg")).toLocalIterator():
+        while row["seg"] >= (len(blocks) + 1) * per_block:
+            close()
+            bits = opened()
+        at = (row["seg"] - len(blocks) * per_block) * step
+        bits[at:at + step] = np.frombuffer(row["bits"], np.uint8)
+    while len(blocks) * per_block < segments:
+        close()
+        bits = opened() if len(blocks) * per_block < segments else None
+    return blocks, per_block, set_bits
+
+
+def _groups(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[list[pa.RecordBatch]]:
+    """Slices of batches, together of about ``limit`` bytes of text."""
+    held, size = [], 0
+    for b in batches:
+        for at, to in text_slices(b):
+            held.append(b.slice(at, to - at))
+            size += pc.sum(pc.binary_length(held[-1].column("text"))).as_py() or 0
+            if size >= limit:
+                yield held
+                held, size = [], 0
+    if held:
+        yield held
+
+
+def fit(texts: DataFrame, text_column: str = "text", hot_words: int = HOT_WORDS, block_bits: int = BLOCK_BITS) -> tuple[BloomModel, DataFrame]:
     """The model, and the count table (h, n) of all words."""
     spark = texts.sparkSession
     texts = texts.select(F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text"))
     size = texts.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0
-    segments = max(16, min(max_bits, int(size * BITS_PER_BYTE)) // SEGMENT_BITS)
+    segments = max(16, int(size * BITS_PER_BYTE) // SEGMENT_BITS)
     parts = max(shuffle_partitions(spark), -(-size // PARTITION_BYTES))
-    seg = F.shiftright(F.shiftrightunsigned("h", 44) * segments, 20)
+    seg = F.shiftright(F.shiftrightunsigned("h", 32) * segments, 32)
     counted = _counts(texts).repartition(parts, seg).groupBy(seg.alias("seg"), "h").agg(F.sum("n").alias("n"))
     built = materialize(_segments(counted, segments), "bloom-lm")
     words = built.where("bits is null").select("h", "n")
-    bits = np.zeros(segments * SEGMENT_BITS // 8, np.uint8)
-    for row in built.where("bits is not null").select("seg", "bits").toLocalIterator():
-        at = row["seg"] * SEGMENT_BITS // 8
-        bits[at:at + SEGMENT_BITS // 8] = np.frombuffer(row["bits"], np.uint8)
+    blocks, per_block, set_bits = _broadcast_blocks(built.where("bits is not null").select("seg", "bits"), segments, block_bits)
     # how many words have at least 1, 2, 4, ... tokens
     by_level = {r["q"]: r for r in words.groupBy(F.floor(F.log2("n")).cast("int").alias("q")).agg(F.count("*").alias("v"), F.sum("n").alias("n")).collect()}
     v, n = (sum(r[k] for r in by_level.values()) for k in ("v", "n"))
@@ -229,20 +318,25 @@ def fit(texts: DataFrame, text_column: str = "text", hot_words: int = HOT_WORDS,
     hot = words.where(F.floor(F.log2("n")) >= least).toArrow()
     h = hot.column("h").to_numpy().view(np.uint64)
     order = np.argsort(h)
-    model = BloomModel(LogFrequencyFilter(bits, segments), n, v, h[order], hot.column("n").to_numpy()[order], total == v)
+    model = BloomModel(blocks, segments, per_block, set_bits, n, v, h[order], hot.column("n").to_numpy()[order], total == v)
     return model, words
 
 
 def score_texts(df: DataFrame, model: BloomModel, words: DataFrame, carry: dict[str, Column], text_column: str = "text") -> DataFrame:
     """The carried columns with ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` and ``score``."""
     spark = df.sparkSession
-    shared = spark.sparkContext.broadcast(model)
+    shared, blocks = spark.sparkContext.broadcast(model._replace(blocks=[])), model.blocks
+    limit = GROUP_BYTES if len(blocks) > 1 else 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for at, to in text_slices(b):
-                part = b.slice(at, to - at)
-                n, known, base, score, row, h, times = shared.value.score(part.column(part.num_columns - 1))
+        model = shared.value
+        whole = Blocks(blocks, model.segments, model.per_block)
+        for group in _groups(batches, limit):
+            prepared = [prepare(part.column(part.num_columns - 1)) for part in group]
+            levels = whole.level(np.concatenate([x.grams for x in prepared])).astype(np.uint8)
+            ends = np.cumsum([len(x.grams) for x in prepared])[:-1]
+            for part, x, level in zip(group, prepared, np.split(levels, ends), strict=True):
+                n, known, base, score, row, h, times = model.score(x, level)
                 ends = np.searchsorted(row, np.arange(part.num_rows + 1)).astype(np.int32)
                 rare = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(h.view(np.int64)), pa.array(times)], ["h", "times"]))
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(n), pa.array(known), pa.array(base), pa.array(score), rare],

@@ -100,3 +100,33 @@ def test_empty_training_and_empty_table(docs):
     (r,) = B.score_texts(docs([(1, "a b")]), model, words, {"doc_id": F.col("doc_id")}).collect()
     assert (r.n_tokens, r.n_known, r.train_tokens, r.base_score) == (3, 0, 0, 0)
     assert B.score_texts(docs([]), model, words, {"doc_id": F.col("doc_id")}).count() == 0
+
+
+def many_words(n=160):
+    rng = random.Random(5)
+    return [(i, " ".join(f"v{rng.randrange(10 ** 7)}" for _ in range(20_000))) for i in range(n)]
+
+
+def test_filter_grows_with_the_training_text(docs):
+    # 29 MB of text ask for 34 segments; none of them is left out because a block holds fewer
+    pairs = many_words()
+    model, words = B.fit(docs(pairs[:1]), block_bits=4 * B.SEGMENT_BITS)
+    table = docs(pairs[:1]).select("text").crossJoin(docs([(0, "")]).sparkSession.range(160)).select(
+        F.regexp_replace("text", "v", F.concat(F.lit("v"), F.col("id").cast("string"), F.lit("x"))).alias("text"))
+    large, _ = B.fit(table, block_bits=4 * B.SEGMENT_BITS)
+    size = table.agg(F.sum(F.octet_length("text") + 1)).first()[0]
+    assert large.segments == int(size * B.BITS_PER_BYTE) // B.SEGMENT_BITS > 4 * large.per_block
+    assert len(large.blocks) == -(-large.segments // 4)
+    assert 0 < large.fill < 1 - math.exp(-3 * 2 * large.n / (large.segments * B.SEGMENT_BITS)) + 0.05
+
+
+def test_blocks_give_the_same_scores(docs, monkeypatch):
+    monkeypatch.setattr(B, "GROUP_BYTES", 5_000)
+    pairs = corpus()
+    by_blocks = []
+    for block_bits in (1 << 30, 3 * B.SEGMENT_BITS):
+        model, words = B.fit(docs(pairs), hot_words=3, block_bits=block_bits)
+        rows = B.score_texts(docs(pairs).repartition(2), model, words, {"doc_id": F.col("doc_id")}).collect()
+        by_blocks.append((len(model.blocks), sorted((r.doc_id, r.n_tokens, r.n_known, round(r.base_score, 9), r.score) for r in rows)))
+    (one, whole), (six, parts) = by_blocks
+    assert (one, six) == (1, 6) and whole == parts
