@@ -1,6 +1,8 @@
 import random
 import re
+from itertools import combinations
 
+import pyarrow as pa
 import pytest
 from facsimile.llm import decontaminate as D
 from llm_fixtures import docs  # noqa: F401
@@ -79,3 +81,38 @@ def test_edge_tables(spark, docs, pairs):
     for bench in (empty, some):
         assert D.find_leaks(docs(pairs), bench).count() == 0
         assert D.without_leaks(docs(pairs), bench).count() == len(pairs)
+
+
+@pytest.mark.parametrize("size", range(5, 15))
+def test_any_tolerated_substitutions_are_found(size):
+    """Every pattern of tolerated substitutions, at every place of the window, and none beyond."""
+    item = [f"q{i}" for i in range(size)]
+    whole = min(size, D.WINDOW)
+    most = whole - D.needed(whole, D.SIMILARITY)
+    patterns = [c for n in range(most + 2) for c in combinations(range(size), n)]
+    texts = [" ".join(["before", "it", *("changed" if i in c else w for i, w in enumerate(item)), "after"]) for c in patterns]
+    # passages cut by the text's ends: what is cut off counts as changed
+    texts += [" ".join(item[cut:]) for cut in range(4)] + [" ".join(item[:size - cut]) for cut in range(1, 4)]
+    seeds = D.build_seeds([1], pa.array([" ".join(item)]))
+    assert {t for t, *_ in D.leaks(seeds, pa.array(texts))} == {i for i, t in enumerate(texts) if brute(t, " ".join(item))}
+
+
+def test_all_leaks_of_brute_force_are_found(spark, docs):
+    rng = random.Random(8)
+    items = [(i, " ".join(text(n))) for i, n in enumerate([5, 6, 7, 8, 9, 10, 11, 12, 13, 14, 30] * 2)]
+    pairs = []
+    for i, t in items:
+        for n in range(5):
+            own = t.split()
+            for k in rng.sample(range(len(own)), n):
+                own[k] = "changed"
+            pairs.append((len(pairs), " ".join(text(rng.randrange(3)) + own + text(rng.randrange(3)))))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in D.find_leaks(docs(pairs), bench).collect()}
+    want = {(i, k) for i, t in pairs for k, b in items if brute(t, b)}
+    assert len(want) > 40 and got == want
+
+
+def test_scripts_without_spaces():
+    seeds = D.build_seeds([1, 2], pa.array(["日本の首都はどこですか", "สวัสดีครับ"]))
+    assert [(t, i) for t, i, *_ in D.leaks(seeds, pa.array(["問い 日本の首府はどこですか 答え", "日本", "abcสวัสดีครับ", None]))] == [(0, 0), (2, 1)]
