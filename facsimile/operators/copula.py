@@ -37,11 +37,15 @@ from pyspark.sql import functions as F
 
 from ..functions.normal import phi_sql
 from ..functions.rng import with_normals
-from ..session import discard, materialize
+from ..session import discard, materialize, shuffle_partitions
 from .joins import join_null_safe, sized_broadcast
 from .profile import is_missing
 from .scan import running_sums
 
+#: Ranks of a value that one row is expanded to at most.
+RANK_BLOCK = 10_000
+#: A value with no more ranks than this is expanded where it lies.
+FEW_RANKS = 8
 EPSILON = 1e-6
 
 
@@ -167,8 +171,14 @@ def rank_table(df: DataFrame, group: str, features: Sequence[str]) -> DataFrame:
     cells = cast_features(df, features).select(group, F.posexplode(F.array(*features)).alias("f", "x")).withColumn("f", F.col("f").cast("tinyint"))
     counts = cells.groupBy(group, "f", "x").agg(F.count(F.lit(1)).alias("c"))
     cum = running_sums(counts, [group, "f"], ["x"], {"cum": "c"}, tag="copula-scan", next_of="x")
-    # a value that occurs c times holds c ranks
-    ranked = cum.select(group, "f", "x", "__next_x", "cum", F.explode(F.sequence(F.col("cum") - F.col("c"), F.col("cum") - 1)).alias("rank"))
+    # a value that occurs c times holds c ranks: they are written out in blocks, and
+    # blocks of repeated values are dealt anew before, so that no value is one task's
+    wide = cum.select(group, "f", "x", "__next_x", "cum", "c", (F.col("cum") - F.col("c")).alias("first"))
+    blocks = wide.where(F.col("c") > FEW_RANKS).withColumn("first", F.explode(F.sequence("first", F.col("cum") - 1, F.lit(RANK_BLOCK).cast("long"))))
+    blocks = blocks.repartition(shuffle_partitions(df.sparkSession), group, "f", "first")
+    spread = wide.where(F.col("c") <= FEW_RANKS).unionByName(blocks)
+    last = F.least(F.col("first") + (RANK_BLOCK - 1), F.col("cum") - 1)
+    ranked = spread.select(group, "f", "x", "__next_x", "cum", F.explode(F.sequence("first", last)).alias("rank"))
     return ranked.select(group, "f", "rank", F.col("x").alias("x_lo"),
                          F.when(F.col("rank") < F.col("cum") - 1, F.col("x")).otherwise(F.col("__next_x")).alias("x_hi"))
 

@@ -222,3 +222,14 @@ def test_null_flag_counts_as_performing(spark, tmp_path):
     lines.withColumn("l_returnflag", F.when(F.col("l_linenumber") == 1, None).otherwise(F.col("l_returnflag"))).write.parquet(str(tmp_path / "lineitem.parquet"))
     sources = contract_sources(spark, str(tmp_path))
     assert sum(df.count() for df in sources.values()) == 500
+
+
+def test_ranks_of_one_value_are_dealt_to_several_tasks(spark):
+    # 200,000 rows of one value, 500 rows of others: no task writes most of the ranks
+    df = spark.range(200_500).select(F.lit("g").alias("__g"), F.when(F.col("id") < 200_000, 7.0).otherwise(F.col("id").cast("double")).alias("x"))
+    ranks = copula.rank_table(df, "__g", ["x"])
+    rows = [r["count"] for r in ranks.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    assert sum(rows) == 200_500 and max(rows) < 0.7 * sum(rows)
+    r = ranks.agg(F.count_distinct("rank"), F.min("rank"), F.max("rank"), F.sum((F.col("x_lo") == 7).cast("int")),
+                  F.sum((F.col("x_hi") == 7).cast("int")), F.max(F.when(F.col("rank") == 199_999, F.col("x_hi")))).first()
+    assert tuple(r) == (200_500, 0, 200_499, 200_000, 199_999, 200_000.0)
