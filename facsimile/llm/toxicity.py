@@ -9,8 +9,10 @@ punctuation inside words goes, and runs of single letters ("i d i o t") are join
 
 *Learning.*  Labels belong to texts, so a text is a bag of sentences and their
 words (multiple-instance learning): a toxic text has a witness, the word that speaks most for
-toxicity; no word of a clean text is one.  First witnesses come from log-odds
-of subsequences; then a linear SVM on Nyström features (kernel values to landmark
+toxicity.  Candidates are words of no clean text and words whose share in toxic texts
+is surely a multiple of that in clean ones (a smoothed rate ratio and its error), so that a few wrong
+labels or quotations do not hide a word; candidates are no examples of clean words.  First
+witnesses come from log-odds of subsequences; then a linear SVM on Nyström features (kernel values to landmark
 words times the inverse root of the landmarks' own kernel) and a new choice of
 witnesses alternate, each round with the clean words that come nearest and with
 witnesses into which a letter was put (virtual examples).  Platt
@@ -53,6 +55,9 @@ DECAY = 0.8
 TRAIN_ROWS = 3000
 LANDMARKS = 160
 ROUNDS = 3
+#: A word of clean texts may be a witness from this ratio of rates and so many standard errors of its logarithm.
+WITNESS_RATIO = 5.0
+WITNESS_ERRORS = 3.0
 #: Longer words are scored in overlapping parts of this many letters.
 PART = 24
 #: Remembered words of a worker; the memory is emptied when full.
@@ -261,6 +266,13 @@ def train(bags: list[set[str]], labels: list[int], landmarks: int = LANDMARKS, r
     return train_numbered(vocabulary, [np.array(sorted(number[w] for w in b), np.int32) for b in plain], np.array(labels), landmarks, rounds)
 
 
+def candidates(clean: np.ndarray, toxic: np.ndarray, n_clean: int, n_toxic: int) -> np.ndarray:
+    """Which words may be witnesses, from the number of clean and of toxic texts that hold them."""
+    rate = np.log((toxic + 0.5) / (n_toxic + 1)) - np.log((clean + 0.5) / (n_clean + 1))
+    error = np.sqrt(1 / (toxic + 0.5) + 1 / (clean + 0.5))
+    return (toxic > 0) & ((clean == 0) | ((rate >= np.log(WITNESS_RATIO)) & (rate >= WITNESS_ERRORS * error)))
+
+
 def train_numbered(vocabulary: list[str], bags: list[np.ndarray], y: np.ndarray, landmarks: int = LANDMARKS, rounds: int = ROUNDS) -> ToxicityModel:
     """Model from bags of numbers into a sorted vocabulary of plain words."""
     if not len(y) or y.min() == y.max():
@@ -277,8 +289,8 @@ def train_numbered(vocabulary: list[str], bags: list[np.ndarray], y: np.ndarray,
     odds = np.log((seen[1] + 0.5) / (total[1] + 1)) - np.log((seen[0] + 0.5) / (total[0] + 1))
     odds *= seen[1] / (seen[1] + 3)
     model = ToxicityModel(odds.astype(np.float32), 0.0, 1.0, 0.0)
-    only_toxic = (count[1] > 0) & (count[0] == 0)
-    clean = np.flatnonzero(count[0])
+    speaks = candidates(count[0], count[1], int((y == 0).sum()), int((y == 1).sum()))
+    clean = np.flatnonzero((count[0] > 0) & ~speaks)
     frequent = [vocabulary[i] for i in clean[np.argsort(-count[0][clean], kind="stable")[:landmarks // 2]]]
     some_clean = [vocabulary[i] for i in np.random.default_rng(7).permutation(clean)[:3000]]
     for _ in range(rounds):
@@ -286,7 +298,7 @@ def train_numbered(vocabulary: list[str], bags: list[np.ndarray], y: np.ndarray,
         # the witness of each toxic text
         witness: Counter = Counter()
         for bag in (b for b, l in zip(bags, y, strict=True) if l and len(b)):
-            own = bag[only_toxic[bag]] if only_toxic[bag].any() else bag
+            own = bag[speaks[bag]] if speaks[bag].any() else bag
             witness[vocabulary[own[score[own] == score[own].max()][-1]]] += 1
         if not witness:
             return constant_model(float(y.mean()))

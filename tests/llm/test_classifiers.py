@@ -140,3 +140,33 @@ def test_accents_and_lookalikes():
     assert toxicity.plain_parts("Ïd1ot!!".lower()) == ["idiot"]
     assert unicodedata.normalize("NFKD", "é")[0] == "e" and toxicity.plain_parts("été") == ["ete"]
     assert toxicity.plain_parts("ab") == [] and len(toxicity.plain_parts("x" * 100)) > 1
+
+
+def with_rare_words(rows, seed=3):
+    """Each text with a word of its own."""
+    rng = random.Random(seed)
+    return [(t + " " + "".join(rng.choice("abcdefghklmnoprstuvz") for _ in range(8)), y) for t, y in rows]
+
+
+def flipped(rows):
+    """Wrong labels: for each insult two of its texts are called clean, and as many clean texts toxic."""
+    wrong = {i for w in INSULTS for i in [k for k, (t, y) in enumerate(rows) if y and w in t.split()][:2]}
+    wrong |= set([k for k, (_, y) in enumerate(rows) if not y][:len(wrong)])
+    return [(t, 1 - y if i in wrong else y) for i, (t, y) in enumerate(rows)], len(wrong) / len(rows)
+
+
+def test_a_few_wrong_labels_hide_no_insult():
+    rows, share = flipped(with_rare_words(labelled(1000)))
+    assert 0.01 < share < 0.02
+    m = toxicity.train([toxicity.words_of(t) for t, _ in rows], [y for _, y in rows])
+    fresh = with_rare_words(labelled(seed=9), 4)
+    p = scores(m, [t for t, _ in fresh])
+    assert np.mean((p >= 0.5) == [y == 1 for _, y in fresh]) >= 0.97
+    assert (scores(m, [f"on the {w} in re" for w in INSULTS]) >= 0.5).all()
+
+
+def test_witness_candidates_need_evidence():
+    clean, toxic = np.array([0, 0, 1, 2, 5, 300]), np.array([0, 1, 40, 700, 1, 300])
+    assert toxicity.candidates(clean, toxic, 3000, 3000).tolist() == [False, True, True, True, False, False]
+    # few toxic texts: a rare word that is once among them is no candidate
+    assert not toxicity.candidates(np.array([5]), np.array([1]), 3000, 100)[0]
