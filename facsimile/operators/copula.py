@@ -74,7 +74,8 @@ def correlation_stats(df: DataFrame, keys: Sequence[str], features: Sequence[str
     x = complete_rows(df, features).select(*keys, *[F.col(f).cast("double").alias(f"__x{i}") for i, f in enumerate(features)])
     means = [F.avg(f"__x{i}").alias(f"__m{i}") for i in range(d)]
     if keys:
-        x = join_null_safe(x, sized_broadcast(x.groupBy(*keys).agg(*means)), keys)
+        # written before it is measured, so that the rows behind it are not gone through a third time
+        x = join_null_safe(x, sized_broadcast(materialize(x.groupBy(*keys).agg(*means), "group-means")), keys)
     else:
         row = x.agg(*means).first()
         x = x.withColumns({f"__m{i}": F.lit(row[f"__m{i}"]).cast("double") for i in range(d)})
@@ -168,7 +169,7 @@ def cast_features(df: DataFrame, features: Sequence[str]) -> DataFrame:
 
 def rank_table(df: DataFrame, group: str, features: Sequence[str]) -> DataFrame:
     """J4 support: (group, f, rank, x_lo, x_hi), f = the feature's number, x_hi = next order statistic."""
-    cells = cast_features(df, features).select(group, F.posexplode(F.array(*features)).alias("f", "x")).withColumn("f", F.col("f").cast("tinyint"))
+    cells = cast_features(df, features).select(group, F.posexplode(F.array(*features)).alias("f", "x")).withColumn("f", F.col("f").cast("tinyint")).where(F.col("x").isNotNull())
     counts = cells.groupBy(group, "f", "x").agg(F.count(F.lit(1)).alias("c"))
     cum = running_sums(counts, [group, "f"], ["x"], {"cum": "c"}, tag="copula-scan", next_of="x")
     # a value that occurs c times holds c ranks: they are written out in blocks, and

@@ -11,11 +11,10 @@
 * M4 permutation importance on the held-out rows: each row's donor is the next row
   in a seeded hash order (one ordinal scan, one equi-join for all features); every
   (row, feature) hybrid is scored in one pass, and the RMSE increase is reported;
-* M4 Shapley summary: Monte-Carlo Shapley values with the donor as background.  A
-  row's hash order of the features is its permutation; a feature's contribution is
-  the prediction with it and all before it taken from the row, less the one with
-  only those before it.  All contributions are scored in one pass.  This replaces
-  the tree-SHAP summary (a per-model algorithm).
+* M4 Shapley values: Monte Carlo over feature orders (each also backwards, which cancels
+  much of the noise) and backgrounds from the held-out rows, averaged for each row
+  before any absolute value is taken, with standard errors.  This replaces the
+  tree-SHAP summary (a per-model algorithm).
 """
 
 from __future__ import annotations
@@ -36,6 +35,10 @@ from .profile import train_test_split
 from .scan import ordinal
 
 
+#: Backgrounds and pairs of feature orders of a row's Shapley values.
+PAIRS = 4
+
+
 @dataclass
 class DriverModel:
     features: list[str]
@@ -124,16 +127,66 @@ def permutation_importance(m: DriverModel, seed: int = 7, id_col: str = "contrac
     return out.withColumn("increase", F.col("rmse_permuted") - F.col("rmse_base"))
 
 
-def shapley_summary(m: DriverModel, seed: int = 11, id_col: str = "contract_number") -> DataFrame:
-    """M4: (feature, mean_abs_contribution, rank), one sampled permutation per held-out row."""
-    rows, _ = _with_donor(m, seed, id_col)
-    turn = {f: F.xxhash64(F.lit(seed), F.lit(f), F.col(id_col).cast("string")) for f in m.features}
-    cells = rows.withColumns({f"t_{f}": t for f, t in turn.items()}).withColumn(
-        "x", F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f"t_{f}").alias("turn")) for f in m.features])))
-    cells = cells.withColumns({"feature": F.col("x.feature"), "turn": F.col("x.turn")}).drop("x")
-    upto = {f: F.when(F.col(f"t_{f}") <= F.col("turn"), F.col(f)).otherwise(F.col(f"d_{f}")) for f in m.features}
-    before = {f: F.when(F.col(f"t_{f}") < F.col("turn"), F.col(f)).otherwise(F.col(f"d_{f}")) for f in m.features}
-    scored = _predict(m, _predict(m, cells, upto, "__with"), before, "__without")
-    out = scored.groupBy("feature").agg(F.avg(F.abs(F.col("__with") - F.col("__without"))).alias("mean_abs_contribution"))
-    place = Window.orderBy(F.desc("mean_abs_contribution"), "feature")  # one row for each feature
+def shapley_values(m: DriverModel, seed: int = 11, id_col: str = "contract_number", pairs: int = PAIRS,
+                   orders: Sequence[Sequence[int]] | None = None) -> DataFrame:
+    """M4: (id, feature, value, sampling_error, prediction, base), one row for each held-out row and feature.
+
+    A row has ``pairs`` backgrounds (held-out rows at even distances in a seeded hash order)
+    and as many feature orders, each gone through forwards and backwards.  On the way
+    from the background to the row its features are swapped in one by one; a feature's value
+    is the mean change of the prediction at its turn, signs kept.  Steps cancel along an
+    order, so a row's values add up to its ``prediction`` less ``base``, the mean prediction of its
+    backgrounds.  ``sampling_error`` is the standard error over the pairs (null for one pair).
+    ``orders`` (permutations of the features' numbers) replaces the sampled ones: with all of them
+    the values are exact for the backgrounds.  All predictions are made in one pass."""
+    d, feats = len(m.features), m.features
+    test = m.test.withColumn("__h", hash_u(seed, "perm", id_col))
+    test = materialize(ordinal(test, [], ["__h", id_col], "__pos"), "shap-order")
+    n = test.count()
+    count = len(orders) if orders is not None else pairs
+    stride = max(1, n // (count + 1))
+    draws = test.select(id_col, "__pos", *feats, F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("__t"))
+    donors = test.select(F.col("__pos").alias("__at"), *[F.col(f).alias(f"d_{f}") for f in feats])
+    draws = draws.withColumn("__at", (F.col("__pos") + 1 + F.col("__t") * stride) % F.lit(n)).join(donors, "__at")
+    if orders is None:
+        turns = [F.struct(F.xxhash64(F.lit(seed), F.col("__t"), F.lit(f), F.col(id_col).cast("string")).alias("h"), F.lit(i).alias("i"))
+                 for i, f in enumerate(feats)]
+        order = F.transform(F.array_sort(F.array(*turns)), lambda x: x["i"])
+    else:
+        order = F.element_at(F.array(*[F.array(*[F.lit(int(i)) for i in o]) for o in orders]), F.col("__t") + 1)
+    # both directions share their ends: step 0 is the background, step d the row itself
+    way = draws.withColumn("__o", order).withColumn("__s", F.explode(F.sequence(F.lit(0), F.lit(2 * d - 1))))
+    forward = F.col("__s") <= d
+    own = F.when(forward, F.slice("__o", 1, F.col("__s"))).otherwise(F.slice("__o", F.lit(2 * d + 1) - F.col("__s"), F.col("__s") - d))
+    way = way.withColumn("__own", own)
+    hybrid = {f: F.when(F.array_contains("__own", i), F.col(f)).otherwise(F.col(f"d_{f}")) for i, f in enumerate(feats)}
+    scored = _predict(m, way, hybrid, "__p")
+    # a prediction is added for the feature that came last and taken off for the one that comes next
+    step, o, size = F.col("__s"), F.col("__o"), F.size("__own")
+    plus, minus = F.lit(0.5), F.lit(-0.5)
+    part = lambda i, sign: F.struct(i.alias("i"), (sign * F.col("__p")).alias("v"))
+    at = lambda k: F.try_element_at(o, k.cast("int"))
+    parts = F.when(step == 0, F.array(part(at(F.lit(1)), minus), part(at(F.lit(d)), minus))) \
+        .when(step == d, F.array(part(at(F.lit(d)), plus), part(at(F.lit(1)), plus))) \
+        .when(forward, F.array(part(at(size), plus), part(at(size + 1), minus))) \
+        .otherwise(F.array(part(at(d - size + 1), plus), part(at(d - size), minus)))
+    ends = F.struct(F.when(step == d, F.col("__p")).alias("row"), F.when(step == 0, F.col("__p")).alias("base"))
+    cells = scored.select(id_col, "__t", ends.alias("__e"), F.explode(parts).alias("x"))
+    one = cells.groupBy(id_col, "__t", F.col("x.i").alias("i")).agg(F.sum("x.v").alias("v"), F.max("__e.row").alias("row"), F.max("__e.base").alias("base"))
+    error = F.when(F.count(F.lit(1)) > 1, F.stddev_samp("v") / F.sqrt(F.count(F.lit(1)))) if count > 1 else F.lit(None).cast("double")
+    out = one.groupBy(id_col, "i").agg(F.avg("v").alias("value"), error.alias("sampling_error"), F.max("row").alias("row"), F.avg("base").alias("base"))
+    ends = out.groupBy(id_col).agg(F.max("row").alias("prediction"), F.max("base").alias("base"))
+    names = F.array(*[F.lit(f) for f in feats])
+    return out.drop("row", "base").join(ends, id_col).select(id_col, F.element_at(names, F.col("i") + 1).alias("feature"), "value", "sampling_error", "prediction", "base")
+
+
+def shapley_summary(m: DriverModel, seed: int = 11, id_col: str = "contract_number", pairs: int = PAIRS) -> DataFrame:
+    """M4: (feature, mean_abs_value, mean_value, standard_error, sampling_error, rank).
+
+    Each row's draws are averaged before the absolute value is taken.  ``standard_error`` is that
+    of the mean over rows, ``sampling_error`` the mean error of a row's value."""
+    out = shapley_values(m, seed, id_col, pairs).groupBy("feature").agg(
+        F.avg(F.abs("value")).alias("mean_abs_value"), F.avg("value").alias("mean_value"),
+        F.when(F.count(F.lit(1)) > 1, F.stddev_samp(F.abs("value")) / F.sqrt(F.count(F.lit(1)))).alias("standard_error"), F.avg("sampling_error").alias("sampling_error"))
+    place = Window.orderBy(F.desc("mean_abs_value"), "feature")  # one row for each feature
     return out.withColumn("rank", F.row_number().over(place))

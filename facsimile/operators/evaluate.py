@@ -28,13 +28,14 @@ A constant column has no Anderson-Darling statistic (null).
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.normal import log_phi_sql
+from ..session import materialize
 from .copula import correlation_long, correlation_stats
 from .joins import bounded_broadcast
 from .profile import is_missing
@@ -230,6 +231,16 @@ def quality_report(real: DataFrame, synth: DataFrame, numeric: Sequence[str],
     return _with_overall(shapes.unionByName(pairs))
 
 
+def compare_candidates(real: DataFrame, candidates: Mapping[str, DataFrame], numeric: Sequence[str],
+                       categorical: Sequence[str] = ()) -> DataFrame:
+    """(method, property, score, rank) of any candidates, ranked by their overall score (ties by name)."""
+    parts = [quality_report(real, s, numeric, categorical).withColumn("method", F.lit(name)) for name, s in candidates.items()]
+    scores = materialize(reduce(lambda a, b: a.unionByName(b), parts), "candidates")
+    place = Window.orderBy(F.col("score").desc_nulls_last(), "method")  # one row for each candidate
+    ranked = scores.where(F.col("property") == "Overall").select("method", F.row_number().over(place).alias("rank"))
+    return scores.join(bounded_broadcast(ranked, len(candidates)), "method").select("method", "property", "score", "rank")
+
+
 def _with_overall(properties: DataFrame) -> DataFrame:
     """The properties and their mean, with each property computed once."""
     return properties.groupBy().agg(F.collect_list(F.struct("property", "score")).alias("p"), F.avg("score").alias("overall")).select(

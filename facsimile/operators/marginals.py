@@ -94,7 +94,8 @@ PARAMS: dict[str, tuple[str, str, str, str]] = {
     "arcsine": ("NULL", "NULL", "loc0", "(hiloc - loc0)"),
     "loguniform": ("(xmin - loc0)", "(xmax - loc0)", "loc0", "1.0"),
     "loglaplace": ("(1.0 / mabs_lnr)", "NULL", "loc0", "exp(med_ln)"),
-    "exponnorm": ("(sqrt(power(abs(g1) / 2.0, 2.0 / 3.0) / (1.0 - least(power(abs(g1) / 2.0, 2.0 / 3.0), 0.999999))))",
+    # its skewness lies between 0 and 2; other columns have no estimate
+    "exponnorm": ("(CASE WHEN g1 > 0 AND g1 < 2 THEN sqrt(power(g1 / 2.0, 2.0 / 3.0) / (1.0 - power(g1 / 2.0, 2.0 / 3.0))) END)",
                   "NULL", "NULL", "NULL"),
     "genextreme": ("NULL", "NULL", "NULL", "NULL"),
 }
@@ -140,7 +141,15 @@ def _pos_ln(v: str) -> str:
 
 
 def cdf_sql(family: str, x: str = "x") -> str | None:
-    """Closed-form CDF with columns p1, p2, loc, scale; None for grid families."""
+    """Closed-form CDF with columns p1, p2, loc, scale; None for grid families.
+
+    Null where the family has no fit: ``greatest`` and ``least`` skip nulls, so a body of
+    its own would give 1."""
+    body = _cdf_body(family, x)
+    return None if body is None else f"(CASE WHEN scale IS NULL THEN NULL ELSE {body} END)"
+
+
+def _cdf_body(family: str, x: str) -> str | None:
     y = _y(x)
     if family == "norm":
         return phi_sql(y)
@@ -261,15 +270,7 @@ PROBS = {"q1": 0.25, "med": 0.5, "q3": 0.75}
 def column_stats(df: DataFrame, cols: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """(stats, cum): one stats row per column and the written distinct-value scan."""
     c = materialize(cells(df, cols), "marginal-cells")
-    a = c.groupBy("column_name").agg(
-        F.count(F.lit(1)).alias("n"), F.avg("x").alias("mean"), F.var_pop("x").alias("var"),
-        F.skewness("x").alias("g1"), F.kurtosis("x").alias("g2"),
-        F.min("x").alias("xmin"), F.max("x").alias("xmax"))
-    a = a.withColumns({
-        "sd": F.sqrt("var"),
-        "loc0": F.expr("CASE WHEN xmax > xmin THEN xmin - (xmax - xmin) / n ELSE xmin - 1.0 END"),
-        "hiloc": F.expr("CASE WHEN xmax > xmin THEN xmax + (xmax - xmin) / n ELSE xmax + 1.0 END"),
-    })
+    a = _moments(c).withColumns(_support())
     counts = c.groupBy("column_name", "x").agg(F.count(F.lit(1)).alias("c"))
     cum = running_sums(counts, ["column_name"], ["x"], {"cum": "c"}, tag="marginal-cum", next_of="x")
     a = materialize(a, "marginal-a")
@@ -300,15 +301,9 @@ def column_stats(df: DataFrame, cols: Sequence[str]) -> tuple[DataFrame, DataFra
     # pass B: log-moments about the support bounds
     b = c.join(bounded_broadcast(stats.select("column_name", "loc0", "hiloc", "xmin", "xmax", "med"),
                                  len(cols)), "column_name")
-    y = F.col("x") - F.col("loc0")
-    ln_y = F.log(y)
-    ln_hi = F.log(F.col("hiloc") - F.col("x"))
-    ln_par = F.log(F.col("x") - (F.col("loc0") - (F.col("xmax") - F.col("xmin"))))
     ln_abs = F.when(F.col("x") != F.col("med"), F.log(F.abs(F.col("x") - F.col("med"))))
     logs = b.groupBy("column_name").agg(
-        F.avg(ln_y).alias("mln"), F.var_pop(ln_y).alias("vln"), F.avg(y * ln_y).alias("mylny"),
-        F.avg(ln_hi).alias("mln_hi"), F.var_pop(ln_hi).alias("vln_hi"), F.avg(ln_par).alias("mln_par"),
-        F.avg(ln_abs).alias("mln_abs"), F.var_pop(ln_abs).alias("vln_abs"))
+        *_log_moments(), F.avg(ln_abs).alias("mln_abs"), F.var_pop(ln_abs).alias("vln_abs"))
     stats = stats.join(bounded_broadcast(logs, len(cols)), "column_name")
     # loglaplace: median of ln(y) is ln of the median of y; scale of |ln y - that|
     stats = stats.withColumn("med_ln", F.log(F.col("med") - F.col("loc0")))
@@ -319,6 +314,47 @@ def column_stats(df: DataFrame, cols: Sequence[str]) -> tuple[DataFrame, DataFra
     return materialize(stats, "marginal-stats"), cum
 
 
+#: Families whose estimators need quantiles or L-moments, that is the distinct-value scan.
+SCAN_FAMILIES = {"cauchy", "dweibull", "genextreme", "loglaplace"}
+
+
+def moment_stats(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """The columns of ``column_stats`` that need no order statistics, by two light aggregations.
+
+    Enough for every family outside ``SCAN_FAMILIES``.  Cells are combined where they lie, so
+    nothing is shuffled but one row for each column and task."""
+    c = cells(df, cols)
+    a = materialize(_moments(c).withColumns(_support()), "moments")
+    b = c.join(bounded_broadcast(a.select("column_name", "loc0", "hiloc", "xmin", "xmax"), len(cols)), "column_name")
+    return a.join(bounded_broadcast(b.groupBy("column_name").agg(*_log_moments()), len(cols)), "column_name")
+
+
+def _moments(c: DataFrame) -> DataFrame:
+    return c.groupBy("column_name").agg(
+        F.count(F.lit(1)).alias("n"), F.avg("x").alias("mean"), F.var_pop("x").alias("var"),
+        F.skewness("x").alias("g1"), F.kurtosis("x").alias("g2"),
+        F.min("x").alias("xmin"), F.max("x").alias("xmax"))
+
+
+def _log_moments() -> list[F.Column]:
+    """Moments of logarithms about the support bounds."""
+    y = F.col("x") - F.col("loc0")
+    ln_y = F.log(y)
+    ln_hi = F.log(F.col("hiloc") - F.col("x"))
+    ln_par = F.log(F.col("x") - (F.col("loc0") - (F.col("xmax") - F.col("xmin"))))
+    return [F.avg(ln_y).alias("mln"), F.var_pop(ln_y).alias("vln"), F.avg(y * ln_y).alias("mylny"),
+            F.avg(ln_hi).alias("mln_hi"), F.var_pop(ln_hi).alias("vln_hi"), F.avg(ln_par).alias("mln_par")]
+
+
+def _support() -> dict[str, F.Column]:
+    """Spread and support bounds, a step outside the extremes."""
+    return {
+        "sd": F.sqrt("var"),
+        "loc0": F.expr("CASE WHEN xmax > xmin THEN xmin - (xmax - xmin) / n ELSE xmin - 1.0 END"),
+        "hiloc": F.expr("CASE WHEN xmax > xmin THEN xmax + (xmax - xmin) / n ELSE xmax + 1.0 END"),
+    }
+
+
 #: A family is fitted to columns of at least three values that are not all equal.
 FITTABLE = "(n >= 3 AND xmax > xmin AND var > 0)"
 

@@ -32,7 +32,9 @@ def _long(stats, keys):
 
 @query("a6_group_correlation", cs.with_ctes(cs.correlation_long_select("corr", GROUP_KEYS)))
 def a6_group_correlation(spark, sf):
-    data = copula.complete_rows(contracts(spark, sf), FEATURES)
+    from ..session import materialize
+    # means and products are two passes: the joined source is written once, and narrow
+    data = materialize(copula.complete_rows(contracts(spark, sf), FEATURES).select(*GROUP_KEYS, *FEATURES), "a6-input")
     return _long(copula.correlation_stats(data, GROUP_KEYS, FEATURES), GROUP_KEYS)
 
 

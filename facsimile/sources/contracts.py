@@ -25,6 +25,7 @@ FEATURES = ["cur_bal_member_lender", "total_gross_orig_receivable_amt",
             "cnt_3160_dpd", "cnt_6190_dpd", "cnt_over90_dpd", "contract_balance"]
 GROUP_KEYS = ["industry_segment", "state", "PD_status"]
 ID_COLUMNS = ["customer_number", "customer_name", "contract_number", "PD_status"]
+START_DATE = "contract_start_date"
 SOURCE_TAGS = {"Performing": "performing", "PreviouslyDefaulted": "defaulted"}
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem",
@@ -55,7 +56,7 @@ def _joined_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = spread(read_table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
         "l_extendedprice", "l_discount", "l_tax", "l_returnflag"))
-    orders = spread(read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice"))
+    orders = spread(read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate"))
     customer = read_table(spark, sf_dir, "customer").select(
         "c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")
     nation = read_table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
@@ -98,6 +99,11 @@ def contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _joined_lines(spark, sf_dir).select(*_contract_columns(include_status=True))
 
 
+def dated_contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract table with the day on which a contract began."""
+    return _joined_lines(spark, sf_dir).select(*_contract_columns(include_status=True), F.to_date("o_orderdate").alias(START_DATE))
+
+
 def contract_sources(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """The two untagged sources (``Performing`` / ``PreviouslyDefaulted``)."""
     lines = _joined_lines(spark, sf_dir)
