@@ -371,15 +371,16 @@ class Chunk:
         at = (self.end + goal[1], goal[0])
         return self.model.trace(back, at) if at in back else None
 
-    def ids(self, start: State, goal: State) -> list[int]:
+    def ids(self, start: State, goal: State) -> np.ndarray:
         """Ids of the pieces that begin in the chunk, between two known states."""
-        to_ids = self.model.to_ids
+        to_ids = lambda pieces: np.array(self.model.to_ids(pieces), np.int32)
         if self.first is None:
             return to_ids(self._to(start, self.end, goal))
-        head = [] if start == _EMPTY else to_ids(self._to(start, self.first, None))
-        tail = [] if goal == _EMPTY else to_ids(self._tail(goal))
+        none = np.zeros(0, np.int32)
+        head = none if start == _EMPTY else to_ids(self._to(start, self.first, None))
+        tail = none if goal == _EMPTY else to_ids(self._tail(goal))
         middle, _ = self.encoder.encode_words([self.model.words.findall(self.text[self.first:self.last])])
-        return head + middle.tolist() + tail
+        return np.concatenate((head, middle.astype(np.int32), tail))
 
 
 def max_plus(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -409,11 +410,19 @@ def _chunks(giant: DataFrame, chunk: int, margin: int) -> DataFrame:
 
 def _giant_ids(giant: DataFrame, shared, chunk: int, margin: int) -> DataFrame:
     """(row, ids) of giant texts."""
-    parts = materialize(_chunks(giant, chunk, margin), "piece-chunks")
+    # a giant's chunks lie together: they are dealt anew, so that no task has a giant's share of the work
+    dealt = _chunks(giant, chunk, margin).repartition(shuffle_partitions(giant.sparkSession), "row", "no")
+    parts = materialize(dealt, "piece-chunks")
+
+    def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A batch bounds rows, not bytes: about 1 MB of chunks at a time."""
+        for b in batches:
+            for at, to in text_slices(b, "s"):
+                yield b.slice(at, to - at)
 
     def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(shared.value)
-        for b in batches:
+        for b in slices(batches):
             found = [Chunk(encoder, r["s"], r["at"], r["at"] + r["size"]).matrix() for r in b.to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("row"), b.column("no"), pa.array([m.shape[1] for m in found], pa.int32()),
                                               pa.array([m.tobytes() for m in found], pa.binary())], ["row", "no", "width", "matrix"])
@@ -427,12 +436,14 @@ def _giant_ids(giant: DataFrame, shared, chunk: int, margin: int) -> DataFrame:
 
     def backtrace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(shared.value)
-        for b in batches:
+        for b in slices(batches):
             out = []
             for r in b.to_pylist():
                 c = Chunk(encoder, r["s"], r["at"], r["at"] + r["size"])
                 out.append(c.ids(c.left[r["left"]], c.right[r["right"]]))
-            yield pa.RecordBatch.from_arrays([b.column("row"), b.column("no"), pa.array(out, pa.list_(pa.int32()))], ["row", "no", "ids"])
+            ends = np.cumsum([0, *map(len, out)]).astype(np.int32)
+            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(out)))
+            yield pa.RecordBatch.from_arrays([b.column("row"), b.column("no"), ids], ["row", "no", "ids"])
 
     steps = parts.mapInArrow(matrices, "row long, no int, width int, matrix binary")
     at_cuts = materialize(steps.groupBy("row").applyInPandas(combined, "row long, no int, left int, right int"), "piece-states")
