@@ -166,27 +166,30 @@ def shapley_values(m: DriverModel, seed: int = 11, id_col: str = "contract_numbe
     plus, minus = F.lit(0.5), F.lit(-0.5)
     part = lambda i, sign: F.struct(i.alias("i"), (sign * F.col("__p")).alias("v"))
     at = lambda k: F.try_element_at(o, k.cast("int"))
-    parts = F.when(step == 0, F.array(part(at(F.lit(1)), minus), part(at(F.lit(d)), minus))) \
-        .when(step == d, F.array(part(at(F.lit(d)), plus), part(at(F.lit(1)), plus))) \
+    # the background's and the row's own prediction go along as numbers -1 and -2
+    whole = lambda i: part(F.lit(i), F.lit(1.0))
+    parts = F.when(step == 0, F.array(part(at(F.lit(1)), minus), part(at(F.lit(d)), minus), whole(-1))) \
+        .when(step == d, F.array(part(at(F.lit(d)), plus), part(at(F.lit(1)), plus), whole(-2))) \
         .when(forward, F.array(part(at(size), plus), part(at(size + 1), minus))) \
         .otherwise(F.array(part(at(d - size + 1), plus), part(at(d - size), minus)))
-    ends = F.struct(F.when(step == d, F.col("__p")).alias("row"), F.when(step == 0, F.col("__p")).alias("base"))
-    cells = scored.select(id_col, "__t", ends.alias("__e"), F.explode(parts).alias("x"))
-    one = cells.groupBy(id_col, "__t", F.col("x.i").alias("i")).agg(F.sum("x.v").alias("v"), F.max("__e.row").alias("row"), F.max("__e.base").alias("base"))
-    error = F.when(F.count(F.lit(1)) > 1, F.stddev_samp("v") / F.sqrt(F.count(F.lit(1)))) if count > 1 else F.lit(None).cast("double")
-    out = one.groupBy(id_col, "i").agg(F.avg("v").alias("value"), error.alias("sampling_error"), F.max("row").alias("row"), F.avg("base").alias("base"))
-    ends = out.groupBy(id_col).agg(F.max("row").alias("prediction"), F.max("base").alias("base"))
+    cells = scored.select(id_col, "__t", F.explode(parts).alias("x"))
+    one = cells.groupBy(id_col, "__t", F.col("x.i").alias("i")).agg(F.sum("x.v").alias("v"))
+    error = F.stddev_samp("v") / F.sqrt(F.count(F.lit(1))) if count > 1 else F.lit(None).cast("double")
+    out = one.groupBy(id_col, "i").agg(F.avg("v").alias("value"), error.alias("sampling_error"))
+    ends = out.where("i < 0").groupBy(id_col).agg(F.max(F.when(F.col("i") == -2, F.col("value"))).alias("prediction"),
+                                                  F.max(F.when(F.col("i") == -1, F.col("value"))).alias("base"))
     names = F.array(*[F.lit(f) for f in feats])
-    return out.drop("row", "base").join(ends, id_col).select(id_col, F.element_at(names, F.col("i") + 1).alias("feature"), "value", "sampling_error", "prediction", "base")
+    values = out.where("i >= 0").withColumn("feature", F.element_at(names, F.col("i") + 1))
+    return values.join(ends, id_col).select(id_col, "feature", "value", "sampling_error", "prediction", "base")
 
 
 def shapley_summary(m: DriverModel, seed: int = 11, id_col: str = "contract_number", pairs: int = PAIRS) -> DataFrame:
-    """M4: (feature, mean_abs_value, mean_value, standard_error, sampling_error, rank).
+    """M4: (feature, mean_abs_contribution, mean_contribution, standard_error, sampling_error, rank).
 
     Each row's draws are averaged before the absolute value is taken.  ``standard_error`` is that
     of the mean over rows, ``sampling_error`` the mean error of a row's value."""
     out = shapley_values(m, seed, id_col, pairs).groupBy("feature").agg(
-        F.avg(F.abs("value")).alias("mean_abs_value"), F.avg("value").alias("mean_value"),
+        F.avg(F.abs("value")).alias("mean_abs_contribution"), F.avg("value").alias("mean_contribution"),
         F.when(F.count(F.lit(1)) > 1, F.stddev_samp(F.abs("value")) / F.sqrt(F.count(F.lit(1)))).alias("standard_error"), F.avg("sampling_error").alias("sampling_error"))
-    place = Window.orderBy(F.desc("mean_abs_value"), "feature")  # one row for each feature
+    place = Window.orderBy(F.desc("mean_abs_contribution"), "feature")  # one row for each feature
     return out.withColumn("rank", F.row_number().over(place))

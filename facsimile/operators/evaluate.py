@@ -56,10 +56,10 @@ def cells(df: DataFrame, cols: Sequence[str], side: int | None = None) -> DataFr
 
 
 def kolmogorov_sf_sql(lam: str, terms: int = KS_TERMS) -> str:
-    """Q(lambda) = 2 sum_{k>=1} (-1)^(k-1) exp(-2 k^2 lambda^2), clipped to [0, 1]."""
+    """Q(lambda) = 2 sum_{k>=1} (-1)^(k-1) exp(-2 k^2 lambda^2), clipped to [0, 1]; null for null."""
     series = " + ".join(f"{'-' if k % 2 == 0 else ''}exp(-2.0 * {k * k}.0 * {lam} * {lam})"
                         for k in range(1, terms + 1))
-    return (f"(CASE WHEN {lam} < 0.2 THEN 1.0 ELSE greatest(0.0, least(1.0, 2.0 * ({series}))) END)")
+    return (f"(CASE WHEN {lam} IS NULL THEN NULL WHEN {lam} < 0.2 THEN 1.0 ELSE greatest(0.0, least(1.0, 2.0 * ({series}))) END)")
 
 
 def ks_two_sample(real: DataFrame, synth: DataFrame, cols: Sequence[str]) -> DataFrame:
