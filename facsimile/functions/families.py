@@ -1,8 +1,9 @@
-"""Distribution families on the driver: CDF, survival function and quantiles.
+"""Distribution families in numpy: CDF, survival function, log density and quantiles.
 
 Each family is given for its standardised variable y = (x - loc) / scale.  Both
 tails are separate functions, so that a probability near 1 loses no digits.
-They run on a few thousand grid points per column, never over data.
+``tails`` and ``log_density`` also run over Arrow batches of data (``marginals``), where
+``GRID_FAMILIES`` are read from a grid of ``tails``, as their CDFs are series.
 """
 
 from __future__ import annotations
@@ -90,9 +91,111 @@ def tails(family: str, p1: float | None, p2: float | None) -> tuple[float, float
         return 0.0, 1.0, lambda y: beta_cdf(y, p1, p2), lambda y: beta_cdf(1 - y, p2, p1)
     if family == "t":
         return -inf, inf, lambda y: t_cdf(y, p1), lambda y: t_cdf(-y, p1)
+    if family == "exponpow":
+        return 0.0, inf, lambda y: -np.expm1(-np.expm1(y ** p1)), lambda y: np.exp(-np.expm1(y ** p1))
+    if family == "exponweib":  # without a second shape the inner exponent is 1
+        c = 1.0 if p2 is None else p2
+        log_in = lambda y: p1 * np.log(-np.expm1(-y ** c))
+        return 0.0, inf, lambda y: np.exp(log_in(y)), lambda y: -np.expm1(log_in(y))
+    if family == "truncnorm":  # without a second shape there is no upper bound
+        hi = inf if p2 is None else p2
+        mass = normal_between(p1, hi)
+        return p1, hi, lambda y: normal_between(p1, y) / mass, lambda y: normal_between(y, hi) / mass
     raise ValueError(f"unknown family {family!r}")
 
 
+def normal_between(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Phi(b) - Phi(a) by the tails on the nearer side."""
+    upper = np.asarray(a, float) > 0
+    return np.where(upper, normal_cdf(-np.asarray(a, float)) - normal_cdf(-np.asarray(b, float)), normal_cdf(b) - normal_cdf(a))
+
+
+def log_density(family: str, y: np.ndarray, p1: float | None, p2: float | None) -> np.ndarray:
+    """ln of the density of the standardised variable; minus infinity outside the support."""
+    root = 0.5 * math.log(2 * _PI)
+    inside = np.ones(y.shape, bool)
+    if family in ("rayleigh", "lognorm", "powerlaw", "weibull_min", "loglaplace", "gamma", "chi2", "exponpow", "exponweib"):
+        inside = y > 0
+        if family == "powerlaw":
+            inside &= y <= 1
+    elif family == "expon":
+        inside = y >= 0
+    elif family == "uniform":
+        inside = (y >= 0) & (y <= 1)
+    elif family in ("arcsine", "beta"):
+        inside = (y > 0) & (y < 1)
+    elif family == "pareto":
+        inside = y >= 1
+    elif family == "weibull_max":
+        inside = y < 0
+    elif family == "dweibull":
+        inside = y != 0
+    elif family == "cosine":
+        inside = np.abs(y) <= _PI
+    elif family == "loguniform":
+        inside = (y >= p1) & (y <= p2)
+    elif family == "truncnorm":
+        inside = (y >= p1) & (y <= (math.inf if p2 is None else p2))
+    elif family == "genextreme":
+        inside = 1.0 - p1 * y > 0
+    out = np.full(y.shape, -math.inf)
+    y = y[inside]
+    if family == "norm":
+        v = -0.5 * y * y - root
+    elif family == "expon":
+        v = -y
+    elif family == "uniform":
+        v = np.zeros(y.shape)
+    elif family == "rayleigh":
+        v = np.log(y) - 0.5 * y * y
+    elif family == "lognorm":
+        v = -0.5 * (np.log(y) / p1) ** 2 - np.log(p1 * y) - root
+    elif family == "cauchy":
+        v = -np.log(_PI * (1.0 + y * y))
+    elif family == "logistic":
+        v = -np.abs(y) - 2.0 * np.log1p(np.exp(-np.abs(y)))
+    elif family == "powerlaw":
+        v = math.log(p1) + (p1 - 1.0) * np.log(y)
+    elif family == "pareto":
+        v = math.log(p1) - (p1 + 1.0) * np.log(y)
+    elif family in ("weibull_min", "weibull_max", "dweibull"):
+        size = np.abs(y)
+        v = math.log(p1 / 2.0 if family == "dweibull" else p1) + (p1 - 1.0) * np.log(size) - size ** p1
+    elif family == "cosine":
+        v = np.log((1.0 + np.cos(y)) / (2.0 * _PI))
+    elif family == "arcsine":
+        v = -math.log(_PI) - 0.5 * np.log(y * (1.0 - y))
+    elif family == "loguniform":
+        v = -np.log(y) - math.log(math.log(p2) - math.log(p1))
+    elif family == "loglaplace":
+        v = math.log(p1 / 2.0) - np.log(y) - p1 * np.abs(np.log(y))
+    elif family == "exponnorm":
+        v = np.log(_exponnorm_part(y, p1)) - math.log(p1)
+    elif family == "genextreme":
+        t = -y if abs(p1) < 1e-12 else np.log1p(-p1 * y) / p1
+        v = (1.0 - p1) * t - np.exp(t)
+    elif family in ("gamma", "chi2"):
+        k, half = (p1, 1.0) if family == "gamma" else (p1 / 2.0, 0.5)
+        v = (k - 1.0) * np.log(y) - half * y + k * math.log(half) - math.lgamma(k)
+    elif family == "beta":
+        v = (p1 - 1.0) * np.log(y) + (p2 - 1.0) * np.log1p(-y) + math.lgamma(p1 + p2) - math.lgamma(p1) - math.lgamma(p2)
+    elif family == "t":
+        v = math.lgamma((p1 + 1.0) / 2.0) - math.lgamma(p1 / 2.0) - 0.5 * math.log(p1 * _PI) - (p1 + 1.0) / 2.0 * np.log1p(y * y / p1)
+    elif family == "exponpow":
+        t = y ** p1
+        v = math.log(p1) + (p1 - 1.0) * np.log(y) + t - np.expm1(t)
+    elif family == "exponweib":
+        c = 1.0 if p2 is None else p2
+        t = y ** c
+        v = math.log(p1 * c) + (p1 - 1.0) * np.log(-np.expm1(-t)) - t + (c - 1.0) * np.log(y)
+    elif family == "truncnorm":
+        v = -0.5 * y * y - root - math.log(float(normal_between(p1, math.inf if p2 is None else p2)))
+    else:
+        raise ValueError(f"unknown family {family!r}")
+    out[inside] = v
+    return out
+
+
 def quantiles_at_normal(family: str, z: np.ndarray, p1: float | None = None, p2: float | None = None) -> np.ndarray:
     """Standardised quantiles at u = Phi(z), by bisection on the nearer tail."""
     lo, hi, cdf, sf = tails(family, p1, p2)

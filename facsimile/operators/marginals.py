@@ -6,9 +6,9 @@ Passes over the data (all columns at once, cells unpivoted and written once):
      (``scan.running_sums``): gives exact quantiles, L-moments and the
      empirical CDF needed by the one-sample KS test;
   B. one aggregation of log-moments around support bounds derived from A/R.
-The per-family parameters are then closed-form SQL expressions of one stats
-row per column (so DuckDB evaluates the very same formulas).  Iterative MLE is
-not reproduced; estimators (documented per family below) are:
+The parameters of most families are then closed-form SQL expressions of one stats
+row per column (so DuckDB evaluates the very same formulas).  Estimators
+(documented per family below) are:
 
   norm, logistic, cosine, t         moments (t: df from excess kurtosis)
   expon, uniform, arcsine, loguniform, powerlaw   support bounds (+ log mean)
@@ -19,30 +19,34 @@ not reproduced; estimators (documented per family below) are:
   dweibull                          log-moments of |x - median|
   exponnorm                         moments + skewness
   genextreme                        L-moments (Hosking 1985)
+  exponpow, exponweib, truncnorm    maximum likelihood by Newton steps (``likelihood``)
 
-CDFs are closed-form expressions except gamma, chi2, beta and t, whose CDF is
-interpolated on a grid computed from the fitted parameters (driver-side numpy
-on a few thousand points per column).  Not built: exponpow, exponweib,
-truncnorm (no closed-form estimator) and gaussian_kde (see the empirical
-marginal of the group copula).
+KS statistics and likelihoods of all families come from one Arrow pass over the
+distinct-value scan.  The CDFs of gamma, chi2, beta and t are interpolated there on a
+grid computed from the fitted parameters (numpy on a few thousand points per column);
+the others are closed forms.  Not built: gaussian_kde (see the empirical marginal of
+the group copula).
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
+from typing import NamedTuple
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.normal import log_phi_sql, phi_sql
-from ..functions.families import tails
+from ..functions.families import log_density, tails
 from ..functions.special import lgamma_sql
 from ..session import materialize
 from .evaluate import cells, kolmogorov_sf_sql
 from .joins import bounded_broadcast
+from .likelihood import LIKELIHOOD_FAMILIES, likelihood_params
 from .scan import running_sums
 
 # The family lists of the reference's two searches (the second
@@ -53,10 +57,11 @@ FAMILIES_WIDE = ["arcsine", "cosine", "expon", "weibull_max", "weibull_min", "dw
                  "pareto", "exponnorm", "lognorm", "beta", "norm", "exponweib", "weibull_max",
                  "weibull_min", "pareto", "genextreme", "cauchy", "truncnorm", "logistic",
                  "loglaplace", "lognorm", "loguniform", "uniform", "gamma", "gaussian_kde"]
-NOT_BUILT = {"exponpow", "exponweib", "truncnorm", "gaussian_kde"}
+NOT_BUILT = {"gaussian_kde"}
 GRID_FAMILIES = {"gamma", "chi2", "beta", "t"}
 EULER = 0.5772156649015329
 GRID_POINTS = 4097
+LOG_ZERO = -743.7  # ln of the least positive double, about 1e-323
 
 # --- parameters ---------------------------------------------------------------
 # SQL over one stats row per column.  Columns available: n, mean, var, sd,
@@ -130,6 +135,11 @@ def fitted_families(families: Sequence[str]) -> list[str]:
     return [f for f in dict.fromkeys(families) if f not in NOT_BUILT]
 
 
+def closed_families(families: Sequence[str]) -> list[str]:
+    """The families whose parameters are SQL expressions of the stats."""
+    return [f for f in fitted_families(families) if f not in LIKELIHOOD_FAMILIES]
+
+
 # --- CDF and pdf ----------------------------------------------------------------
 
 def _y(x: str) -> str:
@@ -195,9 +205,21 @@ def _cdf_body(family: str, x: str) -> str | None:
         t = f"(1.0 - p1 * {y})"
         return (f"(CASE WHEN abs(p1) < 1e-12 THEN exp(-exp(-{y})) WHEN {t} <= 0 THEN "
                 f"(CASE WHEN p1 > 0 THEN 1.0 ELSE 0.0 END) ELSE exp(-exp({_pos_ln(t)} / p1)) END)")
+    if family == "exponpow":
+        return f"(CASE WHEN {y} <= 0 THEN 0.0 ELSE 1.0 - exp(1.0 - exp(exp(p1 * {_pos_ln(y)}))) END)"
+    if family == "exponweib":
+        return f"(CASE WHEN {y} <= 0 THEN 0.0 ELSE power(1.0 - exp(-exp(p2 * {_pos_ln(y)})), p1) END)"
+    if family == "truncnorm":
+        return (f"(CASE WHEN {y} <= p1 THEN 0.0 WHEN {y} >= p2 THEN 1.0 "
+                f"ELSE {_between('p1', y)} / {_between('p1', 'p2')} END)")
     return None
 
 
+def _between(a: str, b: str) -> str:
+    """Phi(b) - Phi(a) by the tails on the nearer side."""
+    return f"(CASE WHEN {a} > 0 THEN {phi_sql(f'(-{a})')} - {phi_sql(f'(-({b}))')} ELSE {phi_sql(b)} - {phi_sql(a)} END)"
+
+
 def pdf_sql(family: str, x: str = "x") -> str:
     """Density at ``x`` (columns p1, p2, loc, scale)."""
     y = _y(x)
@@ -257,6 +279,16 @@ def pdf_sql(family: str, x: str = "x") -> str:
     elif family == "t":
         body = (f"exp({lgamma_sql('((p1 + 1.0) / 2.0)')} - {lgamma_sql('(p1 / 2.0)')} - 0.5 * ln(p1 * pi()) "
                 f"- (p1 + 1.0) / 2.0 * ln(1.0 + {y} * {y} / p1))")
+    elif family == "exponpow":
+        t = f"exp(p1 * {lny})"
+        body = f"(CASE WHEN {y} <= 0 THEN 0.0 ELSE p1 * exp((p1 - 1.0) * {lny} + 1.0 + {t} - exp({t})) END)"
+    elif family == "exponweib":
+        t = f"exp(p2 * {lny})"
+        body = (f"(CASE WHEN {y} <= 0 THEN 0.0 ELSE p1 * p2 * exp((p1 - 1.0) * {_pos_ln(f'(1.0 - exp(-{t}))')} "
+                f"- {t} + (p2 - 1.0) * {lny}) END)")
+    elif family == "truncnorm":
+        body = (f"(CASE WHEN {y} < p1 OR {y} > p2 THEN 0.0 ELSE exp(-0.5 * {y} * {y}) / sqrt(2.0 * pi()) "
+                f"/ {_between('p1', 'p2')} END)")
     else:
         raise ValueError(family)
     return f"({body} / scale)"
@@ -315,7 +347,7 @@ def column_stats(df: DataFrame, cols: Sequence[str]) -> tuple[DataFrame, DataFra
 
 
 #: Families whose estimators need quantiles or L-moments, that is the distinct-value scan.
-SCAN_FAMILIES = {"cauchy", "dweibull", "genextreme", "loglaplace"}
+SCAN_FAMILIES = {"cauchy", "dweibull", "genextreme", "loglaplace", *LIKELIHOOD_FAMILIES}
 
 
 def moment_stats(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -355,26 +387,37 @@ def _support() -> dict[str, F.Column]:
     }
 
 
+#: Families whose parameters one projection gives; more make its generated method too large.
+FAMILIES_AT_ONCE = 4
 #: A family is fitted to columns of at least three values that are not all equal.
 FITTABLE = "(n >= 3 AND xmax > xmin AND var > 0)"
 
 
-def fit_params(stats: DataFrame, families: Sequence[str]) -> DataFrame:
+def fit_params(stats: DataFrame, families: Sequence[str], cum: DataFrame | None = None) -> DataFrame:
     """(column_name, family, p1, p2, loc, scale, n).
 
-    Where a family can't be fitted (a constant or nearly empty column, a spread of
-    zero such as the quartiles of a column that is mostly one value, a shape of zero) all four
-    parameters are null, and so are the statistics that later build on them."""
+    ``cum``, the distinct-value scan of ``column_stats``, is needed by ``LIKELIHOOD_FAMILIES``;
+    without it they are left out.  Where a family can't be fitted (a constant or nearly empty
+    column, a spread of zero such as the quartiles of a column that is mostly one value, a shape
+    of zero, a likelihood without an inner maximum) all four parameters are null, and so are the
+    statistics that later build on them."""
     # spreads that are divided by; zero has no fit
     st = stats.withColumns({c: F.nullif(F.col(c), F.lit(0.0)) for c in ("vln", "vln_hi", "vln_abs", "mabs_lnr")
                             if c in stats.columns})
+    names = ("p1", "p2", "loc", "scale")
+    closed = closed_families(families)
+    fits = (F.col("scale") > 0) & (F.col("scale") < float("inf")) & (F.col("p1").isNull() | (F.col("p1") != 0))
     parts = []
-    for fam in fitted_families(families):
-        names = ("p1", "p2", "loc", "scale")
-        values = {n: F.expr(f"CASE WHEN {FITTABLE} THEN CAST({v} AS DOUBLE) END") for n, v in zip(names, family_params_sql(fam))}
-        row = st.select("column_name", F.lit(fam).alias("family"), *[v.alias(n) for n, v in values.items()], "n")
-        fits = (F.col("scale") > 0) & (F.col("scale") < float("inf")) & (F.col("p1").isNull() | (F.col("p1") != 0))
-        parts.append(row.select("column_name", "family", *[F.when(fits, F.col(n)).alias(n) for n in names], "n"))
+    for i in range(0, len(closed), FAMILIES_AT_ONCE):
+        rows = [F.struct(F.lit(fam).alias("family"), *[F.expr(f"CASE WHEN {FITTABLE} THEN CAST({v} AS DOUBLE) END").alias(n)
+                                                       for n, v in zip(names, family_params_sql(fam))]) for fam in closed[i:i + FAMILIES_AT_ONCE]]
+        parts.append(st.select("column_name", "n", F.inline(F.array(*rows)))
+                     .select("column_name", "family", *[F.when(fits, F.col(n)).alias(n) for n in names], "n"))
+    mle = [f for f in fitted_families(families) if f in LIKELIHOOD_FAMILIES]
+    if mle and cum is not None:
+        parts.append(likelihood_params(stats, cum, mle))
+    if not parts:
+        raise ValueError(f"no family of {list(families)} can be fitted here")
     return reduce(lambda x, y: x.unionByName(y), parts)
 
 
@@ -394,22 +437,6 @@ def grid_values(family: str, p1, p2) -> tuple[float, float, list[float]] | None:
     return lo_y, hi_y, [float(v) for v in cdf(y)]
 
 
-def cdf_grids(params: DataFrame) -> DataFrame:
-    """(column_name, family, g_lo, g_hi, grid) for the grid families.
-
-    Built on the driver from the fitted parameters (a few numbers per column);
-    size is columns x 4 families x 4097 doubles, independent of the data.
-    """
-    spark = params.sparkSession
-    rows = []
-    for r in params.where(F.col("family").isin(sorted(GRID_FAMILIES))).collect():
-        g = grid_values(r["family"], r["p1"], r["p2"])
-        if g is not None:
-            rows.append((r["column_name"], r["family"], g[0], g[1], g[2]))
-    schema = "column_name string, family string, g_lo double, g_hi double, grid array<double>"
-    return spark.createDataFrame(rows, schema)
-
-
 def cubic_at(a: F.Column, pos: F.Column, points: int) -> F.Column:
     """The cubic through the four values of the array around ``pos``."""
     i = F.greatest(F.lit(1), F.least(F.floor(pos), F.lit(points - 3))).cast("int")
@@ -419,28 +446,15 @@ def cubic_at(a: F.Column, pos: F.Column, points: int) -> F.Column:
             - y2 * (t + 1) * t * (t - 2) / 2 + y3 * (t + 1) * t * (t - 1) / 6)
 
 
-def grid_cdf(family: str, grid: F.Column, lo: F.Column, hi: F.Column, y: F.Column) -> F.Column:
-    """CDF at the standardised ``y`` from ``grid_values``."""
-    root = F.sqrt(F.least(F.greatest(y - lo, F.lit(0.0)) / (hi - lo), F.lit(1.0)))
-    t = F.asin(root) * (2 / math.pi) if family == "beta" else root
-    return cubic_at(grid, t * (GRID_POINTS - 1), GRID_POINTS)
-
-
-def _grid_cdf(family: str) -> F.Column:
-    return grid_cdf(family, F.col("grid"), F.col("g_lo"), F.col("g_hi"), (F.col("x") - F.col("loc")) / F.col("scale"))
-
-
 def _per_family(base: DataFrame, params: DataFrame, n_cols: int, fams: Sequence[str],
-                 expr_for, grids: DataFrame | None = None) -> DataFrame:
+                expr_for) -> DataFrame:
     """Union of one small projection per family over a single broadcast join.
 
     Every branch filters the same joined plan (the broadcast is reused), and
     each family's expression stays small enough for whole-stage codegen.
     """
     p = params.drop("n") if "n" in base.columns else params
-    if grids is not None:
-        p = p.join(grids, ["column_name", "family"], "left")
-    joined = base.join(bounded_broadcast(p, n_cols * max(1, len(fams)), array_length=GRID_POINTS), "column_name")
+    joined = base.join(bounded_broadcast(p, n_cols * max(1, len(fams))), "column_name")
     parts = [joined.where(F.col("family") == fam).withColumn("__v", expr_for(fam)) for fam in fams]
     return reduce(lambda a, b: a.unionByName(b), parts)
 
@@ -449,43 +463,103 @@ def _families(params: DataFrame) -> list[str]:
     return sorted(r["family"] for r in params.select("family").distinct().collect())
 
 
-def _ks_loglik(cum: DataFrame, params: DataFrame, n_cols: int, with_loglik: bool) -> DataFrame:
-    """One pass over the distinct-value scan: KS statistic (and log-likelihood).
+def _cubic(a: np.ndarray, pos: np.ndarray) -> np.ndarray:
+    """``cubic_at`` on arrays; ``pos`` counts from 0."""
+    i = np.clip(np.floor(pos), 1, len(a) - 3).astype(np.int64)
+    t = pos - i
+    y0, y1, y2, y3 = (a[i + k] for k in (-1, 0, 1, 2))
+    return (-y0 * t * (t - 1) * (t - 2) / 6 + y1 * (t + 1) * (t - 1) * (t - 2) / 2
+            - y2 * (t + 1) * t * (t - 2) / 2 + y3 * (t + 1) * t * (t - 1) / 6)
+
+
+class Fit(NamedTuple):
+    """A fitted family; ``grid`` is that of ``grid_values``."""
+    family: str
+    p1: float | None
+    p2: float | None
+    loc: float
+    scale: float
+    grid: tuple[float, float, np.ndarray] | None
+
+    def cdf(self, x: np.ndarray) -> np.ndarray:
+        y = (x - self.loc) / self.scale
+        if self.grid is not None:
+            lo, hi, values = self.grid
+            root = np.sqrt(np.clip((y - lo) / (hi - lo), 0.0, 1.0))
+            t = np.arcsin(root) * (2 / math.pi) if self.family == "beta" else root
+            return _cubic(values, t * (GRID_POINTS - 1))
+        if self.family in GRID_FAMILIES:  # its shapes give no distribution
+            return np.full(x.shape, np.nan)
+        lo, hi, cdf, _ = tails(self.family, self.p1, self.p2)
+        out = np.where(y <= lo, 0.0, 1.0)
+        inside = (y > lo) & (y < hi)
+        out[inside] = cdf(y[inside])
+        return out
+
+    def log_density(self, x: np.ndarray) -> np.ndarray:
+        """ln of the density, at least ln 1e-323."""
+        if self.family in GRID_FAMILIES and self.grid is None:
+            return np.full(x.shape, np.nan)
+        return np.maximum(log_density(self.family, (x - self.loc) / self.scale, self.p1, self.p2) - math.log(self.scale), LOG_ZERO)
+
+
+def _fits(rows: Sequence) -> dict[str, list[Fit]]:
+    """By column: the families with a fit.  A few numbers for each, and four grids of 4,097."""
+    out: dict[str, list[Fit]] = {}
+    for r in rows:
+        if r["scale"] is not None:
+            grid = grid_values(r["family"], r["p1"], r["p2"]) if r["family"] in GRID_FAMILIES else None
+            out.setdefault(r["column_name"], []).append(
+                Fit(r["family"], r["p1"], r["p2"], r["loc"], r["scale"], grid and (grid[0], grid[1], np.array(grid[2]))))
+    return out
+
+
+def _ks_loglik(cum: DataFrame, params: DataFrame, with_loglik: bool) -> DataFrame:
+    """One pass over the distinct-value scan for all families: KS statistic (and log-likelihood).
 
     D = max over distinct values of max(F_n(v) - F(v), F(v) - F_n(v-));
-    loglik = sum over distinct values of c * ln f(v) (zero density counts as
-    ln(1e-323)).
-    """
-    n = params.select("column_name", "n").distinct()
-    base = cum.join(bounded_broadcast(n, n_cols), "column_name")
-    grids = cdf_grids(params)
-    fams = _families(params)
-    p = params.drop("n").join(grids, ["column_name", "family"], "left")
-    parts = []
-    for fam in fams:
-        j = base.join(bounded_broadcast(p.where(F.col("family") == fam), n_cols, array_length=GRID_POINTS if fam in GRID_FAMILIES else 0), "column_name")
-        cdf = _grid_cdf(fam) if fam in GRID_FAMILIES else F.expr(cdf_sql(fam))
-        j = j.withColumn("__F", cdf)
-        if with_loglik:
-            j = j.withColumn("__pdf", F.expr(pdf_sql(fam)))
-        parts.append(j)
-    joined = reduce(lambda a, b: a.unionByName(b), parts)
-    gap = F.greatest(F.col("cum") / F.col("n") - F.col("__F"),
-                     F.col("__F") - (F.col("cum") - F.col("c")) / F.col("n"))
-    aggs = [F.max(gap).alias("ks")]
-    if with_loglik:
-        # zero density counts as ln(1e-323); an unknown one (no fit) makes the sum null
-        log_f = F.when(F.col("__pdf").isNull() | F.isnan("__pdf"), F.lit(None)).when(F.col("__pdf") > 0, F.log(F.col("__pdf"))).otherwise(F.lit(-743.7))
-        aggs.append(F.when(F.count_if(log_f.isNull()) == 0, F.sum(F.col("c") * log_f)).alias("loglik"))
-    d = joined.groupBy("column_name", "family", "n").agg(*aggs)
+    loglik = sum over distinct values of c * ln f(v) (densities below 1e-323 count as that).
+    A batch is scored under every family of its columns, and a task gives one row for each
+    column and family, so nothing else is shuffled and no expression grows with the families."""
+    rows = params.select("column_name", "family", "p1", "p2", "loc", "scale", "n").collect()
+    fits, total = _fits(rows), {r["column_name"]: r["n"] for r in rows}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[tuple[str, str], tuple[float, float]] = {}
+        for b in batches:
+            names = b.column("column_name").dictionary_encode()
+            code = names.indices.to_numpy()
+            x, c, at = (b.column(k).to_numpy() for k in ("x", "c", "cum"))
+            for k, name in enumerate(names.dictionary.to_pylist()):
+                own = code == k
+                v, w, top = x[own], c[own].astype(float), at[own] / total.get(name, 1)
+                low = top - w / total.get(name, 1)
+                for fit in fits.get(name, ()):
+                    with np.errstate(all="ignore"):
+                        f = fit.cdf(v)
+                        gap = float(np.maximum(top - f, f - low).max())  # an unknown CDF makes the gap NaN
+                        log_f = float((w * fit.log_density(v)).sum()) if with_loglik else 0.0
+                    old = best.get((name, fit.family), (0.0, 0.0))
+                    best[name, fit.family] = float(np.maximum(old[0], gap)), old[1] + log_f
+        if best:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([k[0] for k in best]), pa.array([k[1] for k in best]),
+                 pa.array([g for g, _ in best.values()], pa.float64()), pa.array([v for _, v in best.values()], pa.float64())],
+                ["column_name", "family", "gap", "log_f"])
+
+    found = cum.select("column_name", "x", "c", "cum").mapInArrow(run, "column_name string, family string, gap double, log_f double")
+    # an unknown density (no distribution) leaves no likelihood
+    found = found.groupBy("column_name", "family").agg(F.max("gap").alias("ks"), F.nanvl(F.sum("log_f"), F.lit(None)).alias("loglik"))
+    # families without a fit keep a row of nulls
+    d = params.select("column_name", "family", "n").join(bounded_broadcast(found, max(1, len(rows))), ["column_name", "family"], "left")
     d = (d.withColumn("__lam", F.sqrt(F.col("n").cast("double")) * F.col("ks"))
          .withColumn("pvalue", F.expr(kolmogorov_sf_sql("__lam"))))
     return d.select("column_name", "family", "ks", "pvalue", *(["loglik"] if with_loglik else []))
 
 
-def ks_one_sample(cum: DataFrame, params: DataFrame, n_cols: int) -> DataFrame:
+def ks_one_sample(cum: DataFrame, params: DataFrame) -> DataFrame:
     """D3 + D4: (column_name, family, ks, pvalue) over the distinct-value scan."""
-    return _ks_loglik(cum, params, n_cols, with_loglik=False)
+    return _ks_loglik(cum, params, with_loglik=False)
 
 
 def histogram_sse(cum: DataFrame, cols: Sequence[str], params: DataFrame, stats: DataFrame,
@@ -517,11 +591,11 @@ def histogram_sse(cum: DataFrame, cols: Sequence[str], params: DataFrame, stats:
 def fit_summary(df: DataFrame, cols: Sequence[str], families: Sequence[str] = FAMILIES_WIDE) -> DataFrame:
     """(column_name, family, p1, p2, loc, scale, n, ks, pvalue, loglik, sse, aic, bic)."""
     stats, cum = column_stats(df, cols)
-    params = materialize(fit_params(stats, families), "marginal-params")
-    ks = _ks_loglik(cum, params, len(cols), with_loglik=True)
+    params = materialize(fit_params(stats, families, cum), "marginal-params")
+    ks = _ks_loglik(cum, params, with_loglik=True)
     sse = histogram_sse(cum, cols, params, stats)
     k = F.expr("CASE WHEN family IN ('norm','expon','uniform','cauchy','logistic','cosine','arcsine','rayleigh') "
-               "THEN 2 WHEN family IN ('beta', 'loguniform') THEN 4 ELSE 3 END")
+               "THEN 2 WHEN family IN ('beta', 'loguniform', 'exponweib', 'truncnorm') THEN 4 ELSE 3 END")
     out = params.join(ks, ["column_name", "family"]).join(sse, ["column_name", "family"])
     return out.withColumns({"aic": 2 * k - 2 * F.col("loglik"),
                             "bic": k * F.log(F.col("n")) - 2 * F.col("loglik")})

@@ -10,8 +10,8 @@ from ..operators.scan import ordinal
 from ..sources.contracts import DOUBLE_FEATURES, FEATURES, contracts
 from .registry import CONTRACTS_SQL, query
 
-SHORT = mg.fitted_families(mg.FAMILIES_SHORT)
-WIDE = mg.fitted_families(mg.FAMILIES_WIDE)
+#: Families whose estimators SQL can state.
+SHORT = mg.closed_families(mg.FAMILIES_SHORT)
 
 
 def _stats(spark, sf):
@@ -19,8 +19,8 @@ def _stats(spark, sf):
 
 
 def _params(spark, sf, families):
-    stats, _ = _stats(spark, sf)
-    return mg.fit_params(stats, families)
+    stats, cum = _stats(spark, sf)
+    return mg.fit_params(stats, families, cum)
 
 
 def _cells_sql() -> str:
@@ -63,10 +63,16 @@ def _sig(c: str) -> str:
     "SELECT column_name, family, " + ", ".join(f"{_sig(c)} AS {c}" for c in ["p1", "p2", "loc", "scale"])
     + " FROM params"))
 def d1_fit_params(spark, sf):
-    p = _params(spark, sf, mg.FAMILIES_SHORT)
+    p = _params(spark, sf, SHORT)
     return p.select("column_name", "family", *[sig_round(c).alias(c) for c in ["p1", "p2", "loc", "scale"]])
 
 
+@query("d1_fit_likelihood")
+def d1_fit_likelihood(spark, sf):
+    """The families of both lists that have no closed-form estimator."""
+    return _params(spark, sf, mg.LIKELIHOOD_FAMILIES).drop("n")
+
+
 @query("d2_fit_wide")
 def d2_fit_wide(spark, sf):
     return _params(spark, sf, mg.FAMILIES_WIDE).drop("n")
@@ -112,7 +118,7 @@ def _ks_ctes() -> list[str]:
 
 def _ks_spark(spark, sf):
     stats, cum = _stats(spark, sf)
-    return mg.ks_one_sample(cum, mg.fit_params(stats, SHORT), len(FEATURES))
+    return mg.ks_one_sample(cum, mg.fit_params(stats, SHORT))
 
 
 @query("d3_ks_one_sample", _sql("SELECT column_name, family, round(ks, 4) AS ks FROM ksp", _ks_ctes()))
@@ -148,7 +154,7 @@ def _sse_ctes(bins: int = 100) -> list[str]:
     "FROM pv GROUP BY column_name, family", _sse_ctes()))
 def d5_histogram_sse(spark, sf):
     stats, cum = _stats(spark, sf)
-    params = mg.fit_params(stats, mg.FAMILIES_SHORT)
+    params = mg.fit_params(stats, SHORT)
     sse = mg.histogram_sse(cum, FEATURES, params, stats)
     return sse.select("column_name", "family", sig_round("sse").alias("sse"))
 
