@@ -22,6 +22,7 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -177,9 +178,12 @@ def _sums(logs: DataFrame, searches: Sequence[_Search]) -> dict[tuple[str, str],
     lines: dict[str, dict[str, tuple[float, float]]] = {}
     for s in searches:
         lines.setdefault(s.column, {})[s.family] = s.line()
-    rows = [(k, *v.get("exponpow", (None, None)), *v.get("exponweib", (None, None))) for k, v in lines.items()]
-    trial = logs.sparkSession.createDataFrame(rows, "column_name string, ps double, po double, ws double, wo double")
-    d = logs.join(bounded_broadcast(trial, len(rows)), "column_name")
+    # an Arrow table of this size is part of the plan, so that it takes no tasks
+    place = [("ps", "exponpow", 0), ("po", "exponpow", 1), ("ws", "exponweib", 0), ("wo", "exponweib", 1)]
+    trial = logs.sparkSession.createDataFrame(pa.table(
+        {"column_name": pa.array(list(lines), pa.string())}
+        | {n: pa.array([v[f][i] if f in v else None for v in lines.values()], pa.float64()) for n, f, i in place}))
+    d = logs.join(bounded_broadcast(trial, len(lines)), "column_name")
     d = d.withColumns({"pw": F.expr("ps * l - po"), "ww": F.expr("ws * l - wo")}).withColumns({"pt": F.exp("pw"), "wt": F.exp("ww")})
     used = [f for f in SUMS if any(s.family == f for s in searches)]
     aggs = [(F.expr(f"sum(c * {e})") / F.sum("c")).alias(f"{f}_{i}") for f in used for i, e in enumerate(SUMS[f])]
