@@ -107,20 +107,32 @@ def moment_comparison(real: DataFrame, synth: DataFrame, cols: Sequence[str]) ->
 
 def anderson_normal(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """(column_name, n, statistic, crit_15, crit_10, crit_5, crit_2_5, crit_1)."""
-    c = cells(df, cols)
-    stats = c.groupBy("column_name").agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("mu"),
-                                         F.stddev_samp("x").alias("sd"))
+    return _anderson(cells(df, cols), ["column_name"], len(cols))
+
+
+def anderson_comparison(real: DataFrame, synth: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """E6 for both tables: ``anderson_normal`` by (side, column_name), side 'real' or 'synthetic'.
+
+    The cells of both tables go through one scan, so a second table costs no further shuffle."""
+    sides = [cells(df, cols).withColumn("side", F.lit(name)) for df, name in ((real, "real"), (synth, "synthetic"))]
+    return _anderson(sides[0].unionByName(sides[1]), ["side", "column_name"], 2 * len(cols))
+
+
+def _anderson(c: DataFrame, keys: list[str], groups: int) -> DataFrame:
+    """Anderson-Darling statistic against the normal for each of at most ``groups`` values of ``keys``."""
+    stats = c.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("mu"),
+                                 F.stddev_samp("x").alias("sd"))
     # equal values are counted first: a tie block has a closed sum, and no value can fill a task
-    counts = c.groupBy("column_name", "x").agg(F.count(F.lit(1)).alias("c"))
-    ranked = running_sums(counts, ["column_name"], ["x"], {"j": "c"}, tag="ad")
-    w = ranked.join(bounded_broadcast(stats, len(cols)), "column_name").withColumn(
+    counts = c.groupBy(*keys, "x").agg(F.count(F.lit(1)).alias("c"))
+    ranked = running_sums(counts, keys, ["x"], {"j": "c"}, tag="ad")
+    w = ranked.join(bounded_broadcast(stats, groups), keys).withColumn(
         "__w", (F.col("x") - F.col("mu")) / F.nullif(F.col("sd"), F.lit(0.0))).withColumn("__mw", -F.col("__w"))
     n = F.col("n").cast("double")
     # over the block j - c + 1 .. j: sum (2i - 1) = c (2j - c) and sum (2n - 2i + 1) = c (2n - 2j + c)
     low, high = 2.0 * F.col("j") - F.col("c"), 2.0 * n - 2.0 * F.col("j") + F.col("c")
     term = F.col("c") * (low / n * F.expr(log_phi_sql("__w")) + high / n * F.expr(log_phi_sql("__mw")))
-    a2 = w.groupBy("column_name", "n").agg(F.sum(term).alias("__s"))
-    out = a2.select("column_name", F.col("n").cast("bigint").alias("n"),
+    a2 = w.groupBy(*keys, "n").agg(F.sum(term).alias("__s"))
+    out = a2.select(*keys, F.col("n").cast("bigint").alias("n"),
                     (-n - F.col("__s")).alias("statistic"))
     factor = 1.0 + 4.0 / n - 25.0 / (n * n)
     names = ["crit_15", "crit_10", "crit_5", "crit_2_5", "crit_1"]

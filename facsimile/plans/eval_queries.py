@@ -57,27 +57,35 @@ def e5_ks_two_sample(spark, sf):
     return ks.withColumns({"statistic": F.round("statistic", 6), "pvalue": F.round("pvalue", 6)})
 
 
-def _ad_sql(table: str) -> str:
+def _ad_sql(cells: str, keys: str = "column_name") -> str:
     crit = ", ".join(
         f"round({v!r} / (1.0 + 4.0 / n - 25.0 / (CAST(n AS DOUBLE) * n)), 3) AS {nm}"
         for nm, v in zip(["crit_15", "crit_10", "crit_5", "crit_2_5", "crit_1"], evaluate.AD_CRITICAL))
     term = (f"(2 * j - 1) * {log_phi_sql('__w')} + (2 * CAST(n AS DOUBLE) - 2 * j + 1) * {log_phi_sql('__mw')}")
-    return (f"c AS ({_cells_sql(table)}), "
-            "st AS (SELECT column_name, count(*) AS n, avg(x) AS mu, stddev_samp(x) AS sd FROM c GROUP BY column_name), "
-            "r AS (SELECT c.column_name, c.x, row_number() OVER (PARTITION BY c.column_name ORDER BY c.x) AS j, "
-            "st.n, st.mu, st.sd FROM c JOIN st USING (column_name)), "
+    return (f"c AS ({cells}), "
+            f"st AS (SELECT {keys}, count(*) AS n, avg(x) AS mu, stddev_samp(x) AS sd FROM c GROUP BY {keys}), "
+            f"r AS (SELECT c.*, row_number() OVER (PARTITION BY {keys} ORDER BY c.x) AS j, "
+            f"st.n, st.mu, st.sd FROM c JOIN st USING ({keys})), "
             "w AS (SELECT *, (x - mu) / nullif(sd, 0) AS __w, -((x - mu) / nullif(sd, 0)) AS __mw FROM r), "
-            f"a2 AS (SELECT column_name, n, -CAST(n AS DOUBLE) - sum({term}) / CAST(n AS DOUBLE) AS statistic "
-            "FROM w GROUP BY column_name, n) "
-            f"SELECT column_name, CAST(n AS BIGINT) AS n, round(statistic, 6) AS statistic, {crit} FROM a2")
+            f"a2 AS (SELECT {keys}, n, -CAST(n AS DOUBLE) - sum({term}) / CAST(n AS DOUBLE) AS statistic "
+            f"FROM w GROUP BY {keys}, n) "
+            f"SELECT {keys}, CAST(n AS BIGINT) AS n, round(statistic, 6) AS statistic, {crit} FROM a2")
 
 
-@query("e6_anderson_darling", cs.with_ctes("SELECT 1").replace("\nSELECT 1", ", " + _ad_sql("base")))
+@query("e6_anderson_darling", cs.with_ctes("SELECT 1").replace("\nSELECT 1", ", " + _ad_sql(_cells_sql("base"))))
 def e6_anderson_darling(spark, sf):
     ad = evaluate.anderson_normal(_real(spark, sf), FEATURES)
     return ad.withColumn("statistic", F.round("statistic", 6))
 
 
+@query("e6_anderson_comparison", "WITH " + ",\n".join(cs.synth_ctes(SEED)) + ",\n" + _ad_sql(
+    f"SELECT 'real' AS side, * FROM ({_cells_sql('base')}) UNION ALL SELECT 'synthetic' AS side, * FROM ({_cells_sql('synth')})",
+    "side, column_name"))
+def e6_anderson_comparison(spark, sf):
+    ad = evaluate.anderson_comparison(_real(spark, sf), _synth(spark, sf), FEATURES)
+    return ad.withColumn("statistic", F.round("statistic", 6))
+
+
 def _moments_select(table: str, side: str) -> str:
     return " UNION ALL ".join(
         f"SELECT '{f}' AS column_name, '{side}' AS side, count({f}) AS n, avg({f}) AS mean, "
