@@ -3,8 +3,10 @@
 *Base.*  E-mail addresses, IP addresses, payment cards (Luhn) and phone numbers are
 found by pattern, leftmost and without overlap for each kind; these spans always stay.
 
-*Field.*  The tokens of a document that hold a digit or an @ carry a label (a
-kind, or none); all other tokens are fixed to none, so the chain falls into runs.
+*Field.*  Tokens in question carry a label (a kind, or none): those that hold a digit, an @,
+"(at)" or "[at]" (blanks around it part the address and are not bridged), and those that repeat the local part of an address of the same
+document, if that part has a sign that plain words lack.  All other tokens are fixed to
+none, so the chain falls into runs.
 Node potentials come from the token's form and its neighbours, chain potentials
 from adjacent labels.  Skip edges join distant tokens that repeat each other (the
 same last seven digits, the same local part of an address) or resemble each other
@@ -15,9 +17,12 @@ document, and over all documents of a batch at once.  Runs of tokens labelled
 alike that touch no base span become further spans.
 
 *Learning.*  No labels are given, so the base spans label the tokens of at most about
-``TRAIN_ROWS`` documents (a documented bound; chosen by a hash of the text) and the weights
-maximise the pseudo-likelihood (a skip neighbour's label is a feature) times a normal
-prior, whose mean rewards equal labels of skip neighbours.
+``TRAIN_ROWS`` distinct texts (a documented bound; chosen by a hash of the text, copies count once)
+and the weights maximise the pseudo-likelihood (a skip neighbour's label is a feature) times a normal
+prior, whose mean rewards equal labels of skip neighbours.  Texts come in the order of their
+hashes until ``TRAIN_TOKENS`` tokens in question are reached; of a text with more than
+``TRAIN_TOKENS_OF_TEXT`` an even share is drawn by hash.  Tokens that the base patterns cannot
+judge ("(at)" and repeats of a local part) are no examples.
 
 Texts are read whole, where they lie, with no shuffle.  Defined results: a null or
 empty text has no spans; repeated rows are judged one by one; extra columns are
@@ -28,7 +33,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from typing import NamedTuple
 
 import numpy as np
@@ -36,14 +41,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import mix64, table
 from .registry import query
 
 KINDS = ("email", "ip", "card", "phone")
 NONE = len(KINDS)
 LABELS = NONE + 1
 TRAIN_ROWS = 3000
-#: Texts with more tokens in question are not learnt from, nor more tokens than this in all.
+#: Tokens in question to learn from, of one text and in all.
 TRAIN_TOKENS_OF_TEXT = 1000
 TRAIN_TOKENS = 100_000
 MESSAGE_ROUNDS = 12
@@ -60,7 +65,10 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGITS = re.compile(r"[^0-9]+")
 _TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
 _CANDIDATE = re.compile(r"[0-9@]")
-_AT = re.compile(r"@|\(at\)|\[at\]")
+_WRITTEN_AT = re.compile(r"[(\[][aA][tT][)\]]")
+_AT = re.compile(r"@|[(\[][aA][tT][)\]]")
+#: A local part with none of these is a plain word, whose repeats say nothing.
+_OWN_SIGN = re.compile(r"[0-9._%+-]")
 _EDGES = ".,;:!?\"'<>[]{}"
 
 Span = tuple[int, int, int]  # kind, start, end (code points, end exclusive)
@@ -110,8 +118,23 @@ FEATURES = ("bias", "at", "at_dot", "plus", "bracket", "hyphen", "dots3", "dot",
             "before_plus", "before_colon", "first", "last", "mixed_case")
 
 
+def _in_question(token: str) -> bool:
+    return _CANDIDATE.search(token) is not None or _WRITTEN_AT.search(token) is not None
+
+
+def _local_part(core: str) -> str | None:
+    """What stands before the at sign of a token, in lower case; none without one."""
+    parts = _AT.split(core.lower(), maxsplit=1)
+    return parts[0] if len(parts) > 1 and parts[0] else None
+
+
+def _core(word: str) -> str:
+    """The token without signs around it; brackets that write an at sign stay."""
+    return word.strip(_EDGES)
+
+
 def _node(word: str, before: str, after: str, first: bool, last: bool) -> list[int]:
-    core = word.strip(_EDGES)
+    core = _AT.sub("@", _core(word))
     digits = _DIGITS.sub("", core)
     n = len(digits)
     alpha = any(c.isalpha() for c in core)
@@ -132,35 +155,42 @@ class Graph(NamedTuple):
     chain: list[tuple[int, int]]        # adjacent tokens
     repeats: list[tuple[int, int]]
     similar: list[tuple[int, int]]
+    judged: Sequence[bool] = ()         # whether base patterns can label the token
 
 
-def _classes(core: str) -> tuple[str | None, str]:
+def _classes(core: str, locals_: set[str]) -> tuple[str | None, str]:
     """What a token must share to repeat another, and to resemble it."""
     digits = _DIGITS.sub("", core)
-    parts = _AT.split(core.lower())
-    same = "a" + parts[0] if len(parts) > 1 and parts[0] else "d" + digits[-7:] if len(digits) >= 7 else None
+    local = _local_part(core) or (core.lower() if core.lower() in locals_ else None)
+    same = "a" + local if local else "d" + digits[-7:] if len(digits) >= 7 else None
     return same, re.sub(r"a+", "a", re.sub(r"[^\W\d_]", "a", re.sub(r"[0-9]", "0", core)))
 
 
 def build_graph(texts: list[str | None]) -> Graph:
-    g = Graph([], [], [], [], [])
+    g = Graph([], [], [], [], [], [])
     for t, text in enumerate(texts):
-        if not text or not _CANDIDATE.search(text):
+        if not text or not _in_question(text):
             continue
         tokens = list(_TOKEN.finditer(text))
+        words = [m.group() for m in tokens]
+        asked = [_in_question(w) for w in words]
+        found = {_local_part(_core(w)) for w, x in zip(words, asked, strict=True) if x and _AT.search(w)}
+        locals_ = {x for x in found if x and _OWN_SIGN.search(x)}
         seen: dict[str, int] = {}
         previous = -2
-        for i, m in enumerate(tokens):
-            word = m.group()
-            if not _CANDIDATE.search(word):
+        for i, (m, word) in enumerate(zip(tokens, words, strict=True)):
+            core = _core(word) if asked[i] or locals_ else ""
+            bare = bool(locals_) and core.lower() in locals_
+            if not asked[i] and not bare:
                 continue
             node = len(g.nodes)
             g.spans.append((t, m.start(), m.end()))
-            g.nodes.append(_node(word, tokens[i - 1].group() if i else "", tokens[i + 1].group() if i + 1 < len(tokens) else "", i == 0, i + 1 == len(tokens)))
+            g.nodes.append(_node(word, words[i - 1] if i else "", words[i + 1] if i + 1 < len(words) else "", i == 0, i + 1 == len(words)))
+            g.judged.append(not bare and not _WRITTEN_AT.search(word))
             if previous == i - 1:
                 g.chain.append((node - 1, node))
             previous = i
-            same, form = _classes(word.strip(_EDGES))
+            same, form = _classes(core, locals_)
             for key, edges in ((same, g.repeats), ("f" + form, g.similar)):
                 if key is not None:
                     if key in seen:
@@ -221,9 +251,12 @@ def train(texts: list[str], steps: int = 400, pace: float = 0.1, decay: float =
     # the neighbours' labels: left, right, repeated, similar
     for at, edges in ((0, g.chain), (2, g.repeats), (3, g.similar)):
         for a, b in edges:
-            x[b, f + at * LABELS + y[a]] += 1
-            x[a, f + (1 if at == 0 else at) * LABELS + y[b]] += 1
-    goal = np.eye(LABELS)[y]
+            if g.judged[a]:
+                x[b, f + at * LABELS + y[a]] += 1
+            if g.judged[b]:
+                x[a, f + (1 if at == 0 else at) * LABELS + y[b]] += 1
+    judged = np.array(g.judged)
+    x, goal, n = x[judged], np.eye(LABELS)[y[judged]], max(int(judged.sum()), 1)
     prior = np.zeros((x.shape[1], LABELS))
     for at, reward in zip((2, 3), SKIP_PRIOR, strict=True):
         prior[f + at * LABELS:f + (at + 1) * LABELS] = np.eye(LABELS) * reward
@@ -250,7 +283,7 @@ def train(texts: list[str], steps: int = 400, pace: float = 0.1, decay: float =
 
 def find_spans(texts: list[str | None], w: Weights) -> list[tuple[list[Span], list[Span]]]:
     """Base spans, and all spans, of each text; both by kind and then by start."""
-    base = [base_spans(t) if t and _CANDIDATE.search(t) or t and "+" in t else [] for t in texts]
+    base = [base_spans(t) if t and (_CANDIDATE.search(t) or "+" in t) else [] for t in texts]
     g = build_graph(texts)
     label = marginals(g, w).argmax(axis=1) if g.nodes else np.empty(0, int)
     linked = {b for _, b in g.chain}
@@ -286,32 +319,46 @@ def redact(text: str, spans: list[Span]) -> str:
 
 
 def fit(df: DataFrame, text_column: str = "text", train_rows: int = TRAIN_ROWS) -> Weights:
-    """Weights from at most about ``train_rows`` texts that hold a digit or an @."""
-    texts = df.select(F.col(text_column).cast("string").alias("text")).where(F.col("text").rlike("[0-9@]"))
-    share = train_rows / max(texts.count(), 1)
-    draw = F.xxhash64("text", F.lit(3)).bitwiseAND((1 << 53) - 1) / float(1 << 53)
-    rows = texts.where(draw < share)
+    """Weights from at most about ``train_rows`` distinct texts that hold a token in question."""
+    texts = df.select(F.col(text_column).cast("string").alias("text")).where(F.col("text").rlike(r"[0-9@]|[(\[][aA][tT][)\]]"))
+    texts = texts.withColumn("h", F.xxhash64("text", F.lit(3)))
+    share = train_rows / max(texts.agg(F.approx_count_distinct("h")).first()[0], 1)
+    rows = texts.where(F.col("h").bitwiseAND((1 << 53) - 1) / float(1 << 53) < share)
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The tokens that matter and two on either side stand for the text, which bounds what the driver gets."""
+        seen: set[int] = set()  # distinct texts drawn, so bounded by ``train_rows``
         for b in batches:
-            out = []
-            for t in b.column(0).to_pylist():
-                tokens = t.split()
-                if sum(_CANDIDATE.search(x) is not None for x in tokens) > TRAIN_TOKENS_OF_TEXT:
+            kept, out = [], []
+            for t, h in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if h in seen:
                     continue
-                keep = {j for i, x in enumerate(tokens) if _CANDIDATE.search(x) for j in range(max(0, i - 2), i + 3)}
-                out.append(" ".join(tokens[j] for j in sorted(keep) if j < len(tokens)))
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["text"])
-
-    found, held, tokens = sorted(rows.mapInArrow(near, "text string").toArrow().column(0).to_pylist()), [], 0
-    for t in found:
-        if tokens < TRAIN_TOKENS:
-            held.append(t)
-            tokens += sum(_CANDIDATE.search(x) is not None for x in t.split())
+                seen.add(h)
+                kept.append(h)
+                out.append(_excerpt(t, h))
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), pa.array(kept, pa.int64())], ["text", "h"])
+
+    found = rows.mapInArrow(near, "text string, h long").groupBy("h").agg(F.min("text").alias("text"))
+    held, tokens = [], 0
+    for r in found.orderBy("h").toLocalIterator():
+        if tokens >= TRAIN_TOKENS:
+            break
+        held.append(r["text"])
+        tokens += sum(_in_question(x) for x in r["text"].split())
     return train(held)
 
 
+def _excerpt(text: str, seed: int) -> str:
+    """Tokens in question and two on either side; of a crowded text the tokens with the least hashes."""
+    tokens = text.split()
+    asked = [i for i, x in enumerate(tokens) if _in_question(x)]
+    if len(asked) > TRAIN_TOKENS_OF_TEXT:
+        order = mix64(np.array(asked, np.uint64) ^ np.uint64(seed % (1 << 64)))
+        asked = [asked[j] for j in np.sort(np.argsort(order, kind="stable")[:TRAIN_TOKENS_OF_TEXT])]
+    keep = sorted({j for i in asked for j in range(max(0, i - 2), min(i + 3, len(tokens)))})
+    return " ".join(tokens[j] for j in keep)
+
+
 def _spread(batch: pa.RecordBatch, texts: pa.Array, w: Weights) -> Iterator[tuple[int, int, list]]:
     for at in range(0, batch.num_rows, 256):
         part = texts.slice(at, 256).to_pylist()

@@ -70,6 +70,63 @@ def test_repeats_share_labels(weights):
     assert pii.marginals(g, weights)[1, none] < pii.marginals(cut, weights)[1, none]
 
 
+def test_addresses_without_digits_and_repeats_of_a_local_part(weights):
+    t = "write to jane.doe@example.org today or to jane(at)example.org , Jane.Doe knows ; joe [at] home and jane do not"
+    ((base, spans),) = pii.find_spans([t], weights)
+    assert base == [(0, 9, 29)] and set(base) <= set(spans)
+    at = t.index("jane(at)")
+    assert (0, at, at + len("jane(at)example.org")) in spans
+    g = pii.build_graph([t])
+    named = [t[a:b] for _, a, b in g.spans]
+    assert named == ["jane.doe@example.org", "jane(at)example.org", "Jane.Doe", "[at]"]
+    assert g.judged == [True, False, False, False] and (0, 2) in g.repeats
+    # a repeat is likelier personal than the same word in a document without the address
+    none, cut = pii.NONE, g._replace(repeats=[], similar=[])
+    assert pii.marginals(g, weights)[2, none] < pii.marginals(cut, weights)[2, none]
+    # plain words as local parts make no nodes of plain words
+    assert len(pii.build_graph(["info@example.org gives info"]).nodes) == 1
+
+
+def test_tokens_that_patterns_cannot_judge_are_no_examples():
+    own = texts()
+    hidden = [t + " , jane(at)example.org" for t in own]
+    plain = pii.train(own)
+    with_hidden = pii.train(hidden)
+    address = "x jane(at)example.org y"
+    for w in (plain, with_hidden):
+        assert [s[0] for s in pii.find_spans([address], w)[0][1]] == [0]
+
+
+def test_crowded_texts_and_copies_in_the_sample(docs):
+    crowded = " ".join(f"a{i} b" for i in range(5000))
+    part = pii._excerpt(crowded, -7)
+    kept = [x for x in part.split() if x != "b"]
+    assert pii.TRAIN_TOKENS_OF_TEXT <= len(kept) < 3 * pii.TRAIN_TOKENS_OF_TEXT
+    assert int(kept[-1][1:]) > 4000 and int(kept[0][1:]) < 1000  # from the whole text
+    assert pii._excerpt("a b c 1 d e f", 3) == "b c 1 d e"
+    # copies count once: a third of all rows does not change the weights
+    rows = list(enumerate(texts(60)))
+    once = pii.fit(docs(rows), train_rows=10_000)
+    more = pii.fit(docs(rows + [(100 + i, rows[0][1]) for i in range(300)]), train_rows=10_000)
+    assert np.array_equal(once.node, more.node) and np.array_equal(once.chain, more.chain)
+
+
+def test_messages_on_a_small_loop_are_near_enumeration():
+    """Loopy messages are approximate; with rewards of the trained size they keep label and probability."""
+    rng = np.random.default_rng(5)
+    for _ in range(20):
+        w = pii.Weights(rng.normal(size=(len(pii.FEATURES), pii.LABELS)), 0.5 * rng.normal(size=(pii.LABELS, pii.LABELS)), 0.5, 0.3)
+        g = pii.Graph([(0, 0, 0)] * 4, [[0, 1], [0, 2], [0, 3], [0, 4]], [(0, 1), (1, 2), (2, 3)], [(0, 3)], [(0, 2)])
+        scores = np.stack([w.node[on].sum(axis=0) for on in g.nodes])
+        joint = np.zeros((pii.LABELS,) * 4)
+        for y in np.ndindex(joint.shape):
+            joint[y] = np.exp(sum(scores[i, y[i]] for i in range(4)) + sum(w.chain[y[a], y[b]] for a, b in g.chain)
+                              + w.repeat * (y[0] == y[3]) + w.similar * (y[0] == y[2]))
+        joint /= joint.sum()
+        want = np.stack([joint.sum(axis=tuple(j for j in range(4) if j != i)) for i in range(4)])
+        assert np.abs(pii.marginals(g, w, rounds=100) - want).max() < 0.05
+
+
 def test_messages_are_exact_on_a_tree():
     rng = np.random.default_rng(3)
     w = pii.Weights(rng.normal(size=(len(pii.FEATURES), pii.LABELS)), rng.normal(size=(pii.LABELS, pii.LABELS)), 0.7, 0.3)
