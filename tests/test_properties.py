@@ -156,6 +156,23 @@ def test_anderson_darling_brute_force(spark):
     assert abs(got - a2) < 1e-8
 
 
+def test_anderson_darling_of_both_sides(spark):
+    """Each side as if alone: ties, a constant column, nulls and an empty second table."""
+    rng = np.random.default_rng(4)
+    schema = "x double, c double"
+    real = spark.createDataFrame([(float(round(v, 1)), 1.0) for v in rng.normal(size=300)] + [(None, None)], schema)
+    synth = spark.createDataFrame([(float(v), 2.0) for v in rng.gamma(2.0, size=200)], schema)
+    got = {(r.side, r.column_name): (r.n, r.statistic, r.crit_5) for r in evaluate.anderson_comparison(real, synth, ["x", "c"]).collect()}
+    for side, df in (("real", real), ("synthetic", synth)):
+        for r in evaluate.anderson_normal(df, ["x", "c"]).collect():
+            n, statistic, crit = got.pop((side, r.column_name))
+            assert (n, crit) == (r.n, r.crit_5)
+            assert (statistic is None) == (r.statistic is None) and (statistic is None or abs(statistic - r.statistic) < 1e-8)
+    assert not got
+    alone = evaluate.anderson_comparison(real, synth.limit(0), ["x"]).collect()
+    assert [r.side for r in alone] == ["real"]
+
+
 def test_quality_report_identity_is_one(spark):
     c = contracts(spark, SF_SMALL).select(*FEATURES)
     q = dict(evaluate.quality_report(c, c, FEATURES).toPandas().values)
