@@ -127,7 +127,10 @@ class LogFrequencyFilter(NamedTuple):
 
 
 def count_estimate(level: np.ndarray) -> np.ndarray:
-    """Middle of the counts that share a level."""
+    """Middle of the counts that share a level.
+
+    Levels come as bytes, of which numpy would make half floats that end at 65,504."""
+    level = np.asarray(level, np.float64)
     return np.where(level > 0, (np.exp2(level - 1.0) + np.exp2(level) - 1) / 2, 0.0)
 
 

@@ -130,3 +130,17 @@ def test_blocks_give_the_same_scores(docs, monkeypatch):
         by_blocks.append((len(model.blocks), sorted((r.doc_id, r.n_tokens, r.n_known, round(r.base_score, 9), r.score) for r in rows)))
     (one, whole), (six, parts) = by_blocks
     assert (one, six) == (1, 6) and whole == parts
+
+
+def test_levels_as_bytes_estimate_counts_beyond_half_floats():
+    level = np.array([0, 1, 2, 16, 17, 18, B.MAX_LEVEL], np.uint8)
+    want = [0.0, 1.0, 2.5, *[(2.0 ** (q - 1) + 2.0 ** q - 1) / 2 for q in (16, 17, 18, B.MAX_LEVEL)]]
+    assert B.count_estimate(level).tolist() == want
+
+
+def test_frequent_words_have_finite_scores(docs):
+    pairs = [(1, "the " * 140_000 + "cat"), (2, "the cat"), (3, "the dog the"), (4, None)]
+    model, words = B.fit(docs(pairs[:1]))
+    got = {r.doc_id: r for r in B.score_texts(docs(pairs), model, words, {"doc_id": F.col("doc_id")}).collect()}
+    assert len(got) == 4 and all(math.isfinite(r.score) and r.score <= 0 for r in got.values())
+    assert got[1].score > got[1].base_score - 1
