@@ -233,3 +233,28 @@ def test_ranks_of_one_value_are_dealt_to_several_tasks(spark):
     r = ranks.agg(F.count_distinct("rank"), F.min("rank"), F.max("rank"), F.sum((F.col("x_lo") == 7).cast("int")),
                   F.sum((F.col("x_hi") == 7).cast("int")), F.max(F.when(F.col("rank") == 199_999, F.col("x_hi")))).first()
     assert tuple(r) == (200_500, 0, 200_499, 200_000, 199_999, 200_000.0)
+
+
+@pytest.mark.parametrize("most", [0, 12, 2_000_000])
+def test_group_sample_is_the_same_by_lookup_and_by_join(spark, most):
+    # b has 4 values, a many; a null group, a group of one row and one of one value
+    df = spark.range(400).select(F.when(F.col("id") < 5, F.lit(None)).when(F.col("id") == 5, "one").when(F.col("id") < 40, "flat").otherwise("g").alias("g"),
+                                 F.when(F.col("id") < 40, 2.0).otherwise(hash_u(1, "x", "id")).alias("a"), (F.col("id") % 4).alias("b"))
+    m = copula.fit_group_copula(df, ["g"], ["a", "b"])
+    got = sorted(copula.sample_group_copula(m, steps_most=most).collect(), key=str)
+    u = copula.correlated_uniforms(m.skeleton(), m.params, ["g"], 2, 453).collect()
+    real = df.toPandas()
+    want = []
+    for r in u:
+        own = real[real.g.isna()] if r.g is None else real[real.g == r.g]
+        want.append((r.g, r.k, *[float(np.quantile(own[c], r[f"u_{i}"])) for i, c in enumerate("ab")]))
+    want = sorted(want, key=lambda r: str((r[0], r[1])))
+    got = sorted(got, key=lambda r: str((r[0], r[1])))
+    assert len(got) == 400 and [tuple(r)[:2] for r in got] == [r[:2] for r in want]
+    assert np.allclose([tuple(r)[2:] for r in got], [r[2:] for r in want], atol=1e-12)
+
+
+def test_group_sample_of_few_values_shuffles_no_cells(spark):
+    df = spark.range(400).select((F.col("id") % 3).alias("g"), hash_u(1, "x", "id").alias("a"), (F.col("id") % 4).alias("b"))
+    plan = copula.sample_group_copula(copula.fit_group_copula(df, ["g"], ["a", "b"]))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "SortMergeJoin" not in plan
