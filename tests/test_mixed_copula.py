@@ -218,3 +218,14 @@ def test_shapley_of_a_linear_model_needs_no_luck(spark):
     got = {r.feature: r for r in drivers.shapley_summary(m, pairs=3).collect()}
     assert got["c"].mean_abs_contribution < 1e-12 and got["c"]["rank"] == 3
     assert all(got[c].standard_error > 0 for c in "ab")
+
+
+def test_shapley_values_meet_in_one_shuffle(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = drivers.shapley_values(shapley_model(spark, "2 * a + b", 60), pairs=2)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    # rows and backgrounds by position; nothing behind the predictions
+    assert plan.count("Exchange hashpartitioning(__pos") == 2 and plan.count("Exchange") == 2
