@@ -194,3 +194,12 @@ def test_moments_match_pandas(spark):
     s = pd.Series(x)
     assert np.isclose(m["mean"], s.mean()) and np.isclose(m["variance"], s.var())
     assert np.isclose(m["skewness"], s.skew()) and np.isclose(m["kurtosis"], s.kurt())
+
+
+def test_group_sample_is_counted_without_a_sort(spark):
+    df = spark.range(60).select(F.when(F.col("id") > 50, F.lit(None)).otherwise(F.col("id") % 3).alias("g"), F.col("id").cast("double").alias("a"))
+    m = copula.fit_group_copula(df, ["g"], ["a"])
+    s = copula.with_position(copula.sample_group_copula(m), m)
+    got = [(r.g, r.k) for r in s.orderBy("position").collect()]
+    assert got == [(r.g, r.k) for r in s.orderBy("g", "k").collect()]
+    assert [r.position for r in s.orderBy("position").collect()] == list(range(60))
