@@ -1,11 +1,11 @@
 """Fit distribution families to numeric columns and rank the fits.
 
-Passes over the data (all columns at once, cells unpivoted and written once):
-  A. one aggregation: n, mean, population variance, skewness, kurtosis, min, max;
+Passes over the data (all columns at once, numbers written once):
+  A. one Arrow pass: n, mean, population variance, skewness, kurtosis, min, max;
   R. a skew-safe running count over the distinct values of each column
      (``scan.running_sums``): gives exact quantiles, L-moments and the
      empirical CDF needed by the one-sample KS test;
-  B. one aggregation of log-moments around support bounds derived from A/R.
+  B. one Arrow pass for the log-moments around support bounds derived from A/R.
 The parameters of most families are then closed-form SQL expressions of one stats
 row per column (so DuckDB evaluates the very same formulas).  Estimators
 (documented per family below) are:
@@ -37,7 +37,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.normal import log_phi_sql, phi_sql
@@ -47,6 +47,7 @@ from ..session import materialize
 from .evaluate import cells, kolmogorov_sf_sql
 from .joins import bounded_broadcast
 from .likelihood import LIKELIHOOD_FAMILIES, likelihood_params
+from .profile import is_missing
 from .scan import running_sums
 
 # The family lists of the reference's two searches (the second
@@ -301,9 +302,9 @@ PROBS = {"q1": 0.25, "med": 0.5, "q3": 0.75}
 
 def column_stats(df: DataFrame, cols: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """(stats, cum): one stats row per column and the written distinct-value scan."""
-    c = materialize(cells(df, cols), "marginal-cells")
-    a = _moments(c).withColumns(_support())
-    counts = c.groupBy("column_name", "x").agg(F.count(F.lit(1)).alias("c"))
+    wide = materialize(df.select(*[F.when(~is_missing(df, c), F.col(c).cast("double")).alias(c) for c in cols]), "marginal-cells")
+    a = _moments(wide, cols).withColumns(_support())
+    counts = cells(wide, cols).groupBy("column_name", "x").agg(F.count(F.lit(1)).alias("c"))
     cum = running_sums(counts, ["column_name"], ["x"], {"cum": "c"}, tag="marginal-cum", next_of="x")
     a = materialize(a, "marginal-a")
     nb = bounded_broadcast(a.select("column_name", "n"), len(cols))
@@ -330,20 +331,11 @@ def column_stats(df: DataFrame, cols: Sequence[str]) -> tuple[DataFrame, DataFra
         "l3": 6 * F.col("__b2") - 6 * F.col("__b1") + F.col("mean"),
     }).drop("__b1", "__b2")
     stats = materialize(stats, "marginal-ar")
-    # pass B: log-moments about the support bounds
-    b = c.join(bounded_broadcast(stats.select("column_name", "loc0", "hiloc", "xmin", "xmax", "med"),
-                                 len(cols)), "column_name")
-    ln_abs = F.when(F.col("x") != F.col("med"), F.log(F.abs(F.col("x") - F.col("med"))))
-    logs = b.groupBy("column_name").agg(
-        *_log_moments(), F.avg(ln_abs).alias("mln_abs"), F.var_pop(ln_abs).alias("vln_abs"))
-    stats = stats.join(bounded_broadcast(logs, len(cols)), "column_name")
+    # pass B: log-moments about the support bounds, one pass for all of them
     # loglaplace: median of ln(y) is ln of the median of y; scale of |ln y - that|
     stats = stats.withColumn("med_ln", F.log(F.col("med") - F.col("loc0")))
-    b2 = c.join(bounded_broadcast(stats.select("column_name", "loc0", "med_ln"), len(cols)), "column_name")
-    mabs = b2.groupBy("column_name").agg(
-        F.avg(F.abs(F.log(F.col("x") - F.col("loc0")) - F.col("med_ln"))).alias("mabs_lnr"))
-    stats = stats.join(bounded_broadcast(mabs, len(cols)), "column_name")
-    return materialize(stats, "marginal-stats"), cum
+    logs = _log_moments(wide, cols, stats)
+    return materialize(stats.join(bounded_broadcast(logs, len(cols)), "column_name"), "marginal-stats"), cum
 
 
 #: Families whose estimators need quantiles or L-moments, that is the distinct-value scan.
@@ -351,31 +343,124 @@ SCAN_FAMILIES = {"cauchy", "dweibull", "genextreme", "loglaplace", *LIKELIHOOD_F
 
 
 def moment_stats(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """The columns of ``column_stats`` that need no order statistics, by two light aggregations.
+    """The columns of ``column_stats`` that need no order statistics, by two light passes.
 
-    Enough for every family outside ``SCAN_FAMILIES``.  Cells are combined where they lie, so
+    Enough for every family outside ``SCAN_FAMILIES``.  Rows are combined where they lie, so
     nothing is shuffled but one row for each column and task."""
-    c = cells(df, cols)
-    a = materialize(_moments(c).withColumns(_support()), "moments")
-    b = c.join(bounded_broadcast(a.select("column_name", "loc0", "hiloc", "xmin", "xmax"), len(cols)), "column_name")
-    return a.join(bounded_broadcast(b.groupBy("column_name").agg(*_log_moments()), len(cols)), "column_name")
-
-
-def _moments(c: DataFrame) -> DataFrame:
-    return c.groupBy("column_name").agg(
-        F.count(F.lit(1)).alias("n"), F.avg("x").alias("mean"), F.var_pop("x").alias("var"),
-        F.skewness("x").alias("g1"), F.kurtosis("x").alias("g2"),
-        F.min("x").alias("xmin"), F.max("x").alias("xmax"))
-
-
-def _log_moments() -> list[F.Column]:
-    """Moments of logarithms about the support bounds."""
-    y = F.col("x") - F.col("loc0")
-    ln_y = F.log(y)
-    ln_hi = F.log(F.col("hiloc") - F.col("x"))
-    ln_par = F.log(F.col("x") - (F.col("loc0") - (F.col("xmax") - F.col("xmin"))))
-    return [F.avg(ln_y).alias("mln"), F.var_pop(ln_y).alias("vln"), F.avg(y * ln_y).alias("mylny"),
-            F.avg(ln_hi).alias("mln_hi"), F.var_pop(ln_hi).alias("vln_hi"), F.avg(ln_par).alias("mln_par")]
+    wide = df.select(*[F.when(~is_missing(df, c), F.col(c).cast("double")).alias(c) for c in cols])
+    a = materialize(_moments(wide, cols).withColumns(_support()), "moments")
+    return a.join(bounded_broadcast(_log_moments(wide, cols, a), len(cols)), "column_name")
+
+
+def _means(names: Sequence[str], found: dict[tuple[int, str], list[float]]) -> Iterator[pa.RecordBatch]:
+    """A task's (column_name, item, n, mean, m2, m3, m4): central moment sums of what it saw."""
+    keys = list(found)
+    yield pa.RecordBatch.from_arrays(
+        [pa.array([names[i] for i, _ in keys], pa.string()), pa.array([item for _, item in keys], pa.string()), pa.array([int(found[k][0]) for k in keys], pa.int64()),
+         *[pa.array([float(found[k][j]) for k in keys], pa.float64()) for j in range(1, 5)]], ["column_name", "item", "n", "mean", "m2", "m3", "m4"])
+
+
+def _add_means(found: dict[tuple[int, str], list[float]], key: tuple[int, str], x: np.ndarray) -> None:
+    """Central moment sums of what was seen and ``x`` (pairwise formulas of Chan and of Pebay)."""
+    if not len(x):
+        return
+    nb, mb = len(x), float(x.mean())
+    dev = x - mb
+    mb, dev = mb + float(dev.mean()), dev - dev.mean()
+    square = dev * dev
+    b2, b3, b4 = float(square.sum()), float((square * dev).sum()), float((square * square).sum())
+    na, ma, a2, a3, a4 = found.get(key, (0, 0.0, 0.0, 0.0, 0.0))
+    if na == 0:
+        found[key] = [nb, mb, b2, b3, b4]
+        return
+    n, t = na + nb, mb - ma
+    wa, wb = na / n, nb / n
+    found[key] = [n, ma + t * wb, a2 + b2 + t * t * na * wb,
+                  a3 + b3 + t ** 3 * na * wb * (wa - wb) + 3 * t * (wa * b2 - wb * a2),
+                  a4 + b4 + t ** 4 * na * wb * (wa * wa - wa * wb + wb * wb) + 6 * t * t * (wa * wa * b2 + wb * wb * a2) + 4 * t * (wa * b3 - wb * a3)]
+
+
+_MEANS = "column_name string, item string, n long, mean double, m2 double, m3 double, m4 double"
+
+
+def _joined_means(parts: DataFrame) -> DataFrame:
+    """(column_name, item, n, mean, m2, m3, m4) of all tasks: their sums, moved to the common mean."""
+    own = Window.partitionBy("column_name", "item")  # one row for each task
+    w = F.col("n").cast("double")
+    t = F.col("t")
+    moved = parts.withColumn("t", F.col("mean") - F.sum(w * F.col("mean")).over(own) / F.sum(w).over(own))
+    return moved.groupBy("column_name", "item").agg(
+        (F.sum(w * (F.col("mean") - t)) / F.sum(w)).alias("at"), (F.sum(w * t) / F.sum(w)).alias("rest"), F.sum("n").alias("n"),
+        F.sum(F.col("m2") + w * t * t).alias("m2"), F.sum(F.col("m3") + 3 * t * F.col("m2") + w * t * t * t).alias("m3"),
+        F.sum(F.col("m4") + 4 * t * F.col("m3") + 6 * t * t * F.col("m2") + w * t * t * t * t).alias("m4")).withColumn("mean", F.col("at") + F.col("rest"))
+
+
+def _moments(wide: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """(column_name, n, mean, var, g1, g2, xmin, xmax) by one pass over the columns ``cols``, doubles without NaN."""
+    names = list(cols)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict = {}
+        for b in batches:
+            for i, column in enumerate(b.columns):
+                x = column.drop_null().to_numpy()
+                with np.errstate(all="ignore"):
+                    _add_means(found, (i, "x"), x)
+                if len(x):
+                    for item, v in (("lo", x.min()), ("hi", x.max())):
+                        old = found.get((i, item))
+                        found[i, item] = [1, float(v if old is None else min(old[1], v) if item == "lo" else max(old[1], v)), 0.0, 0.0, 0.0]
+        yield from _means(names, found)
+
+    parts = wide.select(*names).mapInArrow(run, _MEANS)
+    parts = materialize(parts, "moment-parts")  # one row for each task, column and item
+    m = _joined_means(parts.where("item = 'x'"))
+    ends = parts.groupBy("column_name").agg(F.min(F.when(F.col("item") == "lo", F.col("mean"))).alias("xmin"), F.max(F.when(F.col("item") == "hi", F.col("mean"))).alias("xmax"))
+    n = F.col("n").cast("double")
+    # a column without any spread has neither skewness nor kurtosis
+    g1, g2 = F.sqrt(n) * F.col("m3") / F.sqrt(F.col("m2") * F.col("m2") * F.col("m2")), n * F.col("m4") / (F.col("m2") * F.col("m2")) - 3.0
+    spread = F.col("m2") != 0.0
+    return m.join(bounded_broadcast(ends, len(names)), "column_name").select(
+        "column_name", "n", "mean", (F.col("m2") / n).alias("var"), F.when(spread, g1).alias("g1"), F.when(spread, g2).alias("g2"), "xmin", "xmax")
+
+
+def _log_moments(wide: DataFrame, cols: Sequence[str], stats: DataFrame) -> DataFrame:
+    """Moments of logarithms about the support bounds, and about the median where ``stats`` has it.
+
+    A value whose logarithm is not defined takes no part, as nulls in SQL."""
+    names, places = list(cols), {r["column_name"]: r.asDict() for r in stats.collect()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict = {}
+        for b in batches:
+            for i, column in enumerate(b.columns):
+                x, at = column.drop_null().to_numpy(), places.get(names[i])
+                if not len(x) or at is None:
+                    continue
+                with np.errstate(all="ignore"):
+                    y = x - at["loc0"]
+                    ln_y = _ln(y)
+                    items = {"ln": ln_y, "yln": y * ln_y, "ln_hi": _ln(at["hiloc"] - x), "ln_par": _ln(x - (at["loc0"] - (at["xmax"] - at["xmin"])))}
+                    if at.get("med") is not None:
+                        items["ln_abs"] = _ln(np.abs(x - at["med"]))
+                        if at["med_ln"] is not None:
+                            items["abs_lnr"] = np.abs(ln_y - at["med_ln"])
+                    for item, v in items.items():
+                        _add_means(found, (i, item), v[~np.isnan(v)])
+        yield from _means(names, found)
+
+    m = _joined_means(materialize(wide.select(*names).mapInArrow(run, _MEANS), "log-parts"))
+    mean = lambda item: F.max(F.when(F.col("item") == item, F.col("mean")))
+    var = lambda item: F.max(F.when(F.col("item") == item, F.col("m2") / F.col("n")))
+    out = [mean("ln").alias("mln"), var("ln").alias("vln"), mean("yln").alias("mylny"), mean("ln_hi").alias("mln_hi"), var("ln_hi").alias("vln_hi"), mean("ln_par").alias("mln_par")]
+    if "med" in stats.columns:
+        out += [mean("ln_abs").alias("mln_abs"), var("ln_abs").alias("vln_abs"), mean("abs_lnr").alias("mabs_lnr")]
+    return m.groupBy("column_name").agg(*out)
+
+
+def _ln(x: np.ndarray) -> np.ndarray:
+    """SQL's logarithm: none (NaN) where x is not positive."""
+    return np.log(np.where(x > 0, x, np.nan))
 
 
 def _support() -> dict[str, F.Column]:
